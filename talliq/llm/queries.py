@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .langid import op5_language_id
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op7_byte_bpe": op7_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
