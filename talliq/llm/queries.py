@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .langid import op5_language_id
+from .pii import op9_pii
 
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {}
