@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .langid import op5_language_id
+from .licenses import OP3_SQL, op3_licenses
 from .pii import op9_pii
+from .secrets import op6_secrets
 
 QUERIES = {
+    "op3_licenses": op3_licenses,
     "op5_language_id": op5_language_id,
+    "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_pii": op9_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_licenses": OP3_SQL}
