@@ -7,12 +7,14 @@ from .langid import op5_language_id
 from .licenses import OP3_SQL, op3_licenses
 from .pii import op9_pii
 from .secrets import op6_secrets
+from .vectors import OP2_SQL, op2_topk
 
 QUERIES = {
+    "op2_topk": op2_topk,
     "op3_licenses": op3_licenses,
     "op5_language_id": op5_language_id,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_pii": op9_pii,
 }
-ORACLES: dict[str, str] = {"op3_licenses": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op3_licenses": OP3_SQL}
