@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .jaccard import op10_jaccard
 from .langid import op5_language_id
 from .licenses import OP3_SQL, op3_licenses
 from .pii import op9_pii
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_pii": op9_pii,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op3_licenses": OP3_SQL}
