@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .decontamination import op1_decontamination
 from .jaccard import op10_jaccard
 from .langid import op5_language_id
 from .licenses import OP3_SQL, op3_licenses
@@ -11,6 +12,7 @@ from .secrets import op6_secrets
 from .vectors import OP2_SQL, op2_topk
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_topk": op2_topk,
     "op3_licenses": op3_licenses,
     "op5_language_id": op5_language_id,
