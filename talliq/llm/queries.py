@@ -8,6 +8,7 @@ from .jaccard import op10_jaccard
 from .langid import op5_language_id
 from .licenses import OP3_SQL, op3_licenses
 from .pii import op9_pii
+from .quality import op4_quality
 from .secrets import op6_secrets
 from .vectors import OP2_SQL, op2_topk
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_topk": op2_topk,
     "op3_licenses": op3_licenses,
+    "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
