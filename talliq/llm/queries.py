@@ -10,6 +10,7 @@ from .licenses import OP3_SQL, op3_licenses
 from .pii import op9_pii
 from .quality import op4_quality
 from .secrets import op6_secrets
+from .substrings import op8_substrings
 from .vectors import OP2_SQL, op2_topk
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_jaccard": op10_jaccard,
 }
