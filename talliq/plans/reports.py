@@ -154,9 +154,11 @@ def csv_lines(ledger: DataFrame) -> DataFrame:
 
 
 def write_csv(ledger: DataFrame, folder: str) -> None:
-    """CSV files in order of time, each with the header."""
-    ordered = csv_lines(ledger).orderBy("ts", "dedupe_key").select("line")
-    ordered.write.mode("overwrite").text(folder)
+    """Text files in order of time; the first line of the first is the header."""
+    spark = ledger.sparkSession
+    header = spark.range(1).select(F.lit(",".join(EXPORT)).alias("line"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("dedupe_key"))
+    ordered = header.unionByName(csv_lines(ledger)).orderBy(F.asc_nulls_first("ts"), F.asc_nulls_first("dedupe_key"))
+    ordered.select("line").write.mode("overwrite").text(folder)
 
 
 def write_json(ledger: DataFrame, folder: str) -> None:

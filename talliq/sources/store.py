@@ -33,7 +33,7 @@ class Files:
     """A few operations of Spark's file systems."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
         self.conf = spark._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
         self.fs = self._path("").getFileSystem(self.conf)
@@ -73,19 +73,11 @@ class Files:
             stream.close()
         options = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.conf)
         overwrite = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        array = spark_array(self.jvm, overwrite)
+        array = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        array[0] = overwrite
         options.rename(options.makeQualified(temporary), options.makeQualified(self._path(name)), array)
 
 
-def spark_array(jvm, value):
-    gateway = jvm._gateway_client
-    from py4j.java_gateway import JavaGateway
-
-    array = JavaGateway(gateway_client=gateway, auto_convert=True).new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    array[0] = value
-    return array
-
-
 class Store:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, (root or default_path()).rstrip("/")
