@@ -10,7 +10,7 @@ A window without any shingle of an item has similarity 0 to it. So windows are t
 that some item of that size has, at every word; that loses nothing. All is DataFrame functions. The item side is
 broadcast only while it has at most BROADCAST_ITEMS items, which its count decides; beyond that the joins shuffle.
 
-Null and empty texts have no window. A document shorter than an item is one window. An item of fewer than five words is
+Words are lower-cased. Null and empty texts have no window. A document shorter than an item is one window. An item of fewer than five words is
 one shingle: it is found where its words stand. Rows that share a doc_id are one document, and a pair of document and
 item is returned once, with its best window. Without items or documents the result is empty.
 """
@@ -30,10 +30,15 @@ _LANES = 1 | 1 << 21 | 1 << 42
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased."""
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), common.UPPER, common.LOWER)
-    inner = F.trim(F.regexp_replace(lower, common.GAP_PATTERN, " "))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, " ", -1))
+    """The lower-case words of a text."""
+    lower = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    return F.array_remove(F.split(lower, common.GAP_PATTERN, -1), "")
+
+
+def _held(**columns: Column) -> Column:
+    """A row of computed columns behind a generator: the optimiser would else move them into lambdas that use them, and
+    compute them again for every element."""
+    return F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def shingles(of: Column, size) -> Column:
@@ -64,12 +69,22 @@ def _block(of: Column, k: int) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Sum of least counts over sum of greatest counts of two shingle lists."""
+    """Sum of least counts over sum of greatest counts of two shingle lists. Lists without repeats are sets."""
     count = lambda of, x: F.size(F.filter(of, lambda y: y == x))
-    least = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    sets = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    least = F.when(sets, F.size(F.array_intersect(a, b))).otherwise(counted)
     return least / (F.size(a) + F.size(b) - least)
 
 
+def _first_block(differ: Column) -> Column:
+    """Whether no block before the one that was looked up differs in one bit at most: each pair is found once."""
+    out = F.lit(True)
+    for k in range(8):
+        out = out & ((F.col("block") <= k) | (F.bit_count(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255))) > 1))
+    return out
+
+
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, w, z, item_words, item_shingles, item_print) of the items that have words."""
     base = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("item_words")).filter(F.size("item_words") > 0)
@@ -90,21 +105,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     sent = F.broadcast if few else (lambda df: df)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    worded = texts.select("doc_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    worded = texts.select("doc_id", words(F.col("text")).alias("words"))
     wanted = items.select(F.explode("item_shingles").alias("h"), "w").distinct()
     hashes = [shingles(F.col("words"), z) for z in sizes] or [F.array().cast("array<long>")]
     placed = worded.select("doc_id", F.explode(F.array(*hashes)).alias("hs")).select("doc_id", F.posexplode("hs").alias("at", "h"))
     anchors = placed.join(sent(wanted), "h").groupBy("doc_id", "w").agg(F.collect_set("at").alias("ats"))
 
+    around = texts.join(anchors, "doc_id").select("doc_id", "w", "ats", words(F.col("text")).alias("words"))
     n, w = F.size("words"), F.col("w")
     starts = F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p - w + F.least(w, F.lit(common.SHINGLE)), F.lit(0)), F.greatest(F.least(p, n - w), F.lit(0)))))
+    held = around.select("doc_id", "w", _held(words=F.col("words"), hashes=F.transform("words", lambda x: F.xxhash64(x)), starts=F.array_distinct(starts)).alias("v"))
     spread = F.transform(
-        F.array_distinct("starts"),
-        lambda s: F.struct(s.alias("first_word"), F.slice("words", s + 1, w).alias("inside"), fingerprint(F.slice("hashes", s + 1, w)).alias("print")),
+        "v.starts",
+        lambda s: F.struct(s.alias("first_word"), F.slice("v.words", s + 1, w).alias("inside"), fingerprint(F.slice("v.hashes", s + 1, w)).alias("print")),
     )
-    around = texts.join(anchors, "doc_id").select("doc_id", "w", "ats", words(F.col("text")).alias("words"))
-    around = around.filter(F.size("words") > 0).withColumns({"hashes": F.transform("words", lambda x: F.xxhash64(x)), "starts": starts})
-    windows = around.select("doc_id", "w", F.explode(spread).alias("window")).select("doc_id", "w", "window.*")
+    windows = held.select("doc_id", "w", F.explode(spread).alias("window")).select("doc_id", "w", "window.*")
 
     changes = F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(8)]])
     listed = items.select("item_id", "w", "item_print", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("item_print"), k).alias("value")) for k in range(8)])).alias("b"))
@@ -112,10 +127,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     listed = listed.select("item_id", "w", "item_print", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
     probes = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("print"), k).alias("value")) for k in range(8)])))
     probes = probes.select("doc_id", "w", "first_word", "inside", "print", "b.block", "b.value")
-    near = probes.join(sent(listed), ["w", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    differ = F.col("print").bitwiseXOR(F.col("item_print"))
+    near = probes.join(sent(listed), ["w", "block", "value"]).filter((F.bit_count(differ) <= radius) & _first_block(differ))
     known = items.select("item_id", "w", "z", "item_shingles")
     scored = near.select("doc_id", "w", "first_word", "inside", "item_id").join(sent(known), ["item_id", "w"])
-    scored = scored.select("doc_id", "item_id", "w", "first_word", similarity(shingles(F.col("inside"), F.col("z")), F.col("item_shingles")).alias("similarity"))
+    scored = scored.select("doc_id", "item_id", "w", "first_word", _held(own=shingles(F.col("inside"), F.col("z")), other=F.col("item_shingles")).alias("v"))
+    scored = scored.select("doc_id", "item_id", "w", "first_word", similarity(F.col("v.own"), F.col("v.other")).alias("similarity"))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("before"), "w")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.before")).alias("first_word"), F.col("b.w").alias("n_words"))
 
