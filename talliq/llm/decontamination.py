@@ -139,3 +139,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     return leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+#: The same by brute force, over all windows and pairs that share a shingle.
+OP1_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dg AS (SELECT doc_id, len(words) AS n, list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) AS g FROM dw WHERE len(words) > 0),
+ig AS (SELECT item_id, len(words) AS w, list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) AS g FROM iw WHERE len(words) >= 5),
+ds AS (SELECT doc_id, n, unnest(g) AS s, unnest(range(len(g))) AS p FROM dg),
+iss AS (SELECT item_id, w, unnest(g) AS s FROM ig),
+ic AS (SELECT item_id, s, count(*) AS c FROM iss GROUP BY item_id, s),
+anchors AS (SELECT DISTINCT ds.doc_id, ds.n, ds.p, iss.item_id, iss.w FROM ds JOIN iss ON ds.s = iss.s),
+starts AS (SELECT DISTINCT doc_id, n, item_id, w, unnest(range(greatest(p - w + 5, 0), greatest(least(p, n - w), 0) + 1)) AS begin_at FROM anchors),
+inside AS (SELECT st.doc_id, st.item_id, st.w, st.begin_at, ds.s, count(*) AS c FROM starts st JOIN ds ON ds.doc_id = st.doc_id AND ds.p >= st.begin_at AND ds.p <= st.begin_at + greatest(least(st.w, st.n) - 5, 0) GROUP BY st.doc_id, st.item_id, st.w, st.begin_at, ds.s),
+scored AS (SELECT i.doc_id, i.item_id, i.w, i.begin_at, sum(i.c) AS size, sum(least(i.c, coalesce(ic.c, 0))) AS met FROM inside i LEFT JOIN ic ON ic.item_id = i.item_id AND ic.s = i.s GROUP BY i.doc_id, i.item_id, i.w, i.begin_at),
+rated AS (SELECT doc_id, item_id, w, begin_at, CAST(met AS DOUBLE) / CAST(size + (w - 4) - met AS DOUBLE) AS similarity FROM scored)
+SELECT doc_id, item_id, similarity, CAST(begin_at AS INTEGER) AS first_word, CAST(w AS INTEGER) AS n_words FROM rated WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, begin_at) = 1"""

@@ -10,7 +10,8 @@ of its blocks meet in one task, which counts links and returns per member its nu
 forest; so rows grow with members, and a bucket that holds a third of all documents is spread over many tasks.
 
 Null and empty texts have no words: each such document is a class and a group of its own without links. A text of fewer
-than five words is a single shingle. Repeated rows of one id are one document, of the set of their first text in order.
+than five words is a single shingle. Repeated rows of one id are one document; of different texts the one with
+the least digest counts.
 """
 
 from __future__ import annotations
@@ -233,7 +234,7 @@ def similar(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: flo
 
     by_rep = copies.join(groups, "rep", "left").join(links, "rep", "left")
     by_digest = classes.select("digest", "rep").join(by_rep, "rep").select("digest", "rep", "component", "links", "copies")
-    found = known.select("doc_id", "digest").dropDuplicates(["doc_id"]).join(by_digest, "digest")
+    found = known.groupBy("doc_id").agg(F.min("digest").alias("digest")).join(by_digest, "digest")
     with_words = found.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     bare = signed.filter("digest IS NULL").select("doc_id").distinct()
     alone = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_class"), F.lit(0).cast("long").alias("n_links"))
@@ -242,3 +243,22 @@ def similar(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: flo
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar(common.table(spark, sf_dir, "documents"))
+
+
+#: The same by brute force, over all windows and pairs that share a shingle.
+OP10_SQL = r"""
+WITH RECURSIVE split_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) END AS shingles FROM split_words),
+keyed AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN 'doc ' || doc_id ELSE md5(array_to_string(list_sort(shingles), chr(10))) END AS k, shingles FROM sets),
+classes AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n, any_value(shingles) AS shingles FROM keyed GROUP BY k),
+entries AS (SELECT rep, unnest(shingles) AS s FROM classes),
+shared AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM entries a JOIN entries b ON a.s = b.s AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+links AS (SELECT x, y, b.copies FROM shared JOIN classes a ON a.rep = x JOIN classes b ON b.rep = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+reach AS (SELECT rep AS x, rep AS y FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+groups AS (SELECT x AS rep, min(y) AS class_id FROM reach GROUP BY x),
+counts AS (SELECT x AS rep, sum(copies) AS linked FROM links GROUP BY x)
+SELECT k.doc_id, g.class_id, c.rep AS copy_class, CAST(coalesce(t.linked, 0) + c.copies - 1 AS BIGINT) AS n_links
+FROM keyed k JOIN classes c ON k.k = c.k JOIN groups g ON g.rep = c.rep LEFT JOIN counts t ON t.rep = c.rep"""

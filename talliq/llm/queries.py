@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
-from .decontamination import op1_decontamination
-from .jaccard import op10_jaccard
+from .decontamination import OP1_SQL, op1_decontamination
+from .jaccard import OP10_SQL, op10_jaccard
 from .langid import op5_language_id
 from .licenses import OP3_SQL, op3_licenses
 from .pii import op9_pii
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op3_licenses": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_topk": OP2_SQL, "op3_licenses": OP3_SQL, "op10_jaccard": OP10_SQL}
