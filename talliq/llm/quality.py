@@ -27,6 +27,8 @@ from . import common
 PER_CLASS, WORDS = 1500, 512
 #: A word's chi-squared must be beyond what chance gives over many words.
 LEAST_CHI = 25.0
+#: Sites are broadcast while their count is at most this; beyond it, their join shuffles.
+BROADCAST_SITES = 100_000
 _SPACE = 1 << 22
 _SHARES = 10
 
@@ -96,17 +98,24 @@ class Logistic:
         return self.table(shares, held) @ self.w
 
 
-def fit(labelled: DataFrame, targets: tuple[str, ...], *, id_col="doc_id", text_col="text", per_class: int = PER_CLASS) -> dict[str, Logistic] | None:
-    """One model for each target column of 0 and 1; None without both outcomes of any."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), common.text_bytes(text_col).alias("text"), *[F.col(t).cast("int").alias(t) for t in targets])
+def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], *, id_col="doc_id", text_col="text", per_class: int = PER_CLASS) -> dict[str, Logistic] | None:
+    """One model for each target column of 0 and 1; None without both outcomes of any.
+
+    The rows to fit on are chosen among the labels, before any text is read. There are about per_class of each of the
+    two-to-the-targets combinations, so they are few whatever the table's size, and they go to the texts, not the texts
+    to them.
+    """
+    known = labels.select(F.col(id_col).alias("id"), *[F.col(t).cast("int").alias(t) for t in targets]).filter("id IS NOT NULL")
     for t in targets:
-        rows = rows.filter(F.col(t).isin(0, 1))
+        known = known.filter(F.col(t).isin(0, 1))
     cell = F.concat_ws("", *targets)
-    counts = {r["cell"]: r["count"] for r in rows.groupBy(cell.alias("cell")).count().collect()}
+    counts = {r["cell"]: r["count"] for r in known.groupBy(cell.alias("cell")).count().collect()}
     if not counts:
         return None
     limits = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, float(min(1.0, per_class / n)))])
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < limits[cell] * 1_000_003)
+    few = known.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_003)) < limits[cell] * 1_000_003)
+    texts = docs.select(F.col(id_col).alias("id"), common.text_bytes(text_col).alias("text"))
+    chosen = texts.join(F.broadcast(few), "id")
 
     @F.arrow_udf("struct<shares:binary,held:binary>")
     def counted(text: pa.Array) -> pa.Array:
@@ -187,13 +196,14 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="tex
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("doc_id"), *[F.col(t).cast("int").alias(t) for t in targets])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    models = fit(rows.join(known, "doc_id"), targets)
+    models = fit(rows, known, targets)
     sites, rates = posteriors(rows.select("doc_id", "source").join(known, "doc_id"), targets)
     host, path = host_and_path(F.col("source"))
     own = rows.select("doc_id", host.alias("host"), path.alias("path"), evidence(models, spark, targets).alias("own"))
     # a path without labels takes its host's posterior, a host without labels the global rate
+    sent = F.broadcast if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else (lambda df: df)
     of_host = sites.groupBy("host").agg(*[F.first(f"{t}_host").alias(f"{t}_host") for t in targets])
-    both = own.join(sites.drop(*[f"{t}_host" for t in targets]), ["host", "path"], "left").join(of_host, "host", "left")
+    both = own.join(sent(sites.drop(*[f"{t}_host" for t in targets])), ["host", "path"], "left").join(sent(of_host), "host", "left")
     out = [F.col("doc_id")]
     for t in targets:
         site = F.coalesce(f"{t}_site", f"{t}_host", F.lit(rates[t]))
