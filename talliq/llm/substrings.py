@@ -26,6 +26,8 @@ from . import common
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAMS = 50, 16
+#: Buckets and cells for each partition: a group that is in memory at once is so much smaller than a partition.
+GROUPS = 2
 #: Windows of a long text that are looked at together.
 _CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
@@ -49,7 +51,8 @@ def anchored(text: bytes, length: int = LENGTH, grams: int = GRAMS):
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        found.append((h[at[first]] >> np.uint64(24), first + a, np.diff(np.r_[first, m])))
+        # mixed again: the least of many hashes is small, and cells are shares of the hash's range
+        found.append((common.mixed(h[at[first]]) >> np.uint64(24), first + a, np.diff(np.r_[first, m])))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -117,7 +120,7 @@ def _merged(which: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 def removals(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, grams: int = GRAMS):
     """(bucketed documents, intervals): intervals of bytes to remove, by bucket and the number of a text in it."""
     spark = docs.sparkSession
-    n = common.partitions(spark)
+    n = GROUPS * common.partitions(spark)
     bucketed = docs.select(
         F.coalesce(F.pmod(F.hash(F.col(id_col)), F.lit(n)), F.lit(0)).cast("int").alias("bucket"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"),

@@ -79,27 +79,22 @@ def _sorted_starts(padded: np.ndarray, n: int, at: np.ndarray, depth: int) -> tu
     of equals goes first, and no common prefix reaches beyond the end.
     """
     at = at[::-1]
-    columns = [_words(padded, at + k) for k in range(0, depth, 8)]
-    order = np.argsort(columns[0], kind="stable")
-    group = np.zeros(len(at), np.int64)
-    first = columns[0][order]
-    group[1:] = np.cumsum(first[1:] != first[:-1])
-    open_ = np.ones(len(at), bool)
-    for column in columns[1:]:
-        size = np.bincount(group)
-        open_ = size[group] > 1
-        some = np.flatnonzero(open_)
+    first = _words(padded, at)
+    order = np.argsort(first, kind="stable").astype(at.dtype)
+    first = first[order]
+    begins = np.r_[True, first[1:] != first[:-1]][: len(at)]  # of groups that are equal so far
+    del first
+    for k in range(8, depth, 8):
+        group = np.cumsum(begins, dtype=np.int32 if len(at) < 1 << 31 else np.int64)
+        some = np.flatnonzero(~(begins & np.r_[begins[1:], True][: len(at)]))  # groups of more than one
         if not len(some):
             break
-        value = column[order[some]]
-        inner = np.lexsort((value, group[some]))
+        value, group = _words(padded, at[order[some]] + k), group[some]
+        inner = np.lexsort((value, group))
         order[some] = order[some][inner]
-        value, g = value[inner], group[some]
-        change = np.zeros(len(at), np.int64)
-        change[some[1:]] = (g[1:] == g[:-1]) & (value[1:] != value[:-1])
-        start = np.zeros(len(at), np.int64)
-        start[1:] = group[1:] != group[:-1]
-        group = np.cumsum(np.maximum(change, start))
+        value = value[inner]
+        begins[some[1:]] |= (group[1:] == group[:-1]) & (value[1:] != value[:-1])
+        del value, group, inner
     at = at[order]
     lengths = np.zeros(len(at), np.uint8)
     alive = np.arange(1, len(at))
@@ -161,15 +156,16 @@ def sorted_suffixes(data: bytes, depth: int = DEPTH, memory: int = MEMORY):
     runs = np.diff(np.r_[starts, n])
     rises = np.r_[text[starts[1:]] > text[starts[:-1]], False]
     first_s = starts[1:][rises[1:] & ~rises[:-1]].astype(kind)
-    left_in_run = np.repeat(starts + runs, runs) - np.arange(n)
-    run_left = np.minimum(left_in_run, depth).astype(np.uint8)
+    left_in_run = np.repeat((starts + runs).astype(kind), runs)
+    left_in_run -= np.arange(n, dtype=kind)
+    run_left = np.minimum(left_in_run, depth, out=left_in_run).astype(np.uint8)
+    del left_in_run, runs, starts
 
     def met(a: int, b: int) -> int:
         """Common prefix of an L and an S suffix of one bucket: the shorter run."""
         return min(int(run_left[a]), int(run_left[b]))
 
-    sorted_s, s_lengths = _sorted_starts(padded, n, first_s.astype(np.int64), depth)
-    sorted_s = sorted_s.astype(kind)
+    sorted_s, s_lengths = _sorted_starts(padded, n, first_s, depth)
     s_chars = text[sorted_s]
     s_from = np.searchsorted(s_chars, np.arange(257))
 
