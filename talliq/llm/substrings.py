@@ -9,6 +9,13 @@ its distinct segments by external induced sorting (suffixes.py); strings that co
 among them. What must go returns to the bucket as intervals. So frequent passages and copies cost one entry for each
 bucket, and nothing is dropped or sampled.
 
+A shard is sorted in memory, so no shard may weigh more than SHARD. A cell beyond it is dealt anew: first by its anchors
+themselves, then, for an anchor that is too frequent alone, by ever more of what stands around it in a window. Each such
+step takes half of the bytes of a window that were not looked at yet, on the side that has them, so it cuts a segment in
+two at most, and after six steps whole windows decide. Equal windows stay together at every step, and of equal segments of
+a bucket again only those of the smallest id go on. What one window weighs, an entry for each bucket, is never split.
+A bucket's documents are in memory at once.
+
 Null text is empty and loses nothing, as does a text shorter than LENGTH. Repeated rows of one id never remove each
 other's bytes, since no id is smaller than itself; a null id counts as larger than all others.
 """
@@ -16,6 +23,7 @@ other's bytes, since no id is smaller than itself; a null id counts as larger th
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +36,18 @@ from .suffixes import sorted_suffixes
 LENGTH, GRAMS = 50, 16
 #: Buckets and cells for each partition: a group that is in memory at once is so much smaller than a partition.
 GROUPS = 2
+#: Weight of a shard at most: the bytes of its segments, and so many more for each segment and each of its places.
+SHARD, EACH, PLACE = 48 << 20, 40, 12
 #: Windows of a long text that are looked at together.
 _CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
 
 
+def _gram_hashes(x: np.ndarray) -> np.ndarray:
+    w = np.ndarray(len(x) - 7, ">u8", x, strides=(1,)).astype(np.uint64)
+    return common.mixed(w[: len(w) - 8] * np.uint64(0x9E3779B97F4A7C15) ^ (w[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def anchored(text: bytes, length: int = LENGTH, grams: int = GRAMS):
     """Segments of the length-byte windows of a text: (anchor hashes, first windows, numbers of windows)."""
     n = len(text) - length + 1
@@ -40,8 +55,7 @@ def anchored(text: bytes, length: int = LENGTH, grams: int = GRAMS):
     for a in range(0, n, _CHUNK):
         m = min(_CHUNK, n - a)
         x = np.frombuffer(text, np.uint8, m + length - 1, a)
-        w = np.ndarray(len(x) - 7, ">u8", x, strides=(1,)).astype(np.uint64)
-        h = common.mixed(w[: len(w) - 8] * np.uint64(0x9E3779B97F4A7C15) ^ (w[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = _gram_hashes(x)
         key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
         span, least = 1, key
         width = length - grams + 1
@@ -117,8 +131,117 @@ def _merged(which: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return a // shift, a % shift, b - a // shift * shift
 
 
-def removals(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, grams: int = GRAMS):
+def _steps(length: int, grams: int) -> int:
+    """Levels of dealing a cell anew until whole windows decide."""
+    rest, n = length - grams, 1
+    while rest > 0:
+        rest, n = rest // 2, n + 1
+    return n
+
+
+@lru_cache(1 << 16)
+def _runs(anchor: int, many: int, level: int, length: int, grams: int) -> list[tuple[int, int, int, int]]:
+    """Runs of a segment's windows that are dealt by the same bytes: (first, behind the last, bytes from, bytes to)."""
+    out: list[tuple[int, int, int, int]] = []
+    for j in range(many):
+        low, high = anchor, anchor + grams
+        for _ in range(level - 1):
+            half = (length - (high - low) + 1) // 2
+            if j + length - high >= half:
+                high += half
+            else:
+                low -= half
+        if out and out[-1][2:] == (low, high):
+            out[-1] = (out[-1][0], j + 1, low, high)
+        else:
+            out.append((j, j + 1, low, high))
+    return out
+
+
+def _parted(blob: bytes, cell: int, parts: int, level: int, length: int, grams: int) -> list[tuple[int, int, bytes]]:
+    """A bucket's segments of one cell dealt to parts of it: (cell, weight, blob), what goes at once under cell -1."""
+    import xxhash
+
+    data, sizes, ids, counts, which, first = _expand(blob)
+    raw, hashes = data.tobytes(), _gram_hashes(data) >> np.uint64(24)
+    cells: dict[int, dict[bytes, list]] = {}
+    gone: list[tuple] = []
+    at = place = 0
+    for size, i, count in zip(sizes.tolist(), ids.tolist(), counts.tolist(), strict=True):
+        anchor, many = int(hashes[at : at + size - grams + 1].argmin()), size - length + 1
+        texts, places = which[place : place + count], first[place : place + count]
+        for a, b, low, high in _runs(anchor, many, level, length, grams):
+            key = xxhash.xxh3_64_intdigest(raw[at + low : at + high], level) % parts
+            held, segment = cells.setdefault(key, {}), raw[at + a : at + b - 1 + length]
+            entry = (i, texts, places + a)
+            other = held.get(segment)
+            if other is None or i < other[0][0]:
+                held[segment] = [entry]
+                gone += [(len(segment), *e[1:]) for e in other or ()]
+            elif i == other[0][0]:
+                other.append(entry)
+            else:
+                gone.append((len(segment), *entry[1:]))
+        at, place = at + size, place + count
+    rows = []
+    for key, held in cells.items():
+        entries = [(s, e[0][0], np.concatenate([x[1] for x in e]), np.concatenate([x[2] for x in e])) for s, e in held.items()]
+        to = xxhash.xxh3_64_intdigest(f"{cell} {level} {key}".encode()) >> 1  # cells that meet are one larger cell
+        rows.append((to, *_packed(entries)))
+    if gone:
+        texts, starts, ends = (np.concatenate(x) for x in zip(*[(w.astype(np.int64), f, f + n) for n, w, f in gone], strict=True))
+        rows.append((-1, 0, _squeeze(*_merged(texts, starts, ends))))
+    return rows
+
+
+def _packed(entries: list[tuple]) -> tuple[int, bytes]:
+    """Weight and blob of (segment, id, text numbers, first windows)."""
+    sizes = np.array([len(s) for s, *_ in entries], np.int32)
+    counts = np.array([len(w) for _, _, w, _ in entries], np.int32)
+    which, first = np.concatenate([w for _, _, w, _ in entries]), np.concatenate([f for *_, f in entries])
+    weight = int(sizes.sum(dtype=np.int64)) + EACH * len(sizes) + PLACE * len(which)
+    return weight, _squeeze(np.frombuffer(b"".join(s for s, *_ in entries), np.uint8), sizes, np.array([i for _, i, *_ in entries], np.int64), counts, which.astype(np.int32), first)
+
+
+def _bounded(segments: DataFrame, shard: int, length: int, grams: int) -> tuple[DataFrame, DataFrame]:
+    """(segments by cells within the bound, what goes at once)."""
+    held, gone = segments.filter("cell >= 0"), segments.filter("cell < 0")
+    within = None
+    for level in range(1, _steps(length, grams) + 1):
+        weights = held.groupBy("cell").agg(F.sum("weight").alias("whole")).filter(F.col("whole") > shard)
+        heavy = common.checkpointed(weights.select("cell", (F.ceil(F.col("whole") / shard) * 4).alias("parts")))
+        if heavy.isEmpty():
+            break
+
+        def parted(batches, level=level):
+            for batch in batches:
+                for cell, bucket, blob, parts in zip(*[batch.column(c).to_pylist() for c in ("cell", "bucket", "blob", "parts")], strict=True):
+                    rows = _parted(blob, cell, parts, level, length, grams)
+                    yield pa.record_batch({"cell": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "weight": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+        light = held.join(F.broadcast(heavy), "cell", "left_anti")
+        within = light if within is None else within.unionByName(light)
+        dealt = common.checkpointed(held.join(F.broadcast(heavy), "cell").mapInArrow(parted, _SEGMENTS))
+        held, gone = dealt.filter("cell >= 0"), gone.unionByName(dealt.filter("cell < 0"))
+    return held if within is None else within.unionByName(held), gone
+
+
+_SEGMENTS = "cell long, bucket int, weight long, blob binary"
+
+
+def removals(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, grams: int = GRAMS, shard: int = SHARD):
     """(bucketed documents, intervals): intervals of bytes to remove, by bucket and the number of a text in it."""
+    bucketed, segments, gone = shards(docs, id_col=id_col, text_col=text_col, length=length, grams=grams, shard=shard)
+
+    def sorted_out(key, got):
+        return _sorted_out(got, length)
+
+    found = segments.groupBy("cell").applyInArrow(sorted_out, "bucket int, blob binary")
+    return bucketed, found.unionByName(gone.select("bucket", "blob"))
+
+
+def shards(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, grams: int = GRAMS, shard: int = SHARD):
+    """(bucketed documents, segments by cell, intervals that go without sorting)."""
     spark = docs.sparkSession
     n = GROUPS * common.partitions(spark)
     bucketed = docs.select(
@@ -177,54 +300,51 @@ def removals(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int =
             cells.setdefault(cell, []).append((segment, least, [k for k in places if ids[which[k]] == least]))
         rows = []
         for cell, held in cells.items():
-            sizes = np.array([len(s) for s, _, _ in held], np.int32)
-            counts = np.array([len(p) for _, _, p in held], np.int32)
-            places = np.array([k for _, _, p in held for k in p], np.int64)
-            blob = _squeeze(np.frombuffer(b"".join(s for s, _, _ in held), np.uint8), sizes, np.array([i for _, i, _ in held], np.int64), counts, which[places].astype(np.int32), first[places])
-            rows.append((cell, key[0].as_py(), blob))
+            rows.append((cell, key[0].as_py(), *_packed([(s, i, which[p], first[p]) for s, i, p in held])))
         places = np.array(gone, np.int64)
         out = _merged(which[places], first[places], first[places] + many[places] + length - 1)
-        rows.append((-1, key[0].as_py(), _squeeze(*out)))
-        return pa.table({"cell": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
-
-    def sorted_out(key, got):
-        buckets = got.column("bucket").to_pylist()
-        parts = [_expand(b) for b in got.column("blob").to_pylist()]
-        number: dict[bytes, int] = {}
-        least: list[int] = []
-        entries = []  # bucket number, segment number, id, text numbers, first windows
-        for b, (data, sizes, ids, counts, which, first) in enumerate(parts):
-            raw, at, place = data.tobytes(), 0, 0
-            for size, i, count in zip(sizes.tolist(), ids.tolist(), counts.tolist(), strict=True):
-                segment = raw[at : at + size]
-                at += size
-                k = number.setdefault(segment, len(number))
-                if k == len(least):
-                    least.append(i)
-                else:
-                    least[k] = min(least[k], i)
-                entries.append((b, k, i, which[place : place + count], first[place : place + count]))
-                place += count
-        sizes = np.array([len(s) for s in number], np.int64)
-        begin = np.r_[0, np.cumsum(sizes)]
-        owner = np.array(least, np.int64)
-        gone = _removed_windows(b"".join(number), begin, owner, length)
-        out: dict[int, list[tuple]] = {}
-        for b, k, i, which, first in entries:
-            if i > owner[k]:
-                runs = [(0, int(sizes[k]))]
-            else:
-                runs = gone.get(k, ())
-            for a, e in runs:
-                out.setdefault(b, []).append((which.astype(np.int64), first + a, first + e))
-        rows = {b: _squeeze(*_merged(*[np.concatenate(x) for x in zip(*found, strict=True)])) for b, found in out.items()}
-        return pa.table({"bucket": pa.array([buckets[b] for b in rows], pa.int32()), "blob": pa.array(list(rows.values()), pa.binary())})
+        rows.append((-1, key[0].as_py(), 0, _squeeze(*out)))
+        return pa.table({"cell": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "weight": pa.array([r[2] for r in rows], pa.int64()), "blob": pa.array([r[3] for r in rows], pa.binary())})
 
     anchors = bucketed.groupBy("bucket").applyInArrow(sent, "cell int, bucket int, blob binary")
     answers = anchors.groupBy("cell").applyInArrow(told, "bucket int, cell int, blob binary")
-    segments = common.checkpointed(bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(dealt, "cell int, bucket int, blob binary"))
-    found = segments.filter("cell >= 0").groupBy("cell").applyInArrow(sorted_out, "bucket int, blob binary")
-    return bucketed, found.unionByName(segments.filter("cell < 0").select("bucket", "blob"))
+    segments = common.checkpointed(bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(dealt, _SEGMENTS))
+    return bucketed, *_bounded(segments, shard, length, grams)
+
+
+def _sorted_out(got: pa.Table, length: int) -> pa.Table:
+    """Intervals by bucket from the segments of a shard."""
+    buckets = got.column("bucket").to_pylist()
+    parts = [_expand(b) for b in got.column("blob").to_pylist()]
+    number: dict[bytes, int] = {}
+    least: list[int] = []
+    entries = []  # bucket number, segment number, id, text numbers, first windows
+    for b, (data, sizes, ids, counts, which, first) in enumerate(parts):
+        raw, at, place = data.tobytes(), 0, 0
+        for size, i, count in zip(sizes.tolist(), ids.tolist(), counts.tolist(), strict=True):
+            segment = raw[at : at + size]
+            at += size
+            k = number.setdefault(segment, len(number))
+            if k == len(least):
+                least.append(i)
+            else:
+                least[k] = min(least[k], i)
+            entries.append((b, k, i, which[place : place + count], first[place : place + count]))
+            place += count
+    sizes = np.array([len(s) for s in number], np.int64)
+    begin = np.r_[0, np.cumsum(sizes)]
+    owner = np.array(least, np.int64)
+    gone = _removed_windows(b"".join(number), begin, owner, length)
+    out: dict[int, list[tuple]] = {}
+    for b, k, i, which, first in entries:
+        if i > owner[k]:
+            runs = [(0, int(sizes[k]))]
+        else:
+            runs = gone.get(k, ())
+        for a, e in runs:
+            out.setdefault(b, []).append((which.astype(np.int64), first + a, first + e))
+    rows = {b: _squeeze(*_merged(*[np.concatenate(x) for x in zip(*found, strict=True)])) for b, found in out.items()}
+    return pa.table({"bucket": pa.array([buckets[b] for b in rows], pa.int32()), "blob": pa.array(list(rows.values()), pa.binary())})
 
 
 def _removed_windows(text: bytes, begin: np.ndarray, owner: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:

@@ -6,7 +6,8 @@ scanning those backwards induces all S suffixes. An entry carries its position a
 entry before it; the entry that it induces gets one more than the least length since the last entry of the same bucket,
 which is how prefix lengths come out without comparing bytes. As scanning pushes into a bucket in order, each bucket's
 priority queue is a first-in first-out queue; queues beyond MEMORY bytes go to unnamed temporary files, and a text
-beyond it is read through a file mapping, so a shard may be far larger than memory.
+beyond it is read through a file mapping. The starting suffixes and several numbers for each byte are in memory, so a text
+must fit there; substrings.py deals its shards so that they do.
 """
 
 from __future__ import annotations

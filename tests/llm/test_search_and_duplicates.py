@@ -232,6 +232,31 @@ def test_substrings_equal_brute_force(spark, tmp_path):
     assert substrings.remaining(documents(spark, [])).count() == 0
 
 
+def test_a_hot_anchor_is_spread_over_bounded_shards(spark, tmp_path):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    grams = [word(16) for _ in range(20_000)]
+    hot = min(grams, key=lambda g: int(substrings._gram_hashes(np.frombuffer(g.encode(), np.uint8))[0]))
+    texts = [word(40) + hot + word(40) for _ in range(150)]  # one anchor, all different around it
+    side = word(17)
+    texts += [word(30) + hot + side + word(30) for _ in range(80)]  # more of the surroundings in common
+    texts += [word(20) + side + hot + side[:3] + word(30) for _ in range(80)]
+    passage = word(20) + hot + word(14)
+    texts += [word(9) + passage + word(9) for _ in range(80)] + texts[:20] + [t[7:90] for t in texts[140:160]]
+    docs = [*enumerate(texts), (3, texts[200]), (None, texts[201])]
+    frame, shard = documents(spark, docs), 6_000
+    _, whole, _ = substrings.shards(frame)
+    _, split, _ = substrings.shards(frame, shard=shard)
+    most = lambda df: df.groupBy("cell").agg(F.sum("weight").alias("w")).agg(F.max("w")).first()[0]
+    assert most(whole) > 5 * shard and most(split) <= shard
+    got = substrings.deduplicated(frame, substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", shard=shard)
+    assert Counter(tuple(r) for r in got.collect()) == brute_substrings(docs)
+    # beyond any bound: every step is taken
+    got = substrings.deduplicated(frame, substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", shard=1)
+    assert Counter(tuple(r) for r in got.collect()) == brute_substrings(docs)
+
+
 def test_anchors_depend_on_content_only(monkeypatch):
     rng = random.Random(2)
     shared = sentence(rng, n=30).encode()
