@@ -3,8 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 writes each stage's result as Parquet in the shared checkpoint folder and reads it again as the next one's docs.
 
-Defined cases: a document without a letter, or with null text, is rejected by the language stage. Of documents that share
-an id, the near-duplicate stage keeps one; documents without an id are kept, as nothing can be said about them by id.
+The near-duplicate and decontamination stages judge rows, not ids: a row's key is its place in the files that the stage
+reads, which is the same in every scan and retry. Where docs isn't a scan of files, the stage writes it to the checkpoint
+folder first.
+
+Defined cases: a document without a letter, or with null text, is rejected by the language stage. Different texts that
+share an id, and rows without an id, are documents of their own; equal rows are copies, of which one stays.
 Columns beyond those of documents are dropped by the first stage. Empty tables give empty results at every stage.
 """
 
@@ -12,7 +16,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talliq.llm import bpe, common, decontamination, jaccard, langid, pii
@@ -29,17 +34,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter((F.col("told.lang") != langid.UNDETERMINED) & (F.col("told.score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents and row_key, a long that no two rows share and every scan finds again."""
+    if not _is_scan(docs):
+        path = f"{common.shared_folder(spark)}/corpus-rows-{uuid.uuid4().hex}"
+        docs.select(*COLUMNS).write.parquet(path)
+        docs = spark.read.parquet(path)
+    place = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index"))
+    # one row a file: a window over all of them stays small
+    number = F.row_number().over(Window.orderBy("row_file")).cast("long")
+    files = common.checkpointed(place.select("row_file").distinct().withColumn("file_number", number))
+    key = F.shiftleft("file_number", 40) + F.col("row_index")
+    return place.join(F.broadcast(files), "row_file").select(*COLUMNS, key.alias("row_key"))
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the rows are those of files as they stand, so that they have a place in them."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that similarity links join."""
-    kept = jaccard.similar(docs).filter("class_id = doc_id").select("doc_id")
-    named = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
+    """Keeps one row of each group that similarity links join: that of the smallest id, rows without one last."""
+    rows = keyed(spark, docs)
+    groups = common.checkpointed(jaccard.similar(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id"))
+    ranked = rows.select("row_key", "doc_id").join(groups, "row_key")
+    kept = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row_key")).alias("least"))
+    return rows.join(kept.select("least.row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    leaked = decontamination.leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(spark, docs)
+    leaked = decontamination.leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(leaked, "row_key", "left_anti").select(*COLUMNS)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ broadcast only while it has at most BROADCAST_ITEMS items, which its count decid
 
 Words are lower-cased. Null and empty texts have no window. A document shorter than an item is one window. An item of fewer than five words is
 one shingle: it is found where its words stand. Rows that share a doc_id are one document, and a pair of document and
-item is returned once, with its best window. Without items or documents the result is empty.
+item is returned once, with its best window. Rows without a doc_id
+are left out. Without items or documents the result is empty.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ forest; so rows grow with members, and a bucket that holds a third of all docume
 
 Null and empty texts have no words: each such document is a class and a group of its own without links. A text of fewer
 than five words is a single shingle. Repeated rows of one id are one document; of different texts the one with
-the least digest counts.
+the least digest counts. Rows without an id get no row and count for no one.
 """
 
 from __future__ import annotations

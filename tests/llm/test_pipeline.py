@@ -34,6 +34,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert out.count() == len(kept) - 3 and "ids_sha256" in out.columns
 
 
+def test_stages_judge_rows_rather_than_ids(spark, tmp_path):
+    rng, folder = random.Random(22), str(tmp_path / "sf")
+    item = sentence(rng, n=30)
+    one, two, three, bare = (sentence(rng, n=50) for _ in range(4))
+    near = " ".join([*one.split()[:-1], "end"])
+    rows = [(1, one), (1, two), (1, near), (2, three), (2, three), (2, f"{three[:40]} {item} and more"), (None, bare), (None, bare), (None, near), (None, f"nobody {item} has an id"), (3, ""), (4, None)]
+    documents(spark, rows).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    for given in (docs, docs.filter("true").dropDuplicates(["doc_id", "text"]), documents(spark, rows)):
+        left = pipeline.near_duplicates(spark, given, folder)
+        assert set(left.columns) == set(pipeline.COLUMNS)
+        got = pairs(left)
+        first = [p for p in got if p in {(1, one), (1, near)}]
+        assert len(first) == 1 and sorted([p for p in got if p not in first], key=str) == sorted([(1, two), (2, three), rows[5], (None, bare), rows[9], (3, ""), (4, None)], key=str)
+        assert pairs(pipeline.decontaminated(spark, given, folder)) == sorted([p for p in pairs(given) if item not in (p[1] or "")], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     folder = str(tmp_path / "sf")
     documents(spark, []).write.parquet(f"{folder}/documents.parquet")
