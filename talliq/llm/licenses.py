@@ -1,10 +1,12 @@
 """License scan: places of fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Its words and a template's words are sets; a block meets a template if it holds at least THRESHOLD of
+A block is a line, or a window of as many words as a template has, wherever it stands in a text of several lines: so notices
+that are wrapped over lines are found (OP3_SQL has lines only, and finds none of those). Its words and a template's words are sets; a block meets a template if it holds at least THRESHOLD of
 the template's words. Template words are ordered by how many blocks of the whole table hold them, rarest first. A block
 that meets a template of n words, of which o are needed, must hold one of its n - o + 1 first words (prefix filter), must
 hold at least o words of any template (length filter), and the found prefix word must leave o words from its place on
-(positional filter); what passes is verified exactly. The templates are a parameter, so the broadcast sides are as small
+(positional filter); what passes is verified exactly. For windows the filters are asked of the whole text first, and
+windows are taken where a word of the template stands, once for each text and template. The templates are a parameter, so the broadcast sides are as small
 as they are. Everything is DataFrame functions.
 
 Null text is empty: no words, no places, no labels, score 0. Rows that share a doc_id share the labels of their blocks.
@@ -76,8 +78,9 @@ def template_sets(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tup
     return out
 
 
-def _literal_table(spark, sets) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("tokens"), F.lit(need).alias("need")) for k, label, words, need in sets])
+def _literal_table(spark, sets, templates) -> DataFrame:
+    width = lambda k: F.lit(len(common.words_of(templates[k][1].encode())))
+    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("tokens"), F.lit(need).alias("need"), width(k).alias("width")) for k, label, words, need in sets])
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
 
 
@@ -86,30 +89,55 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str])
     lines = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(lowered(F.col(text_col)), "\n", -1)).alias("line"))
     words = F.split(F.regexp_replace("line", common.GAP_PATTERN, " "), " ", -1)
     held = F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
-    return lines.select("doc_id", held.alias("tokens")).filter(F.size("tokens") > 0)
+    # behind a generator, so that the optimiser doesn't compute the words again for the filter
+    return lines.select("doc_id", F.explode(F.array(held)).alias("tokens")).filter(F.size("tokens") > 0)
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], prefixes: DataFrame, least: int) -> DataFrame:
+    """(doc_id, template, label, containment) of the best window of each text of several lines and template that it meets."""
+    words = F.split(F.regexp_replace("text", common.GAP_PATTERN, " "), " ", -1)
+    several = docs.filter(F.contains(F.col(text_col).cast("string"), F.lit("\n")))
+    texts = several.select(F.col(id_col).alias("doc_id"), F.explode(F.array(lowered(F.col(text_col)))).alias("text"))
+    held = texts.withColumn("tokens", F.explode(F.array(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))))).filter(F.size("tokens") >= least)
+    found = held.withColumn("token", F.explode("tokens")).join(F.broadcast(prefixes), "token").filter(~F.arrays_overlap("earlier", "tokens"))
+    found = found.filter(F.size(F.array_intersect("template_tokens", "tokens")) >= F.col("need"))
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    spots = F.filter(placed, lambda x: F.array_contains("template_tokens", x["word"]))
+    # behind a generator, so that the optimiser doesn't move the computation into the lambda below
+    spread = found.select("doc_id", "template", "label", "template_tokens", "need", "width", F.explode(F.array(spots)).alias("spots"))
+
+    def inside(s, k):
+        near = F.filter(F.slice("spots", k + 1, F.col("width")), lambda x: x["at"] < s["at"] + F.col("width"))
+        return F.size(F.array_distinct(F.transform(near, lambda x: x["word"])))
+
+    best = spread.withColumn("best", F.explode(F.array(F.array_max(F.transform("spots", inside)))))
+    return best.filter(F.col("best") >= F.col("need")).select("doc_id", "template", "label", (F.col("best") / F.size("template_tokens")).alias("containment"))
 
 
 def matched_blocks(docs: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, template, label, containment) for each block and template that it meets."""
+    """(doc_id, template, label, containment) for each line and template that it meets, and for the best window of a text."""
     spark = docs.sparkSession
     sets = template_sets(templates, threshold)
     vocabulary = sorted({w for _, _, words, _ in sets for w in words})
     blocks = _blocks(docs, id_col, text_col, vocabulary)
     frequency = blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("blocks"))
-    table = _literal_table(spark, sets)
+    table = _literal_table(spark, sets, templates)
+    in_order = Window.partitionBy("template").orderBy(F.coalesce("blocks", F.lit(0)), "token")
     ordered = (
         table.withColumn("token", F.explode("tokens"))
         .join(frequency, "token", "left")
-        .withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("blocks", F.lit(0)), "token")) - 1)
+        .withColumn("place", F.row_number().over(in_order) - 1)
+        .withColumn("earlier", F.collect_list("token").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
     )
     size = F.size("tokens")
     prefixes = ordered.filter((F.col("place") <= size - F.col("need")) & (size - F.col("place") >= F.col("need")))
-    prefixes = prefixes.select("token", "template", "label", F.col("tokens").alias("template_tokens"), "need")
+    prefixes = prefixes.select("token", "template", "label", F.col("tokens").alias("template_tokens"), "need", "width", "earlier")
     least = min((need for *_, need in sets), default=0)
     probes = blocks.filter(F.size("tokens") >= least).withColumn("token", F.explode("tokens"))
     found = probes.join(F.broadcast(prefixes), "token").filter(F.size("tokens") >= F.col("need"))
     share = F.size(F.array_intersect("template_tokens", "tokens"))
-    return found.filter(share >= F.col("need")).select("doc_id", "template", "label", (share / F.size("template_tokens")).alias("containment"))
+    lines = found.filter(share >= F.col("need")).select("doc_id", "template", "label", (share / F.size("template_tokens")).alias("containment"))
+    return lines.unionByName(_windows(docs, id_col, text_col, vocabulary, prefixes, least))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

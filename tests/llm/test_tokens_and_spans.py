@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,41 @@ def test_licenses_equal_brute_force(spark, tmp_path):
         assert got[i][:6] == brute_licenses(text)[:6] and abs(got[i][6] - brute_licenses(text)[6]) < 1e-12, (text, got[i], brute_licenses(text))
 
 
+def brute_windows(text):
+    """Lines and windows: labels and score."""
+    *_, labels, best = brute_licenses(text)
+    labels = set(labels.split(",")) - {""}
+    words = [w.decode() for w in licenses.common.words_of((text or "").encode())]
+    for k, label, tokens, need in licenses.template_sets():
+        width = len(licenses.common.words_of(licenses.TEMPLATES[k][1].encode()))
+        for a in range(len(words)):
+            held = len(set(words[a : a + width]) & set(tokens))
+            if held >= need and "\n" in text:
+                labels.add(label)
+                best = max(best, held / len(tokens))
+    return ",".join(sorted(labels)), best
+
+
+def test_wrapped_notices(spark, tmp_path):
+    rng = random.Random(18)
+    wrapped = [(label, f"some code\n{mark}" + f"\n{mark}".join(textwrap.wrap(text, 34)) + "\nmore code") for label, text in licenses.TEMPLATES for mark in ("", " * ", "# ")]
+    texts = [t for _, t in wrapped]
+    texts += ["\n".join(w + " x" * 40 for w in text.split()) for _, text in licenses.TEMPLATES]  # scattered: no notice
+    for _ in range(60):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "the", "license", "public"])
+        texts.append(" ".join(rng.choice([w, w, w, w + "\n", "\n" + w, w + "\n\n"]) for w in words))
+    folder = str(tmp_path / "sf")
+    documents(spark, list(enumerate(texts))).write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.op3_licenses(spark, folder).collect()}
+    for i, (label, _) in enumerate(wrapped):
+        assert label in got[i][0].split(",") and got[i][1] == 1.0, wrapped[i]
+    for i, text in enumerate(texts):
+        assert got[i][0] == brute_windows(text)[0] and abs(got[i][1] - brute_windows(text)[1]) < 1e-12, (text, got[i], brute_windows(text))
+    assert not any(got[len(wrapped) + i][0] for i in range(len(licenses.TEMPLATES)))
+
+
 def test_licenses_edges(spark, tmp_path):
     folder = str(tmp_path / "sf")
     documents(spark, [(None, "cc by"), (1, "Released under the MIT License"), (1, "Released under the MIT License")]).write.parquet(f"{folder}/documents.parquet")
