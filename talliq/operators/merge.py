@@ -97,7 +97,7 @@ def limit_changes(observations: DataFrame) -> DataFrame:
     return joined.filter(first | ~F.col("s").eqNullSafe(before)).select("ts", "s.*", "batch_id")
 
 
-def observed_limits(frame: DataFrame, ts: Column, batch_id: int = 0) -> DataFrame:
+def observed_limits(frame: DataFrame, ts: Column, batch_id: int | Column = 0) -> DataFrame:
     """Observations in payloads; a payload without either window is none, one with an empty window is one of nulls."""
     limits = F.col("payload")["rate_limits"]
     five, seven = limits["five_hour"], limits["seven_day"]

@@ -97,8 +97,13 @@ def request_count(spark, sf_dir):
 
 
 def _limits(spark, sf_dir) -> DataFrame:
-    e = _events(spark, sf_dir).filter("event_id % 3 <> 0")
-    return e.select("ts", F.floor(F.col("value") / 50).cast("double").alias("five_hour_pct"), F.lit(None).cast("long").alias("five_hour_resets_at"), (F.col("event_id") % 2).cast("double").alias("seven_day_pct"), F.when(F.col("event_id") % 2 == 0, F.lit(5)).cast("long").alias("seven_day_resets_at"), F.col("event_id").alias("batch_id"))
+    """A payload of each event; every third has neither window, so it is no observation (in SQL, a filter)."""
+    k = F.col("event_id")
+    five = F.struct(F.floor(F.col("value") / 50).cast("double").alias("used_percentage"), F.lit(None).cast("long").alias("resets_at"))
+    seven = F.struct((k % 2).cast("double").alias("used_percentage"), F.when(k % 2 == 0, F.lit(5)).cast("long").alias("resets_at"))
+    limits = F.struct(*[F.when(k % 3 != 0, window).alias(name) for name, window in (("five_hour", five), ("seven_day", seven))])
+    payloads = _events(spark, sf_dir).select("ts", "event_id", F.struct(limits.alias("rate_limits")).alias("payload"))
+    return merge.observed_limits(payloads, F.col("ts"), k)
 
 
 def limits_change(spark, sf_dir):

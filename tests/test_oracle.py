@@ -39,6 +39,17 @@ def test_query(spark, duck, name):
     assert same(rows, df.columns) == same(got.fetchall(), names)
 
 
+def test_limits_see_a_payload_of_every_event(spark, monkeypatch):
+    from talliq.operators import merge
+
+    seen, observed = [], merge.observed_limits
+    monkeypatch.setattr(merge, "observed_limits", lambda frame, *a: seen.append(frame) or observed(frame, *a))
+    for name in ("limits_change", "prune_preview"):
+        QUERIES[name](spark, DATA)
+    events = spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert [f.count() for f in seen] == [events, events]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
