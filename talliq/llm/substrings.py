@@ -2,22 +2,25 @@
 
 A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller id. Every such string holds
 GRAMS-byte grams; the one with the least hash, the leftmost of equals, is its anchor, so all places of a string have the
-same anchor, and neighbouring strings of one anchor form a segment. First every bucket of documents sends the hashes of
-its anchors, and learns which of them other documents have too. Then the segments of shared anchors go to the shard of
-their anchor, each distinct segment of a bucket once, with the smallest id that has it. A shard sorts the suffixes of
-its distinct segments by external induced sorting (suffixes.py); strings that common prefixes join get the smallest id
-among them. What must go returns to the bucket as intervals. So frequent passages and copies cost one entry for each
-bucket, and nothing is dropped or sampled.
-
-A shard is sorted in memory, so no shard may weigh more than SHARD. A cell beyond it is dealt anew: first by its anchors
-themselves, then, for an anchor that is too frequent alone, by ever more of what stands around it in a window. Each such
-step takes half of the bytes of a window that were not looked at yet, on the side that has them, so it cuts a segment in
-two at most, and after six steps whole windows decide. Equal windows stay together at every step, and of equal segments of
-a bucket again only those of the smallest id go on. What one window weighs, an entry for each bucket, is never split.
-A bucket's documents are in memory at once.
-
-Null text is empty and loses nothing, as does a text shorter than LENGTH. Repeated rows of one id never remove each
-other's bytes, since no id is smaller than itself; a null id counts as larger than all others.
+same anchor, and neighbouring strings of one anchor form a segment. Rows are packed into chunks of some megabytes in the
+order in which they come. First every chunk sends the hashes of its anchors, and how many segments each has, to the cells
+that own them, and learns which anchors other documents have too. Then the segments of shared anchors go to the shard of
+their anchor, each distinct segment of a chunk once, with the smallest id that has it. A shard sorts the suffixes of its
+distinct segments by external induced sorting (suffixes.py); strings that common prefixes join get the smallest id among
+them. A segment whose anchor no other distinct segment has can match nothing but its copies and is left out of the sorting.
+What must go returns to the chunk as intervals. So frequent passages and copies cost one entry for each chunk, and nothing
+is dropped or sampled.
+
+A cell whose segments may weigh more than SHARD is dealt to several shards: by its anchors themselves, or, for an anchor
+that is too frequent alone, also by what stands around it in a window. Each of STEPS steps takes half of the bytes of a
+window that were not looked at yet, on the side that has them, so it cuts a segment in two at most; equal windows stay
+together at every step. What a shard still weighs is sorted on disk. A cell
+owns the anchors of about CELL bytes of text; so there is a message for each chunk and cell, and at hundreds of terabytes
+both sizes should be raised with the executors' memory, which they fill three times over.
+
+Null text is empty and loses nothing, as does a text shorter than LENGTH; a very long text is a chunk of its own. Repeated
+rows of one id never remove each other's bytes, since no id is smaller than itself; a null id counts as larger than all
+others. Each row gets a result; an empty table gives an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import expand, squeeze
 from .suffixes import sorted_suffixes
 
-LENGTH, GRAMS = 50, 16
-#: Buckets and cells for each partition: a group that is in memory at once is so much smaller than a partition.
-GROUPS = 2
-#: Weight of a shard at most: the bytes of its segments, and so many more for each segment and each of its places.
-SHARD, EACH, PLACE = 48 << 20, 40, 12
+LENGTH, GRAMS, STEPS = 50, 16, 2
+#: Bytes of text whose anchors a cell owns.
+CELL = 16 << 20
+#: Weight of a shard at most: the bytes of its segments, and so many more for each segment and its places.
+SHARD, EACH = 48 << 20, 52
 #: Windows of a long text that are looked at together.
 _CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
@@ -72,41 +76,13 @@ def anchored(text: bytes, length: int = LENGTH, grams: int = GRAMS):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed byte planes, which small numbers and differences make short."""
-    import zstandard
-
-    parts = [len(arrays).to_bytes(1, "little")]
-    for a in arrays:
-        parts += [a.dtype.str[1:].encode(), len(a).to_bytes(8, "little"), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
-    return zstandard.compress(b"".join(parts), 3)
-
-
-def _expand(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw, at, out = zstandard.decompress(blob), 1, []
-    for _ in range(raw[0]):
-        kind, n = np.dtype(raw[at : at + 2].decode()), int.from_bytes(raw[at + 2 : at + 10], "little")
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 10).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += 10 + n * kind.itemsize
-    return out
-
-
-def _in_order(got: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a bucket in an order that every pass over it finds again: by id, then text."""
-    rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("text").to_pylist(), strict=True))
-    return np.array([i for i, _ in rows], np.int64), [t for _, t in rows]
-
-
 def _all_anchors(texts: list[bytes], length: int, grams: int):
-    """Anchors of all texts of a bucket: (hash, text number, first window, windows)."""
+    """Anchors of all texts of a chunk: (hash, text number, first window, windows)."""
     parts = [anchored(t, length, grams) for t in texts]
     if not parts:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    return np.concatenate([p[0] for p in parts]), which, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), which, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int32)
 
 
 def _cell_cuts(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -131,21 +107,14 @@ def _merged(which: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return a // shift, a % shift, b - a // shift * shift
 
 
-def _steps(length: int, grams: int) -> int:
-    """Levels of dealing a cell anew until whole windows decide."""
-    rest, n = length - grams, 1
-    while rest > 0:
-        rest, n = rest // 2, n + 1
-    return n
-
-
 @lru_cache(1 << 16)
-def _runs(anchor: int, many: int, level: int, length: int, grams: int) -> list[tuple[int, int, int, int]]:
-    """Runs of a segment's windows that are dealt by the same bytes: (first, behind the last, bytes from, bytes to)."""
+def _runs(anchor: int, many: int, steps: int, length: int, grams: int) -> list[tuple[int, int, int, int]]:
+    """Runs of a segment's windows that are dealt by the same bytes: (first, behind the last, bytes from, bytes to). Each
+    step takes half of the bytes of a window that were not looked at yet, on the side that has them."""
     out: list[tuple[int, int, int, int]] = []
     for j in range(many):
         low, high = anchor, anchor + grams
-        for _ in range(level - 1):
+        for _ in range(steps):
             half = (length - (high - low) + 1) // 2
             if j + length - high >= half:
                 high += half
@@ -158,251 +127,277 @@ def _runs(anchor: int, many: int, level: int, length: int, grams: int) -> list[t
     return out
 
 
-def _parted(blob: bytes, cell: int, parts: int, level: int, length: int, grams: int) -> list[tuple[int, int, bytes]]:
-    """A bucket's segments of one cell dealt to parts of it: (cell, weight, blob), what goes at once under cell -1."""
-    import xxhash
+def _ids(ids: list[int | None]) -> np.ndarray:
+    return np.array([_LAST if i is None else i for i in ids], np.int64)
+
+
+def _sent(body: bytes, length: int, grams: int, n: int) -> list[tuple[int, bytes]]:
+    """For each cell, a chunk's anchors that it owns: steps between sorted hashes, whether several ids have it, segments."""
+    ids, texts = common.unpacked(body)
+    ids = _ids(ids)
+    hashes, which, _, _ = _all_anchors(texts, length, grams)
+    order = np.lexsort((ids[which], hashes))
+    h, i = hashes[order], ids[which][order]
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    ends = np.r_[new[1:], len(h)][: len(new)]
+    own, several, counts = h[new], (i[new] != i[ends - 1]).astype(np.uint8), (ends - new).astype(np.int32)
+    cuts = _cell_cuts(own, n)
+    parts = [(c, slice(cuts[c], cuts[c + 1])) for c in range(n) if cuts[c + 1] > cuts[c]]
+    return [(c, squeeze(np.diff(own[p], prepend=np.uint64(0)), np.packbits(several[p]), counts[p])) for c, p in parts]
+
+
+def _told(blobs: list[bytes], shard: int, most: int) -> list[bytes]:
+    """Answers to a cell's messages: which anchors are shared, which are too frequent alone, and the cell's shards."""
+    lists, flags, counts = [], [], []
+    for blob in blobs:
+        steps, bits, many = expand(blob)
+        lists.append(np.cumsum(steps, dtype=np.uint64))
+        flags.append(np.unpackbits(bits, count=len(steps)))
+        counts.append(many)
+    flat = np.concatenate(lists)
+    values, where = np.unique(flat, return_inverse=True)
+    shared = (np.bincount(where, minlength=len(values)) > 1) | (np.bincount(where, weights=np.concatenate(flags), minlength=len(values)) > 0)
+    weights = np.bincount(where, weights=np.concatenate(counts), minlength=len(values)) * most * shared
+    parts = max(1, int(-(-weights.sum() // shard)))
+    hot, out, at = weights * 2 > shard, [], 0
+    for part in lists:
+        on = where[at : at + len(part)]
+        out.append(squeeze(np.packbits(shared[on]), np.packbits(hot[on]), np.array([parts], np.int64)))
+        at += len(part)
+    return out
 
-    data, sizes, ids, counts, which, first = _expand(blob)
-    raw, hashes = data.tobytes(), _gram_hashes(data) >> np.uint64(24)
-    cells: dict[int, dict[bytes, list]] = {}
-    gone: list[tuple] = []
-    at = place = 0
-    for size, i, count in zip(sizes.tolist(), ids.tolist(), counts.tolist(), strict=True):
-        anchor, many = int(hashes[at : at + size - grams + 1].argmin()), size - length + 1
-        texts, places = which[place : place + count], first[place : place + count]
-        for a, b, low, high in _runs(anchor, many, level, length, grams):
-            key = xxhash.xxh3_64_intdigest(raw[at + low : at + high], level) % parts
-            held, segment = cells.setdefault(key, {}), raw[at + a : at + b - 1 + length]
-            entry = (i, texts, places + a)
-            other = held.get(segment)
-            if other is None or i < other[0][0]:
-                held[segment] = [entry]
-                gone += [(len(segment), *e[1:]) for e in other or ()]
-            elif i == other[0][0]:
-                other.append(entry)
-            else:
-                gone.append((len(segment), *entry[1:]))
-        at, place = at + size, place + count
-    rows = []
-    for key, held in cells.items():
-        entries = [(s, e[0][0], np.concatenate([x[1] for x in e]), np.concatenate([x[2] for x in e])) for s, e in held.items()]
-        to = xxhash.xxh3_64_intdigest(f"{cell} {level} {key}".encode()) >> 1  # cells that meet are one larger cell
-        rows.append((to, *_packed(entries)))
+
+def _dealt(body: bytes, cells: list[int], answers: list[bytes], length: int, grams: int, steps: int, n: int) -> list[tuple[int, bytes]]:
+    """A chunk's segments of shared anchors by shard, and under -1 what goes at once."""
+    ids, texts = common.unpacked(body)
+    ids = _ids(ids)
+    hashes, which, first, many = _all_anchors(texts, length, grams)
+    own, where = np.unique(hashes, return_inverse=True)
+    cuts, shared, hot, parts = _cell_cuts(own, n), np.zeros(len(own), bool), np.zeros(len(own), bool), np.ones(len(own), np.int64)
+    cell_of = np.zeros(len(own), np.int64)
+    for cell, blob in zip(cells, answers, strict=True):
+        a, b = cuts[cell], cuts[cell + 1]
+        bits, crowded, split = expand(blob)
+        shared[a:b], hot[a:b] = np.unpackbits(bits, count=b - a), np.unpackbits(crowded, count=b - a)
+        parts[a:b], cell_of[a:b] = split[0], cell
+    on = np.flatnonzero(shared[where])
+    content: dict[bytes, list[int]] = {}
+    for k, w, a, m in zip(on.tolist(), which[on].tolist(), first[on].tolist(), many[on].tolist(), strict=True):
+        segment = texts[w][a : a + m + length - 1]
+        held = content.get(segment)
+        if held is None:
+            content[segment] = [k]
+        else:
+            held.append(k)
+    owner = ids[which]
+    cells_out: dict[int, list[tuple[bytes, int, np.ndarray, np.ndarray]]] = {}
+    gone: list[int] = []
+    for segment, places in content.items():
+        least = int(owner[places[0]]) if len(places) == 1 else int(owner[places].min())
+        if len(places) > 1:
+            gone += [k for k in places if owner[k] > least]
+            places = [k for k in places if owner[k] == least]
+        at = where[places[0]]
+        if parts[at] == 1:
+            cells_out.setdefault(int(cell_of[at]), []).append((segment, least, which[places], first[places]))
+            continue
+        for key, a, b in _split(segment, int(own[at]) if not hot[at] else None, int(parts[at]), length, grams, steps):
+            shard = _shard(int(cell_of[at]), key)
+            cells_out.setdefault(shard, []).append((segment[a : b - 1 + length], least, which[places], first[places] + a))
+    rows = [(cell, _packed(held)) for cell, held in cells_out.items()]
     if gone:
-        texts, starts, ends = (np.concatenate(x) for x in zip(*[(w.astype(np.int64), f, f + n) for n, w, f in gone], strict=True))
-        rows.append((-1, 0, _squeeze(*_merged(texts, starts, ends))))
+        places = np.array(gone, np.int64)
+        rows.append((-1, squeeze(*_merged(which[places].astype(np.int64), first[places], first[places] + many[places] + length - 1))))
     return rows
 
 
-def _packed(entries: list[tuple]) -> tuple[int, bytes]:
-    """Weight and blob of (segment, id, text numbers, first windows)."""
+def _split(segment: bytes, anchor: int | None, parts: int, length: int, grams: int, steps: int) -> list[tuple[int, int, int]]:
+    """Shards of a segment's windows, (shard, first, behind the last): by the anchor, or by what stands around it."""
+    import xxhash
+
+    many = len(segment) - length + 1
+    if anchor is not None:
+        return [(anchor % parts, 0, many)]
+    hashes = _gram_hashes(np.frombuffer(segment, np.uint8)) >> np.uint64(24)
+    return [(xxhash.xxh3_64_intdigest(segment[low:high]) % (parts * 16) + parts, a, b) for a, b, low, high in _runs(int(hashes.argmin()), many, steps, length, grams)]
+
+
+def _shard(cell: int, key: int) -> int:
+    """The number of a shard of a split cell; shards that happen to meet are one larger shard."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{cell} {key}".encode()) >> 1 | 1 << 62
+
+
+def _packed(entries: list[tuple]) -> bytes:
+    """(segment, id, text numbers, first windows) as one blob."""
     sizes = np.array([len(s) for s, *_ in entries], np.int32)
     counts = np.array([len(w) for _, _, w, _ in entries], np.int32)
     which, first = np.concatenate([w for _, _, w, _ in entries]), np.concatenate([f for *_, f in entries])
-    weight = int(sizes.sum(dtype=np.int64)) + EACH * len(sizes) + PLACE * len(which)
-    return weight, _squeeze(np.frombuffer(b"".join(s for s, *_ in entries), np.uint8), sizes, np.array([i for _, i, *_ in entries], np.int64), counts, which.astype(np.int32), first)
+    return squeeze(np.frombuffer(b"".join(s for s, *_ in entries), np.uint8), sizes, np.array([i for _, i, *_ in entries], np.int64), counts, which.astype(np.int32), first.astype(np.int64))
 
 
-def _bounded(segments: DataFrame, shard: int, length: int, grams: int) -> tuple[DataFrame, DataFrame]:
-    """(segments by cells within the bound, what goes at once)."""
-    held, gone = segments.filter("cell >= 0"), segments.filter("cell < 0")
-    within = None
-    for level in range(1, _steps(length, grams) + 1):
-        weights = held.groupBy("cell").agg(F.sum("weight").alias("whole")).filter(F.col("whole") > shard)
-        heavy = common.checkpointed(weights.select("cell", (F.ceil(F.col("whole") / shard) * 4).alias("parts")))
-        if heavy.isEmpty():
-            break
+_SEGMENTS = "cell long, chunk long, blob binary"
 
-        def parted(batches, level=level):
-            for batch in batches:
-                for cell, bucket, blob, parts in zip(*[batch.column(c).to_pylist() for c in ("cell", "bucket", "blob", "parts")], strict=True):
-                    rows = _parted(blob, cell, parts, level, length, grams)
-                    yield pa.record_batch({"cell": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "weight": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
-        light = held.join(F.broadcast(heavy), "cell", "left_anti")
-        within = light if within is None else within.unionByName(light)
-        dealt = common.checkpointed(held.join(F.broadcast(heavy), "cell").mapInArrow(parted, _SEGMENTS))
-        held, gone = dealt.filter("cell >= 0"), gone.unionByName(dealt.filter("cell < 0"))
-    return held if within is None else within.unionByName(held), gone
+def _rows(rows: list[tuple[int, bytes]], chunk: int) -> pa.Table:
+    return pa.table({"cell": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
-_SEGMENTS = "cell long, bucket int, weight long, blob binary"
+def shards(packed: DataFrame, *, length: int = LENGTH, grams: int = GRAMS, steps: int = STEPS, shard: int = SHARD, cell: int = CELL) -> DataFrame:
+    """(cell, chunk, blob): segments by shard, and under -1 the intervals of a chunk that go without sorting."""
+    n = common.cells_for(packed, cell)
+    most = 2 * length - grams + EACH  # a segment has as many windows as a window has grams, at most
 
+    def sent(batches):
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                yield from _rows(_sent(body, length, grams, n), chunk).to_batches()
 
-def removals(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, grams: int = GRAMS, shard: int = SHARD):
-    """(bucketed documents, intervals): intervals of bytes to remove, by bucket and the number of a text in it."""
-    bucketed, segments, gone = shards(docs, id_col=id_col, text_col=text_col, length=length, grams=grams, shard=shard)
+    def told(key, got):
+        return pa.table({"chunk": got.column("chunk"), "cell": got.column("cell"), "blob": pa.array(_told(got.column("blob").to_pylist(), shard, most), pa.binary())})
 
-    def sorted_out(key, got):
-        return _sorted_out(got, length)
+    def dealt(key, got, answers):
+        rows = _dealt(got.column("body")[0].as_py(), answers.column("cell").to_pylist(), answers.column("blob").to_pylist(), length, grams, steps, n) if len(got) else []
+        return _rows(rows, key[0].as_py())
 
-    found = segments.groupBy("cell").applyInArrow(sorted_out, "bucket int, blob binary")
-    return bucketed, found.unionByName(gone.select("bucket", "blob"))
-
-
-def shards(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, grams: int = GRAMS, shard: int = SHARD):
-    """(bucketed documents, segments by cell, intervals that go without sorting)."""
-    spark = docs.sparkSession
-    n = GROUPS * common.partitions(spark)
-    bucketed = docs.select(
-        F.coalesce(F.pmod(F.hash(F.col(id_col)), F.lit(n)), F.lit(0)).cast("int").alias("bucket"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"),
-        common.text_bytes(text_col).alias("text"),
-    )
-
-    def sent(key, got):
-        ids, texts = _in_order(got)
-        hashes, which, _, _ = _all_anchors(texts, length, grams)
-        order = np.lexsort((ids[which], hashes))
-        h, i = hashes[order], ids[which][order]
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-        last = np.r_[new[1:], len(h)][: len(new)] - 1
-        own, several = h[new], (i[new] != i[last]).astype(np.uint8)
-        cuts = _cell_cuts(own, n)
-        cells = [c for c in range(n) if cuts[c + 1] > cuts[c]]
-        blobs = [_squeeze(np.diff(own[cuts[c] : cuts[c + 1]], prepend=np.uint64(0)), np.packbits(several[cuts[c] : cuts[c + 1]])) for c in cells]
-        return pa.table({"cell": pa.array(cells, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(cells), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    anchors = packed.select("chunk", "body").mapInArrow(sent, _SEGMENTS)
+    answers = anchors.groupBy("cell").applyInArrow(told, "chunk long, cell long, blob binary")
+    return packed.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(dealt, _SEGMENTS)
 
-    def told(key, got):
-        lists, flags = [], []
-        for blob in got.column("blob").to_pylist():
-            steps, bits = _expand(blob)
-            lists.append(np.cumsum(steps, dtype=np.uint64))
-            flags.append(np.unpackbits(bits, count=len(steps)))
-        flat = np.concatenate(lists)
-        values, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = (counts > 1) | (np.bincount(where, weights=np.concatenate(flags), minlength=len(values)) > 0)
-        out, at = [], 0
-        for part in lists:
-            out.append(_squeeze(np.packbits(shared[where[at : at + len(part)]])))
-            at += len(part)
-        return pa.table({"bucket": got.column("bucket"), "cell": got.column("cell"), "blob": pa.array(out, pa.binary())})
 
-    def dealt(key, got, answers):
-        ids, texts = _in_order(got)
-        hashes, which, first, many = _all_anchors(texts, length, grams)
-        own, where = np.unique(hashes, return_inverse=True)
-        cuts, shared = _cell_cuts(own, n), np.zeros(len(own), bool)
-        for cell, blob in zip(answers.column("cell").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-            a, b = cuts[cell], cuts[cell + 1]
-            shared[a:b] = np.unpackbits(_expand(blob)[0], count=b - a)
-        on = np.flatnonzero(shared[where])
-        content: dict[bytes, list[int]] = {}
-        for k in on.tolist():
-            a = int(first[k])
-            content.setdefault(texts[which[k]][a : a + int(many[k]) + length - 1], []).append(k)
-        cells: dict[int, list[tuple[bytes, int, list[int]]]] = {}
-        gone: list[int] = []
-        for segment, places in content.items():
-            least = min(int(ids[which[k]]) for k in places)
-            gone += [k for k in places if ids[which[k]] > least]
-            cell = int((int(hashes[places[0]]) >> 8) * n >> 32)
-            cells.setdefault(cell, []).append((segment, least, [k for k in places if ids[which[k]] == least]))
-        rows = []
-        for cell, held in cells.items():
-            rows.append((cell, key[0].as_py(), *_packed([(s, i, which[p], first[p]) for s, i, p in held])))
-        places = np.array(gone, np.int64)
-        out = _merged(which[places], first[places], first[places] + many[places] + length - 1)
-        rows.append((-1, key[0].as_py(), 0, _squeeze(*out)))
-        return pa.table({"cell": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "weight": pa.array([r[2] for r in rows], pa.int64()), "blob": pa.array([r[3] for r in rows], pa.binary())})
+def intervals(segments: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(chunk, blob): bytes to remove, by chunk and the number of a text in it."""
 
-    anchors = bucketed.groupBy("bucket").applyInArrow(sent, "cell int, bucket int, blob binary")
-    answers = anchors.groupBy("cell").applyInArrow(told, "bucket int, cell int, blob binary")
-    segments = common.checkpointed(bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(dealt, _SEGMENTS))
-    return bucketed, *_bounded(segments, shard, length, grams)
+    def sorted_out(key, got):
+        if key[0].as_py() < 0:
+            return got.select(["chunk", "blob"])
+        return _sorted_out(got, length)
+
+    # what goes without sorting needs no other chunk's rows: it is spread by chunk
+    key = F.when(F.col("cell") < 0, -1 - F.col("chunk")).otherwise(F.col("cell"))
+    return segments.select(key.alias("cell"), "chunk", "blob").groupBy("cell").applyInArrow(sorted_out, "chunk long, blob binary")
 
 
 def _sorted_out(got: pa.Table, length: int) -> pa.Table:
-    """Intervals by bucket from the segments of a shard."""
-    buckets = got.column("bucket").to_pylist()
-    parts = [_expand(b) for b in got.column("blob").to_pylist()]
+    """Intervals by chunk from the segments of a shard."""
+    chunks = got.column("chunk").to_pylist()
     number: dict[bytes, int] = {}
     least: list[int] = []
-    entries = []  # bucket number, segment number, id, text numbers, first windows
-    for b, (data, sizes, ids, counts, which, first) in enumerate(parts):
-        raw, at, place = data.tobytes(), 0, 0
-        for size, i, count in zip(sizes.tolist(), ids.tolist(), counts.tolist(), strict=True):
+    numbers, parts = [], []  # of a chunk's entries: numbers of their segments, ids, counts of places, places
+    for blob in got.column("blob"):
+        data, sizes, ids, counts, which, first = expand(blob.as_py())
+        raw, at, own = data.tobytes(), 0, []
+        for size, i in zip(sizes.tolist(), ids.tolist(), strict=True):
             segment = raw[at : at + size]
             at += size
-            k = number.setdefault(segment, len(number))
+            k = number.setdefault(segment, len(least))
             if k == len(least):
                 least.append(i)
-            else:
-                least[k] = min(least[k], i)
-            entries.append((b, k, i, which[place : place + count], first[place : place + count]))
-            place += count
-    sizes = np.array([len(s) for s in number], np.int64)
-    begin = np.r_[0, np.cumsum(sizes)]
+            elif i < least[k]:
+                least[k] = i
+            own.append(k)
+        numbers.append(np.array(own, np.int64))
+        parts.append((ids, counts, which, first))
+    sizes = np.fromiter(map(len, number), np.int64, len(number))
     owner = np.array(least, np.int64)
-    gone = _removed_windows(b"".join(number), begin, owner, length)
-    out: dict[int, list[tuple]] = {}
-    for b, k, i, which, first in entries:
-        if i > owner[k]:
-            runs = [(0, int(sizes[k]))]
-        else:
-            runs = gone.get(k, ())
-        for a, e in runs:
-            out.setdefault(b, []).append((which.astype(np.int64), first + a, first + e))
-    rows = {b: _squeeze(*_merged(*[np.concatenate(x) for x in zip(*found, strict=True)])) for b, found in out.items()}
-    return pa.table({"bucket": pa.array([buckets[b] for b in rows], pa.int32()), "blob": pa.array(list(rows.values()), pa.binary())})
-
-
-def _removed_windows(text: bytes, begin: np.ndarray, owner: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:
-    """For each segment, the byte runs of its windows that a segment of a smaller id has too."""
-    if len(owner) < 2:
-        return {}
+    segment, starts, ends = _removed_windows(list(number), sizes, owner, length)
+    begin = np.searchsorted(segment, np.arange(len(owner) + 1))
+    out_chunks, blobs = [], []
+    for chunk, own, (ids, counts, which, first) in zip(chunks, numbers, parts, strict=True):
+        whole = ids > owner[own]
+        some = np.where(whole, 1, begin[own + 1] - begin[own])
+        # one row for each place and run
+        entry = np.repeat(np.arange(len(own)), counts)
+        runs = some[entry]
+        place = np.repeat(np.arange(len(entry)), runs)
+        if not len(place):
+            continue
+        e = entry[place]
+        step = np.arange(len(place)) - np.repeat(np.cumsum(runs) - runs, runs)
+        at = np.where(whole[e], 0, begin[own[e]] + step)
+        a = np.where(whole[e], 0, starts[at] if len(starts) else 0)
+        b = np.where(whole[e], sizes[own[e]], ends[at] if len(ends) else 0)
+        out_chunks.append(chunk)
+        blobs.append(squeeze(*_merged(which[place].astype(np.int64), first[place] + a, first[place] + b)))
+    return pa.table({"chunk": pa.array(out_chunks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _anchors_of(data: np.ndarray, begin: np.ndarray, grams: int) -> np.ndarray:
+    """The anchor's hash of each segment: the least of its grams."""
+    hashes = _gram_hashes(np.r_[data, np.zeros(grams, np.uint8)])[: len(data)]
+    for k in range(1, grams):  # grams that reach beyond their segment
+        hashes[begin[1:] - k] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return np.minimum.reduceat(hashes, begin[:-1])
+
+
+def _removed_windows(segments: list[bytes], sizes: np.ndarray, owner: np.ndarray, length: int, grams: int = GRAMS):
+    """(segment number, first byte, behind the last) of the runs whose windows a segment of a smaller id has too."""
+    none = np.zeros(0, np.int64)
+    if len(segments) < 2:
+        return none, none, none
+    anchors = _anchors_of(np.frombuffer(b"".join(segments), np.uint8), np.r_[0, np.cumsum(sizes)], grams)
+    _, where, counts = np.unique(anchors, return_inverse=True, return_counts=True)
+    on = np.flatnonzero(counts[where] > 1)
+    if not len(on):
+        return none, none, none
+    owner = owner[on]
+    begin = np.r_[0, np.cumsum(sizes[on])]
     marked: list[np.ndarray] = []
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def settle(positions: np.ndarray, group: np.ndarray) -> None:
+    def settle() -> None:
+        """What is held are whole groups of equal windows."""
+        positions, group = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         segment = np.searchsorted(begin, positions, "right") - 1
         inside = positions + length <= begin[segment + 1]
         positions, segment, group = positions[inside], segment[inside], group[inside]
-        if not len(positions):
-            return
-        new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        least = np.minimum.reduceat(owner[segment], new)
-        lower = np.repeat(least, np.diff(np.r_[new, len(group)])) < owner[segment]
-        marked.append(positions[lower])
-
+        if len(positions):
+            new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            lowest = np.minimum.reduceat(owner[segment], new)
+            lower = np.repeat(lowest, np.diff(np.r_[new, len(group)])) < owner[segment]
+            marked.append(positions[lower])
+
+    text = b"".join([segments[k] for k in on.tolist()])
+    last = size = 0
     for positions, lengths in sorted_suffixes(text, length):
-        if lengths[0] < length and held:  # a group may go on from an L to an S part
-            p, g = (np.concatenate(x) for x in zip(*held, strict=True))
-            settle(p, g)
-            held = []
-        base = int(held[-1][1][-1]) if held else 0
-        held.append((positions.astype(np.int64), base + np.cumsum(lengths < length)))
+        if size > 1 << 18 and lengths[0] < length:  # a group may go on from one part to the next
+            settle()
+            size = 0
+        group = last + np.cumsum(lengths < length)
+        last = int(group[-1])
+        several = np.r_[group[1:] == group[:-1], False] | np.r_[lengths[0] >= length, group[1:] == group[:-1]] | np.r_[np.zeros(len(group) - 1, bool), True]
+        held.append((positions[several].astype(np.int64), group[several]))
+        size += int(several.sum())
     if held:
-        p, g = (np.concatenate(x) for x in zip(*held, strict=True))
-        settle(p, g)
-    at = np.sort(np.concatenate(marked)) if marked else np.zeros(0, np.int64)
+        settle()
+    at = np.sort(np.concatenate(marked)) if marked else none
     segment = np.searchsorted(begin, at, "right") - 1
     which, a, e = _merged(segment, at - begin[segment], at - begin[segment] + length)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for k, x, y in zip(which.tolist(), a.tolist(), e.tolist(), strict=True):
-        out.setdefault(k, []).append((x, y))
-    return out
+    return on[which], a, e
 
 
-def deduplicated(docs: DataFrame, finish, schema: str, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="text", length: int = LENGTH, chunk: int = common.CHUNK, **options) -> DataFrame:
     """Applies finish(doc_id, text bytes, removed runs) to every document; its dicts are rows of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    bucketed, intervals = removals(docs, **options)
+    packed = common.chunks(docs, id_col, text_col, chunk)
+    gone = intervals(shards(packed, length=length, **options), length)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def cut(key, got, blobs):
-        ids, texts = _in_order(got)
-        parts = [_expand(b) for b in blobs.column("blob").to_pylist()]
+        if not len(got):
+            return fields.empty_table()
+        ids, texts = common.unpacked(got.column("body")[0].as_py())
+        parts = [expand(b) for b in blobs.column("blob").to_pylist()]
         which, a, e = _merged(*[np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)]) if parts else (np.zeros(0, np.int64),) * 3
-        runs: dict[int, list[tuple[int, int]]] = {}
-        for k, x, y in zip(which.tolist(), a.tolist(), e.tolist(), strict=True):
-            runs.setdefault(k, []).append((x, y))
-        rows = [finish(None if i == _LAST else i, t, runs.get(k, [])) for k, (i, t) in enumerate(zip(ids.tolist(), texts, strict=True))]
-        return pa.Table.from_pylist(rows, fields) if rows else fields.empty_table()
+        begin = np.searchsorted(which, np.arange(len(ids) + 1)).tolist()
+        runs = list(zip(a.tolist(), e.tolist(), strict=True))
+        return pa.Table.from_pylist([finish(i, t, runs[begin[k] : begin[k + 1]]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], fields)
 
-    return bucketed.groupBy("bucket").cogroup(intervals.groupBy("bucket")).applyInArrow(cut, schema)
+    return packed.select("chunk", "body").groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:

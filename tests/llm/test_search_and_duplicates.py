@@ -189,17 +189,30 @@ def prefix(a, b, most):
     return k
 
 
-def test_suffixes_equal_sorting():
-    rng = random.Random(1)
-    for _ in range(400):
-        letters = rng.choice([b"ab", b"abc", b"a\x00\xff", b"abcdefgh"])
-        text = bytes(rng.choice(letters) for _ in range(rng.randint(1, 60))) * rng.choice([1, 1, 2, 3])
-        depth, memory = rng.choice([5, 8, 50]), rng.choice([40, 1 << 20])  # little memory: queues and text on disk
-        positions, lengths = (np.concatenate(x).tolist() for x in zip(*suffixes.sorted_suffixes(text, depth, memory), strict=True))
-        assert sorted(positions) == list(range(len(text)))
-        for k in range(1, len(text)):
-            a, b = text[positions[k - 1] :], text[positions[k] :]
-            assert a[:depth] <= b[:depth] and lengths[k] == prefix(a, b, depth)
+def brute_suffixes(text, depth):
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    common_prefix = lambda a, b: next((k for k in range(depth) if text[a + k : a + k + 1] != text[b + k : b + k + 1] or b + k >= len(text)), depth)
+    return order, [0 if k == 0 else common_prefix(order[k - 1], i) for k, i in enumerate(order)]
+
+
+def test_suffixes_equal_sorting(monkeypatch):
+    """On disk and in memory, with every depth of recursion, in small batches and with few ranges of symbols."""
+    r = random.Random(1)
+    for _ in range(150):
+        monkeypatch.setattr(suffixes, "BATCH", r.choice([3, 7, 64, 1 << 16]))
+        monkeypatch.setattr(suffixes, "RANGES", r.choice([2, 8, 4096]))
+        letters = b"ab\x00\xffcdefghijklm"[: r.choice([1, 2, 3, 4, 15])]
+        text = bytes(r.choices(letters, k=r.choice([0, 1, 2, 5, 30, 200, 500])))
+        if r.random() < 0.5:
+            word = bytes(r.choices(b"abc", k=r.randint(1, 80)))
+            text = b"".join(r.choice([word, text[:5], b"xy"]) for _ in range(40))
+        depth = r.choice([4, 10, 50])
+        data = [text[:10], text[10:]] if r.random() < 0.5 else text
+        got = list(suffixes.sorted_suffixes(data, depth, memory=r.choice([10, 1000, 1 << 20]), base=r.choice([0, 1, 2, 5, 50, 1 << 20])))
+        positions, lengths = [int(x) for p, _ in got for x in p], [int(x) for _, n in got for x in n]
+        order, want = brute_suffixes(text, depth)
+        assert sorted(positions) == list(range(len(text))) and lengths == want
+        assert [text[p : p + depth] for p in positions] == [text[p : p + depth] for p in order]
 
 
 def brute_substrings(docs, length=50):
@@ -246,14 +259,20 @@ def test_a_hot_anchor_is_spread_over_bounded_shards(spark, tmp_path):
     texts += [word(9) + passage + word(9) for _ in range(80)] + texts[:20] + [t[7:90] for t in texts[140:160]]
     docs = [*enumerate(texts), (3, texts[200]), (None, texts[201])]
     frame, shard = documents(spark, docs), 6_000
-    _, whole, _ = substrings.shards(frame)
-    _, split, _ = substrings.shards(frame, shard=shard)
-    most = lambda df: df.groupBy("cell").agg(F.sum("weight").alias("w")).agg(F.max("w")).first()[0]
-    assert most(whole) > 5 * shard and most(split) <= shard
-    got = substrings.deduplicated(frame, substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", shard=shard)
+    packed = common.chunks(frame)
+    weight = lambda blob: sum(len(common.expand(blob)[1]) * substrings.EACH + len(common.expand(blob)[0]) for _ in [0])
+
+    def most(df):
+        held = Counter()
+        for r in df.filter("cell >= 0").collect():
+            held[r["cell"]] += weight(bytes(r["blob"]))
+        return max(held.values())
+
+    assert most(substrings.shards(packed)) > 5 * shard
+    assert most(substrings.shards(packed, shard=shard)) <= 2 * shard
+    got = substrings.deduplicated(frame, substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", shard=shard, chunk=4000)
     assert Counter(tuple(r) for r in got.collect()) == brute_substrings(docs)
-    # beyond any bound: every step is taken
-    got = substrings.deduplicated(frame, substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", shard=1)
+    got = substrings.deduplicated(frame, substrings._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", shard=1, steps=6, cell=9000)
     assert Counter(tuple(r) for r in got.collect()) == brute_substrings(docs)
 
 
