@@ -6,7 +6,9 @@ on at most about PER_LANGUAGE labelled rows of each language, chosen by a hash o
 the caller's filter. Only hashed counts of the chosen texts reach the driver.
 
 Null text and text without a letter are `und` with score 0. Empty tables give an empty result; without a single labelled
-row every text with a letter is `und` too. Repeated rows get equal results. Other columns of the table are left alone.
+row every text with a letter is `und` too. Whole texts count, however long; an arrow batch is in memory at once. Repeated
+rows get equal results, ties between languages go to the first by name, rows without an id are not held out and not
+learned from. Other columns of the table are left alone.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from . import common
 
 #: Labelled rows of each language used for fitting, about; the only sampling in this operator.
 PER_LANGUAGE = 400
+#: Labelled rows used for fitting in all, about: what reaches the driver is 16 kB for each, however many languages there are.
+MOST = 8000
 DIMENSIONS = 1 << 13
 UNDETERMINED = "und"
 
@@ -120,7 +124,7 @@ class Model:
         return langs.tolist(), score
 
 
-def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model | None:
     """Fits on labelled rows; null languages take no part. None if there is no labelled row."""
     rows = labelled.select(
         F.col(id_col).cast("string").alias("id"), common.text_bytes(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -128,14 +132,20 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(1, most // len(counts)))
     limits = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, float(min(1.0, per_language / n)))])
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < limits[F.col("lang")] * 1_000_003)
 
-    @F.arrow_udf("binary")
-    def counted(text: pa.Array) -> pa.Array:
-        return pa.array([features(t).astype(np.float16).tobytes() if has_letter(t) else None for t in text.to_pylist()], pa.binary())
+    def counted(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            there = pa.array([has_letter(t) for t in texts])
+            x = pa.array([features(t).astype(np.float16).tobytes() for t, ok in zip(texts, there.to_pylist(), strict=True) if ok], pa.binary())
+            kept = batch.filter(there)
+            yield pa.record_batch({"id": kept.column("id"), "lang": kept.column("lang"), "x": x})
 
-    got = chosen.select("id", "lang", counted("text").alias("x")).filter("x IS NOT NULL").orderBy("id").collect()
+    # one Python node in a task: workers stay alive, and each holds what it has imported
+    got = chosen.select("id", "lang", "text").mapInArrow(counted, "id string, lang string, x binary").orderBy("id", "x").collect()
     if not got:
         return None
     return Model(np.array([r["lang"] for r in got], object), np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32))

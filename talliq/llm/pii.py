@@ -2,16 +2,25 @@
 
 The field is trained by maximum likelihood on a small labelled table written in this module, and decoded by Viterbi in
 numpy batches. Words without a digit and without @ can only be labelled O, so a text decomposes exactly into the runs of
-other words between them; only those runs are decoded, each with the shapes of its neighbours.
+other words between them; only those runs are decoded, each with the shapes of its neighbours. So the field finds no names
+or places that are written in letters only. What it finds must also be possible: a card has 13 to 19 digits, parts of an
+ip are at most 255, a phone has 7 to 15 digits. A card may fail Luhn: the pattern drops it, but a mistyped number where a
+card's stands is personal data still, and its neighbours tell the field so. Counts of digits, lengths, dots and hyphens are features in bins, the last of them
+open; words themselves are looked at whole.
 
 Null text is empty and has no span. Positions are in code points, ends exclusive. Spans of the field that touch a span
-of a pattern are dropped; spans of the patterns always stay. Repeated rows get equal results.
+of a pattern are dropped; spans of the patterns always stay. Every pattern looks at a text's characters a bounded number of
+times, so very long runs of digits or separators cost no more than other text; a run of marked words takes about 100 bytes
+of memory a word. Repeated rows get equal results, rows without an id too; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +32,19 @@ from . import common
 KINDS = ("email", "ip", "card", "phone", "id")
 _LABELS = ("O", *KINDS)
 _DIMENSIONS = 1 << 12
+#: Words whose features are in memory at once.
+_PART = 20_000
 
 # --- exact patterns ------------------------------------------------------------------------------------------------
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: From the beginning of a run of digits, which is taken whole: a start inside a run fails where its beginning does.
+_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE_START = re.compile(r"\+[0-9]")
+_PHONE_REST = re.compile(r"[\x20().0-9-]+")
+_DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _MARK = re.compile(r"[0-9@]")
 
@@ -80,10 +94,19 @@ def cards(text: str):
 
 
 def phones(text: str):
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
-                yield "phone", m.start(), m.end()
+    """Each + and digit with what may follow, up to the last digit of it, without looking at any character twice."""
+    m = _PHONE_START.search(text)
+    while m:
+        rest = _PHONE_REST.match(text, m.end())
+        end = rest.end() if rest else m.end()
+        while end > m.end() and not "0" <= text[end - 1] <= "9":
+            end -= 1
+        if end >= m.end() + 2:
+            if 9 <= len(_DIGIT.findall(text, m.start(), end)) <= 15:
+                yield "phone", m.start(), end
+            m = _PHONE_START.search(text, end)
+        else:  # what follows holds no + either
+            m = _PHONE_START.search(text, rest.end() if rest else m.end())
 
 
 def exact_spans(text: str) -> list[tuple[str, int, int]]:
@@ -160,7 +183,7 @@ _TRIM_LEFT, _TRIM_RIGHT = "\"'<[{,;:|", ".,;:!?\"'>]}|"
 
 def _shape(word: str) -> str:
     out, last, n = [], "", 0
-    for c in word[:64] + "\0":
+    for c in word + "\0":
         k = "d" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isupper() else c
         if k == last:
             n += 1
@@ -182,7 +205,7 @@ def _features(words: list[str], k: int) -> list[int]:
     plain = words[k - 1].lower().strip(".:,=") if k and before == "w" else ""
     found = (
         "b", f"s{shape}", f"c{re.sub('[0-9+]', '', shape)}", f"n{min(digits, 20)}", f"l{min(len(word), 24)}", f"@{'@' in word}{word[:1] == '@'}",
-        f".{min(word.count('.'), 4)}-{min(word.count('-'), 4)}", f"p{before}", f"q{after}", f"k{plain[:12]}", f"f{word[:1] in '+('}{digits}", f"s{shape}p{before}", f"s{shape}q{after}",
+        f".{min(word.count('.'), 4)}-{min(word.count('-'), 4)}", f"p{before}", f"q{after}", f"k{plain}", f"f{word[:1] in '+('}{digits}", f"s{shape}p{before}", f"s{shape}q{after}",
     )
     return [crc32(f.encode()) % _DIMENSIONS for f in found]
 
@@ -257,20 +280,23 @@ class Field:
         return self
 
     def decode(self, sequences: list[list[list[int]]]) -> list[list[int]]:
-        """Best labels of each sequence of feature rows, by Viterbi over batches of similar length."""
-        out: list[list[int]] = [[]] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        """Best labels of each sequence of feature rows."""
+        return [x.tolist() for x in self.best([self.scores(np.array(x, np.int64)) for x in sequences])]
+
+    def best(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each sequence of emission scores, by Viterbi over batches of similar length."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
         k = 0
         while k < len(order):
-            size = max(1, min(2048, 60_000 // max(1, len(sequences[order[min(k + 2047, len(order) - 1)]]))))
+            size = max(1, min(2048, 60_000 // max(1, len(scores[order[min(k + 2047, len(order) - 1)]]))))
             part = order[k : k + size]
             k += size
-            lengths = np.array([len(sequences[i]) for i in part])
+            lengths = np.array([len(scores[i]) for i in part])
             longest = int(lengths.max())
-            x = np.zeros((len(part), longest, _N_FEATURES), np.int64)
+            e = np.zeros((len(part), longest, len(_LABELS)), np.float32)
             for row, i in enumerate(part):
-                x[row, : lengths[row]] = sequences[i]
-            e = self.scores(x)
+                e[row, : lengths[row]] = scores[i]
             best = e[:, 0] + self.move[0]
             back = np.zeros((len(part), longest, len(_LABELS)), np.int8)
             ends = np.where((lengths == 1)[:, None], best, 0)
@@ -280,13 +306,13 @@ class Field:
                 best = ways.max(1) + e[:, t]
                 ends = np.where((lengths - 1 == t)[:, None], best, ends)
             label = (ends + self.move[:, 0]).argmax(1)
-            found = np.zeros((len(part), longest), np.int64)
+            found = np.zeros((len(part), longest), np.int8)
             for t in range(longest - 1, -1, -1):
                 inside = t < lengths
                 found[:, t] = np.where(inside, label, 0)
                 label = np.where(inside, back[np.arange(len(part)), t, label], label) if t else label
             for row, i in enumerate(part):
-                out[i] = found[row, : lengths[row]].tolist()
+                out[i] = found[row, : lengths[row]].copy()
         return out
 
 
@@ -299,100 +325,158 @@ def trained() -> Field:
     return Field().fit(labelled_table())
 
 
-def _text_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words with a digit or @, as positions, found from the marks without splitting the whole text."""
-    runs: list[list[tuple[int, int]]] = []
-    at, end = 0, -1
+def _text_runs(text: str):
+    """Runs of words with a digit or @, as starts and ends, found from the marks without splitting the whole text."""
+    starts, ends, at = array("q"), array("q"), 0
     m = _MARK.search(text, 0)
     while m:
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
-        word = _MARKED.match(text, start)
-        if runs and runs[-1] and end >= 0 and text[end:start].isspace():
-            runs[-1].append((start, word.end()))
-        else:
-            runs.append([(start, word.end())])
-        at = end = word.end()
+        end = _MARKED.match(text, start).end()
+        if ends and not text[ends[-1] : start].isspace():
+            yield starts, ends
+            starts, ends = array("q"), array("q")
+        starts.append(start)
+        ends.append(end)
+        at = end
         m = _MARK.search(text, end)
-    return runs
+    if ends:
+        yield starts, ends
 
 
-_FORWARD, _BACKWARD = re.compile(r"\s*(\S{1,64})"), re.compile(r"(\S{1,64})\s*$")
+def _word_before(text: str, at: int) -> str:
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    end = at
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return text[at:end]
 
 
-def _sequence(text: str, run: list[tuple[int, int]]) -> list[list[int]]:
-    left = _BACKWARD.search(text[max(0, run[0][0] - 80) : run[0][0]])
-    right = _FORWARD.match(text, run[-1][1])
-    words = [left[1] if left else "", *[text[a:b] for a, b in run], right[1] if right else ""]
-    return [_features(words, k) for k in range(1, len(words) - 1)]
+_AFTER = re.compile(r"\s*(\S+)")
 
 
-def _enough(kind: str, word: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in word)
-    return {"email": "@" in word.strip("@") and "." in word, "ip": digits >= 4 and word.count(".") == 3}.get(kind, 7 <= digits <= 34)
+def _run_scores(text: str, starts, ends, field: Field) -> np.ndarray:
+    """Emission scores of a run's words, a part of them at a time."""
+    after, out, before = _AFTER.match(text, ends[-1]), [], _word_before(text, starts[0])
+    for k in range(0, len(starts), _PART):
+        words = [before, *[text[a:b] for a, b in zip(starts[k : k + _PART], ends[k : k + _PART], strict=True)]]
+        n = len(words)
+        if k + _PART < len(starts):
+            words.append(text[starts[k + _PART] : ends[k + _PART]])
+        else:
+            words.append(after[1] if after else "")
+        out.append(field.scores(np.array([_features(words, j) for j in range(1, n)], np.int64)).astype(np.float32))
+        before = words[n - 1]
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
+def _possible(kind: str, word: str) -> bool:
+    digits = "".join(c for c in word if "0" <= c <= "9")
+    if kind == "email":
+        return "@" in word.strip("@") and "." in word
+    if kind == "ip":
+        return word.count(".") == 3 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in re.findall("[0-9]+", word)) and len(re.findall("[0-9]+", word)) == 4
+    if kind == "card":
+        return 13 <= len(digits) <= 19
+    return 7 <= len(digits) <= (15 if kind == "phone" else 34)
 
 
 def added_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """Spans that the field labels, before those touching exact spans are dropped."""
-    runs = [(i, run) for i, text in enumerate(texts) for run in _text_runs(text)]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for k in range(0, len(runs), 20_000):
-        part = runs[k : k + 20_000]
-        for (i, run), labels in zip(part, field.decode([_sequence(texts[i], run) for i, run in part]), strict=True):
-            t = 0
-            while t < len(run):
-                j = t
-                while j + 1 < len(run) and labels[j + 1] == labels[t]:
-                    j += 1
-                if labels[t]:
-                    text, a, b = texts[i], run[t][0], run[j][1]
-                    while a < b and text[a] in _TRIM_LEFT:
-                        a += 1
-                    while b > a and text[b - 1] in _TRIM_RIGHT:
-                        b -= 1
-                    if _enough(_LABELS[labels[t]], text[a:b]):
-                        out[i].append((_LABELS[labels[t]], a, b))
-                t = j + 1
+    held, size = [], 0
+
+    def decoded() -> None:
+        for (i, starts, ends, _), labels in zip(held, field.best([h[3] for h in held]), strict=True):
+            text, cuts = texts[i], np.flatnonzero(np.r_[True, labels[1:] != labels[:-1], True])
+            for t, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                kind = _LABELS[labels[t]]
+                if kind == "O":
+                    continue
+                a, b = starts[t], ends[j - 1]
+                while a < b and text[a] in _TRIM_LEFT:
+                    a += 1
+                while b > a and text[b - 1] in _TRIM_RIGHT:
+                    b -= 1
+                if _possible(kind, text[a:b]):
+                    out[i].append((kind, a, b))
+        held.clear()
+
+    for i, text in enumerate(texts):
+        for starts, ends in _text_runs(text):
+            held.append((i, starts, ends, _run_scores(text, starts, ends, field)))
+            size += len(starts)
+            if size >= _PART:
+                decoded()
+                size = 0
+    decoded()
     return out
 
 
+def spans_of(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]]]:
+    """(kind, start, end, exact) of each text, in order."""
+    rows = []
+    for t, more in zip(texts, added_spans(texts, field), strict=True):
+        base = exact_spans(t)
+        order = sorted((b, e) for _, b, e in base)
+        starts, reach, most = [b for b, _ in order], [], -1
+        for _, e in order:
+            most = max(most, e)
+            reach.append(most)
+        free = []
+        for k, b, e in more:
+            j = bisect_left(starts, e)  # of those that begin before it ends, none may reach into it
+            if j == 0 or reach[j - 1] <= b:
+                free.append((k, b, e))
+        rows.append(sorted([(KINDS.index(k), b, e, True) for k, b, e in base] + [(KINDS.index(k), b, e, False) for k, b, e in free]))
+    return rows
+
+
 def found(spark, text_col: str = "text", field: Field | None = None) -> Column:
     """An array of (kind, start, end, exact) by kind as in KINDS, then start."""
     shared = spark.sparkContext.broadcast(field or trained())
 
     @F.arrow_udf("array<struct<kind:string,start:int,end:int,exact:boolean>>")
     def spans(text: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        extra, rows = added_spans(texts, shared.value), []
-        for t, more in zip(texts, extra, strict=True):
-            base = exact_spans(t)
-            free = [s for s in more if all(s[2] <= b or e <= s[1] for _, b, e in base)]
-            row = [(KINDS.index(k), b, e, True) for k, b, e in base] + [(KINDS.index(k), b, e, False) for k, b, e in free]
-            rows.append([{"kind": KINDS[k], "start": b, "end": e, "exact": x} for k, b, e, x in sorted(row)])
+        rows = [[{"kind": KINDS[k], "start": b, "end": e, "exact": x} for k, b, e, x in row] for row in spans_of(text.to_pylist(), shared.value)]
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())])
         return pa.array(rows, pa.list_(kind))
 
     return spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def _cut_out(text: str, spans: list[tuple[str, int, int]]) -> str:
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def cleaned(spark, text_col: str = "text", field: Field | None = None) -> Column:
+    """The text with each span replaced by its kind in square brackets, upper case; overlapping spans become one. Finding
+    and replacing are one function, so that a task needs one Python worker. Null stays null."""
+    shared = spark.sparkContext.broadcast(field or trained())
+
+    @F.arrow_udf("string")
+    def replaced(text: pa.Array) -> pa.Array:
+        texts = text.to_pylist()
+        found = spans_of([t or "" for t in texts], shared.value)
+        return pa.array([_cut_out(t, [(KINDS[k], b, e) for k, b, e, _ in row]) if row else t for t, row in zip(texts, found, strict=True)], pa.string())
+
+    return replaced(F.col(text_col).cast("string"))
+
+
 def redacted(text_col: str = "text", spans_col: str = "spans") -> Column:
-    """The text with each span replaced by its kind in square brackets, upper case; overlapping spans become one."""
+    """The same from a column of spans."""
 
     @F.arrow_udf("string")
     def replaced(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-            if t is None or not found:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, t[at:]]))
-        return pa.array(out, pa.string())
+        rows = zip(text.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([_cut_out(t, [(x["kind"], x["start"], x["end"]) for x in found]) if t is not None and found else t for t, found in rows], pa.string())
 
     return replaced(F.col(text_col), F.col(spans_col))
 

@@ -21,17 +21,22 @@ def with_clashes(df):
 # --- op7
 
 @pytest.fixture(scope="module")
-def pieces():
+def encoder():
     with open(bpe.default_ranks(), "rb") as f:
-        return bpe.Pieces(f.read(), bpe.default_pattern())
+        return bpe._encoder(f.read(), bpe.default_pattern())
 
 
-def test_bpe_equals_the_library_and_decodes(spark, pieces):
-    texts = [*mixed(), "'s 't I'll we've\n\n  x  \n", "   ", "1234567 ½ ²", "汉字 кириллица עברית"]
-    got = {r["doc_id"]: r for r in bpe.encode_digests(with_clashes(documents(spark, list(enumerate(texts))))).collect()}
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 300, "cell": 200}])
+def test_bpe_query_equals_the_library_and_decodes(spark, encoder, sizes, tmp_path, monkeypatch):
+    texts = [*mixed(), "'s 't I'll we've\n\n  x  \n", "   ", "1234567 ½ ²", "汉字 кириллица עברית", "long text, in pieces. " * 400]
+    monkeypatch.setattr(bpe, "LONG", 5000)
+    folder = str(tmp_path / "sf")
+    with_clashes(documents(spark, list(enumerate(texts)))).write.parquet(f"{folder}/documents.parquet")
+    query = bpe.encode_digests(spark.read.parquet(f"{folder}/documents.parquet"), **sizes) if sizes else bpe.op7_byte_bpe(spark, folder)
+    got = {r["doc_id"]: r for r in query.collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
-        ids = pieces.encoder.encode_ordinary(text or "")
+        ids = encoder.encode_ordinary(text or "")
         want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want, text
 
@@ -44,9 +49,24 @@ def test_bpe_round_trip_and_repeated_rows(spark):
     assert bpe.encode_digests(documents(spark, [])).count() == 0
 
 
-def test_packed_words_come_back():
-    words = ["", " the", "\n", "ß" * 300, "\U0001f600"]
-    assert bpe._unpack(bpe._pack(words)) == words and bpe._unpack(bpe._pack([])) == []
+def test_each_distinct_word_is_encoded_once(spark, encoder):
+    """A word's ids come from its cell; positions bring it back to each place."""
+    chunk, split = bpe._Chunk(), bpe._splitter(bpe.default_pattern())
+    for i, text in ((1, "to be or not to be"), (None, ""), (2, " be")):
+        chunk.add(i, text, split)
+    rows = chunk.rows(7, 3).to_pydict()
+    there, ids, counts, places = bpe.expand(rows["body"][0])
+    words = [r for c, b in sorted(zip(rows["cell"][1:], rows["body"][1:], strict=True)) for r in [bpe.expand(b)]]
+    flat = [w for sizes, raw in words for w in bpe.np.split(raw, bpe.np.cumsum(sizes)[:-1])]
+    assert there.tolist() == [1, 0, 1] and ids.tolist() == [1, 0, 2] and counts.tolist() == [6, 0, 1]
+    assert len(flat) == 5 and b"".join(flat[k].tobytes() for k in places) == b"to be or not to be be"
+
+
+def test_unknown_ids_raise(spark):
+    got = spark.createDataFrame([(1, [0]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert sorted((r["doc_id"], bytes(r["bytes"])) for r in bpe.decode(got).collect()) == [(1, b"!"), (2, b""), (3, b"")]
+    with pytest.raises(Exception, match="unknown id"):
+        bpe.decode(spark.createDataFrame([(1, [99_999_999])], "doc_id long, ids array<int>")).collect()
 
 
 # --- op5
@@ -72,7 +92,7 @@ def test_language_edges(spark):
         assert r["q"]["lang"] == ("en" if letters else "und") and (letters or r["q"]["score"] == 0)
     assert langid.fit(documents(spark, [])) is None
     assert documents(spark, [(1, "abc")]).select(langid.predicted(None, spark)["lang"]).first()[0] == "und"
-    assert langid.op5_language_id is not None and langid.family_of("xx") == "xx"
+    assert langid.family_of("xx") == "xx"
 
 
 # --- op6 and op9: exact spans against the patterns as they are written
@@ -168,8 +188,9 @@ def test_viterbi_equals_enumeration(field):
 def test_pii_scan_and_redaction(spark, field):
     texts = [*EDGES, "mail joe.doe@example.com now", "call (774) 555-1544 today", "card 9807915762804490 here", "in 2024 there were 12 of 35", "from +1 (774) 555-1544 at 10.0.0.1"]
     docs = with_clashes(documents(spark, list(enumerate(texts)))).drop("spans").withColumn("spans", pii.found(spark, field=field))
-    got = {r["doc_id"]: r for r in docs.withColumn("clean", pii.redacted()).collect()}
+    got = {r["doc_id"]: r for r in docs.withColumn("clean", pii.redacted()).withColumn("again", pii.cleaned(spark, field=field)).collect()}
     n = len(EDGES)
+    assert all(r["again"] == r["clean"] for r in got.values())
     assert all(not got[i]["spans"] and got[i]["clean"] == texts[i] for i in range(n))
     assert got[n]["clean"] == "mail [EMAIL] now" and got[n + 2]["clean"] == "card [CARD] here" and got[n + 3]["clean"] == texts[n + 3]
     assert got[n + 1]["clean"] == "call [PHONE] today" and not got[n + 1]["spans"][0]["exact"]
@@ -178,6 +199,78 @@ def test_pii_scan_and_redaction(spark, field):
     assert documents(spark, []).select(pii.found(spark, field=field)).count() == 0
 
 
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("unit", ["7", ".", " ", "1.", "1 ", "1-", "+1", "+", "@", "a@", "a.", "x", "-", "(", "f", "A", "AKIA", "token", "token ", "secret=", "/", "\n"])
+def test_long_runs_take_linear_time(unit, field):
+    import time
+
+    text = unit * (LONG // len(unit))
+    began = time.process_time()
+    pii.exact_spans(text)
+    secrets.exact_spans(text)
+    secrets.candidates(text[: LONG // 10])
+    assert time.process_time() - began < 6, unit
+    began = time.process_time()
+    pii.added_spans([text[: LONG // 20]], field)
+    assert time.process_time() - began < 12, unit
+
+
+def plain_pii(text, field):
+    """All spans by the patterns as they are written, and the field's by decoding every word of the text at once."""
+    digits = lambda s: sum(c in "0123456789" for c in s)
+    out = [(0, *s, True) for s in plain(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text, bool)]
+    out += [(1, *s, True) for s in plain(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text, lambda m: all(int(p) <= 255 for p in m[0].split(".")))]
+    out += [(2, *s, True) for s in plain(r"[0-9]([\x20-]?[0-9])+", text, lambda m: 13 <= digits(m[0]) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0])))]
+    out += [(3, *s, True) for s in plain(r"\+[0-9][\x20().0-9-]+[0-9]", text, lambda m: 9 <= digits(m[0]) <= 15)]
+    words, at = [(m[0], *m.span()) for m in re.finditer(r"\S+", text)], []
+    for a, b in pii._runs([w for w, _, _ in words]):
+        labels = field.decode([[pii._features([w for w, _, _ in words], k) for k in range(a, b)]])[0]
+        k = 0
+        while k < len(labels):
+            j = k
+            while j < len(labels) and labels[j] == labels[k]:
+                j += 1
+            s, e = words[a + k][1], words[a + j - 1][2]
+            while s < e and text[s] in pii._TRIM_LEFT:
+                s += 1
+            while e > s and text[e - 1] in pii._TRIM_RIGHT:
+                e -= 1
+            kind = pii._LABELS[labels[k]]
+            if kind != "O" and pii._possible(kind, text[s:e]) and not any(s < y and x < e for _, x, y, _ in out):
+                at.append((pii.KINDS.index(kind), s, e, False))
+            k = j
+    return sorted(out + at)
+
+
+def spelled(spans, kinds):
+    return ",".join(f"{kinds[s[0]]}:{s[1]}:{s[2]}" for s in spans)
+
+
+def test_pii_query_equals_brute_force(spark, field, tmp_path, monkeypatch):
+    rng = random.Random(31)
+    monkeypatch.setattr(pii, "_PART", 7)
+    sentences = pii.labelled_table(300, seed=5)
+    texts = [*EDGES, *(" ".join(w for words, _ in rng.sample(sentences, 6) for w in words) for _ in range(60)), "\n".join(" ".join(w) for w, _ in sentences[:40]), "12 " * 50 + "call 555-123-4567"]
+    folder = str(tmp_path / "sf")
+    with_clashes(documents(spark, [*enumerate(texts), (None, texts[-1]), (3, texts[3])])).write.parquet(f"{folder}/documents.parquet")
+    got = [r for r in pii.op9_pii(spark, folder).collect()]
+    assert len(got) == len(texts) + 2
+    for r in got:
+        text = texts[-1] if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        want = plain_pii(text, field)
+        base = [s for s in want if s[3]]
+        assert r["spans"] == spelled(want, pii.KINDS), text
+        assert r["base_sha256"] == hashlib.sha256(spelled(base, pii.KINDS).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[0] == k for s in base) for k in range(4)]
+
+
+def test_neighbours_tell_cards_that_fail_luhn(field):
+    texts = ["pay with 2123465659789240.", "rows 2123465659789240 | 7 | 9", "pay with 21234656597892401234567."]
+    assert [[k for k, _, _ in found if k == "card"] for found in pii.added_spans(texts, field)][::2] == [["card"], []]
+
+
 # --- op3
 
 def brute_licenses(text):
