@@ -75,8 +75,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in square brackets; n_chars follows the text."""
-    found = docs.select(*COLUMNS, pii.found(spark).alias("spans")).withColumn("text", pii.redacted())
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return docs.select(*COLUMNS).withColumn("text", pii.cleaned(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
