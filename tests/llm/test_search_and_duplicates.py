@@ -72,9 +72,10 @@ def brute_jaccard(texts, threshold=0.8):
     return {i: (root(i), copies[frozenset(sets[i]) if sets[i] else i], links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("members", [1024, 3])
-def test_jaccard_equals_brute_force(spark, members, monkeypatch):
-    monkeypatch.setattr(jaccard, "MEMBERS", members)  # blocks of a few members meet pairwise
+@pytest.mark.parametrize(("members", "weight", "crowd"), [(1024, 1 << 19, 16), (3, 300, 2)])
+def test_jaccard_equals_brute_force(spark, members, weight, crowd, monkeypatch):
+    for name, value in (("MEMBERS", members), ("WEIGHT", weight), ("CROWD", crowd)):  # small blocks meet pairwise
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(6)
     texts = mixed(seed=4)
     base = sentence(rng, n=120).split()
@@ -95,21 +96,68 @@ def test_jaccard_edges(spark):
     assert got == {(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 0)}
 
 
-def test_depth_meets_the_recall():
-    for t in (0.5, 0.8, 0.95):
-        d = jaccard.depth(t)
-        assert 1 - (1 - t**d) ** jaccard.TREES >= jaccard.RECALL or d == 1
-        assert d == jaccard.DEEPEST or 1 - (1 - t ** (d + 1)) ** jaccard.TREES < jaccard.RECALL
+def test_other_texts_of_an_id_count_for_no_one(spark):
+    rows = [(1, "one two three four five six"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "one two three four five six"), (4, ""), (4, "p q r")]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similar(documents(spark, rows)).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] + got[3] == 1 and got[1] == 1 and got[4] == 0
+
+
+def recall_of(depths, threshold):
+    missed = 1.0
+    for d in depths:
+        missed *= 1 - threshold**d
+    return 1 - missed
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    rng = random.Random(4)
+    assert set(jaccard.shortened({}, 0.8)) == {jaccard.SHALLOWEST}
+    for _ in range(300):
+        crowded = {}
+        for t in rng.sample(range(jaccard.TREES), rng.randint(1, jaccard.TREES)):
+            sizes = [rng.randint(17, 5000)]
+            for _ in range(jaccard.DEEPEST - jaccard.SHALLOWEST):
+                sizes.append(rng.randint(1, sizes[-1]))
+            crowded[t] = sizes
+        depths = jaccard.shortened(crowded, 0.8)
+        assert recall_of(depths, 0.8) >= jaccard.RECALL
+        assert all(depths[t] == jaccard.SHALLOWEST for t in range(jaccard.TREES) if t not in crowded)
+        met = lambda of: sum(crowded[t][of[t] - jaccard.SHALLOWEST] for t in crowded)
+        # a fixed depth of the same recall meets more
+        assert met(depths) <= met([5] * jaccard.TREES) + len(crowded)
+    few = jaccard.shortened({0: [5000, 4000, 3000, 2000, 1000]}, 0.8)
+    assert few[0] == jaccard.DEEPEST  # nineteen rare trees are enough
+
+
+def test_crowded_nodes_get_longer_prefixes(spark, monkeypatch):
+    """Texts with a long common part crowd the tries; their prefixes grow, and no link is lost."""
+    rng = random.Random(14)
+    base = sentence(rng, n=200).split()
+    texts = {}
+    for k in range(60):
+        other = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 9])):
+            other[rng.randrange(200)] = f"w{rng.randrange(1000)}"
+        texts[k] = " ".join(other)
+    got = {r["doc_id"]: (r["class_id"], r["copy_class"], r["n_links"]) for r in jaccard.similar(documents(spark, list(texts.items()))).collect()}
+    assert got == brute_jaccard(texts)
+    signed = jaccard.signatures(documents(spark, list(texts.items())).select("doc_id", F.col("text").cast("binary").alias("text")), jaccard.TREES, 5)
+    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    _, depths = jaccard.prefixes(classes, 0.8, jaccard.TREES, jaccard.RECALL)
+    rows = [bytes(r["depths"]) for r in depths.collect()]
+    assert rows and all(recall_of(r, 0.8) >= jaccard.RECALL for r in rows) and max(max(r) for r in rows) > 5
 
 
 def test_forest_recall():
-    forest, rng = jaccard.Forest(jaccard.TREES, jaccard.depth(0.8), 5), np.random.default_rng(2)
-    found = 0
-    for _ in range(150):
+    """Pairs right at the threshold, each looking for the other at the shortest prefixes that the recall needs."""
+    forest, rng = jaccard.Forest(jaccard.TREES, 5), np.random.default_rng(2)
+    crowded = {t: [100, 90, 60, 40, 30] for t in range(jaccard.TREES)}
+    depths, found = jaccard.shortened(crowded, 0.8), 0
+    for _ in range(400):
         common_part = rng.integers(0, 1 << 63, 80, np.uint64)
-        a, b = (np.concatenate([common_part, rng.integers(0, 1 << 63, 10, np.uint64)]) for _ in range(2))
-        found += (forest.prefixes(a) == forest.prefixes(b)).any()
-    assert found >= 148
+        a, b = (forest.labels(np.concatenate([common_part, rng.integers(0, 1 << 63, 10, np.uint64)])) for _ in range(2))
+        found += any(a[8 * t : 8 * t + d] == b[8 * t : 8 * t + d] for t, d in enumerate(depths))
+    assert found >= 398
 
 
 def test_components(spark):
