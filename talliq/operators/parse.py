@@ -34,10 +34,16 @@ def _unclosed(text: Column) -> Column:
     return ~F.rtrim(F.translate(text, "\t\n\r", "   ")).endswith("}")
 
 
+def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: behind a generator, since the optimiser puts a plain expression in place
+    of its name wherever it is used."""
+    return frame.withColumn(name, F.explode(F.array(value)))
+
+
 def decoded(raw: DataFrame) -> DataFrame:
     """Adds j, the decoded line, and status. Blank lines are none of the kinds and not malformed."""
     j = F.from_json("line", schemas.LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    got = raw.withColumn("j", j)
+    got = _once(raw, "j", j)
     top = F.col("j")
     wrong = _wrong_text(top, schemas.LINE_TEXTS[0])
     for path in schemas.LINE_TEXTS[1:]:
@@ -58,7 +64,7 @@ def decoded(raw: DataFrame) -> DataFrame:
         .when(_as_text(message["model"]).startswith("<"), OTHER)  # placeholders, not calls
         .otherwise(USAGE)
     )
-    return got.withColumn("status", status)
+    return _once(got, "status", status)
 
 
 def usage_lines(decoded_lines: DataFrame, batch_id: int = 0) -> DataFrame:
@@ -99,7 +105,7 @@ def counters(decoded_lines: DataFrame) -> DataFrame:
 
 def payloads(frame: DataFrame, column: str = "json") -> DataFrame:
     """Adds payload, null if the text isn't an object with the right types throughout."""
-    got = frame.withColumn("_p", F.from_json(column, schemas.PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    got = _once(frame, "_p", F.from_json(column, schemas.PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     p = F.col("_p")
     bad = p.isNull() | p["_corrupt"].isNotNull() | _unclosed(F.col(column))
     for path in schemas.PAYLOAD_TEXTS:
@@ -114,4 +120,4 @@ def payloads(frame: DataFrame, column: str = "json") -> DataFrame:
         p["cost"].alias("cost"), p["context_window"].alias("context_window"),
         F.when(p["effort"].isNotNull(), F.struct(text("effort.level"))).alias("effort"), p["rate_limits"].alias("rate_limits"),
     )
-    return got.withColumn("payload", F.when(~F.coalesce(bad, F.lit(True)), plain)).drop("_p")
+    return _once(got, "payload", F.when(~F.coalesce(bad, F.lit(True)), plain)).drop("_p")

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from ledger_data import NOON, SESSION, cost_state, line
+from ledger_data import NOON, SESSION, USAGE_LINES, cost_state, line
 from pyspark.sql import functions as F
 from talliq import schemas
 from talliq.operators import parse
@@ -17,7 +17,7 @@ def decoded(spark, lines):
     ("text", "status"),
     [
         (line(), "usage"), ("", "other"), (" \t", "other"), ("{{{", "malformed"), ("[]", "malformed"), ("5", "malformed"), ('{"type":5}', "malformed"), (line() + " tail", "malformed"), ("{}", "other"),
-        (line(kind="user"), "other"), (line(usage={}), "usage"), ('{"type":"assistant","message":{"id":"x"}}', "other"), (line(key=None), "dropped"), (line(model=None), "dropped"), (line(ts="2026-09-05"), "dropped"),
+        (line(kind="user"), "other"), (line(usage={}), "usage"), ('{"type":"assistant","message":{"id":"x"}}', "other"), (line(key=None), "dropped"), (line(model=None), "dropped"), (line(ts="2026-03-17"), "dropped"),
         (line(ts="nonsense"), "dropped"), (line(model="<synthetic>"), "other"), (line(model="<synthetic>", ts="x"), "dropped"), (line(usage={"input_tokens": "5"}), "malformed"), (line(usage={"input_tokens": 1.5}), "malformed"),
         (line(usage={"input_tokens": None}), "usage"), (cost_state(), "cost"), ('{"type":"cost-state","modelUsage":{}}', "other"), ('{"type":"cost-state","sessionId":"s"}', "other"), (None, "malformed"), (line(session=None, cwd=None), "usage"),
     ],
@@ -28,14 +28,14 @@ def test_status(spark, text, status):
 
 def test_all_statuses_together(spark):
     got = parse.counters(decoded(spark, [*SESSION, "bad", line(key=None)])).first()
-    assert tuple(got) == (9, 5, 1, 1, 1)
+    assert tuple(got) == (len(SESSION) + 2, USAGE_LINES, 1, 1, 1)
 
 
 def test_fields(spark):
-    text = line("m", sidechain=True, input=1, output=2, cache_create=22, cache_read=4, thinking=7, cache_1h=20, cache_5m=2, speed="fast", ts="2026-09-05T12:00:00.999+02:00")
+    text = line("m", sidechain=True, input=6, output=15, cache_create=31, cache_read=8, thinking=9, cache_1h=27, cache_5m=4, speed="fast", ts="2026-03-17T10:30:00.999+02:00")
     r = parse.usage_lines(decoded(spark, [text]), 3).first()
     assert (r["ts"], r["source"], r["batch_id"], r["speed"], r["inference_geo"]) == (NOON, "subagent", 3, "fast", None)
-    assert [r[t] for t in schemas.TOKENS] == [1, 2, 22, 4, 7, 20, 2]
+    assert [r[t] for t in schemas.TOKENS] == [6, 15, 31, 8, 9, 27, 4]
 
 
 def test_cost_snapshot_sums_models(spark):
@@ -58,3 +58,9 @@ def test_payload_fields(spark):
     text = json.dumps({"cwd": "/c", "model": {"id": "i"}, "workspace": {"project_dir": "/p"}, "effort": {"level": "high"}})
     p = parse.payloads(spark.createDataFrame([(text,)], "json string")).select(F.col("payload")).first()["payload"]
     assert (p["cwd"], p["model"]["id"], p["workspace"]["current_dir"], p["effort"]["level"]) == ("/c", "i", None, "high")
+
+
+def test_lines_are_decoded_once(spark):
+    frame = decoded(spark, SESSION)
+    for df in (parse.usage_lines(frame), parse.cost_lines(frame, 1), parse.counters(frame), parse.payloads(spark.createDataFrame([("{}",)], "json string"))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
