@@ -23,6 +23,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,11 +120,14 @@ class _Chunk:
         words = [w.encode() for w in self.numbers]
         cell = np.fromiter((crc32(w) % cells for w in words), np.int64, len(words))
         order = np.argsort(cell, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
         there = np.array([i is not None for i in self.ids], np.uint8)
         flat = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
-        body = squeeze(there, np.array([i or 0 for i in self.ids], np.int64), np.array(list(map(len, self.places)), np.int64), rank[flat])
+        # positions hold small numbers for frequent words, which compresses them; `at` leads from those to the cells' order
+        frequent = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        rank, at = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+        rank[frequent] = np.arange(len(words), dtype=np.uint32)
+        at[rank[order]] = np.arange(len(words), dtype=np.uint32)
+        body = squeeze(there, np.array([i or 0 for i in self.ids], np.int64), np.array(list(map(len, self.places)), np.int64), at, rank[flat])
         numbers, blobs = [-1], [body]
         cuts = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])[: len(order)]
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)][: len(cuts)], strict=True):
@@ -198,9 +202,11 @@ def encode(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="t
         return pa.table({"cell": got.column("cell"), "chunk": got.column("chunk"), "body": pa.array(out, pa.binary())})
 
     def reassembled(key, got, answers):
+        got = got.filter(pa.compute.less(got.column("cell"), 0))
         if not len(got):
             return fields.empty_table()
-        there, ids, counts, places = expand(got.column("body")[0].as_py())
+        there, ids, counts, at, places = expand(got.column("body")[0].as_py())
+        places = at[places]
         words = Words([b for _, b in sorted(zip(answers.column("cell").to_pylist(), answers.column("body").to_pylist(), strict=True))], _token_bytes(shared.value))
         ends = np.cumsum(counts)
         out = [
@@ -209,9 +215,14 @@ def encode(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="t
         ]
         return pa.Table.from_pylist(out, fields)
 
-    pieces = common.checkpointed(rows.mapInArrow(split, _SPLIT))
-    ids = pieces.filter("cell >= 0").groupBy("cell").applyInArrow(encoded, _SPLIT)
-    return pieces.filter("cell < 0").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassembled, schema)
+    def sent(batches):
+        for batch in batches:
+            yield batch.filter(pa.compute.greater_equal(batch.column("cell"), 0))
+
+    # one exchange by chunk serves both: words go on to their cells from it, and positions wait in it for the ids
+    pieces = rows.mapInArrow(split, _SPLIT).repartition("chunk")
+    ids = pieces.mapInArrow(sent, _SPLIT).groupBy("cell").applyInArrow(encoded, _SPLIT)
+    return pieces.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassembled, schema)
 
 
 def _digests(doc_id, places, words):

@@ -55,7 +55,9 @@ def test_each_distinct_word_is_encoded_once(spark, encoder):
     for i, text in ((1, "to be or not to be"), (None, ""), (2, " be")):
         chunk.add(i, text, split)
     rows = chunk.rows(7, 3).to_pydict()
-    there, ids, counts, places = bpe.expand(rows["body"][0])
+    there, ids, counts, at, places = bpe.expand(rows["body"][0])
+    assert places.tolist().count(0) == 3 and sorted(at.tolist()) == [0, 1, 2, 3, 4]  # " be" stands most often
+    places = at[places]
     words = [r for c, b in sorted(zip(rows["cell"][1:], rows["body"][1:], strict=True)) for r in [bpe.expand(b)]]
     flat = [w for sizes, raw in words for w in bpe.np.split(raw, bpe.np.cumsum(sizes)[:-1])]
     assert there.tolist() == [1, 0, 1] and ids.tolist() == [1, 0, 2] and counts.tolist() == [6, 0, 1]
