@@ -86,7 +86,7 @@ def _run(a, spark: SparkSession, stdin, now: int) -> list[str]:
         rows = reports.session_list(store.requests(), store.sessions(), a.project).collect()
         return text.sessions(rows, lambda ts: _day(ts, a.zone), home)
     since, until = reports.resolve(a.since, a.until, a.zone)
-    ledger = reports.rows(store.requests(), store.sessions(), since, until)
+    ledger = reports.rows(store.requests(since, until), store.sessions(), since, until)
     if a.command == "export":
         (reports.write_csv if a.format == "csv" else reports.write_json)(ledger, a.to)
         return [f"Exported to {a.to}"]
@@ -143,7 +143,7 @@ def status_line(store: Store, payload: str, *, now: int, zone: str, home: str, s
         frame = parse.payloads(spark.createDataFrame([(payload,)], "json string"))
         folder = frame.select(render.display_dir(F.col("payload")).alias("dir"), F.col("payload")["transcript_path"].alias("path")).first()
         start = buckets.start_of_day(datetime.datetime.fromtimestamp(now, ZoneInfo(zone)).date(), zone)
-        totals = reports.today(store.requests(), start)
+        totals = reports.today(store.requests(start), start)
         branch = git.branch(folder["dir"]) if folder["dir"] else None
         shown = frame.crossJoin(totals).select(  # one row each
             render.line(F.col("payload"), F.col("tokens"), F.col("cost"), F.lit(branch).cast("string"), F.lit(now), home=home, short=short, by_cost=by_cost).alias("line")
@@ -153,7 +153,7 @@ def status_line(store: Store, payload: str, *, now: int, zone: str, home: str, s
     try:
         ingest.record_limits(store, frame, now)
         if folder["path"] and os.path.isfile(folder["path"]):
-            ingest.drain(store, folder["path"], now=now, budget=budget)
+            ingest.drain(store, folder["path"], now=now, budget=budget, count_changes=False)
     except Exception as e:  # the line is out already; the next run catches up
         print(f"ingest: {e}", file=sys.stderr)
     return shown

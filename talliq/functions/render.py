@@ -68,6 +68,11 @@ def display_dir(payload: Column) -> Column:
     return F.coalesce(payload["workspace"]["current_dir"], payload["cwd"])
 
 
+def project_dir(payload: Column) -> Column:
+    """The folder in which the session began, or else the one that is shown."""
+    return F.coalesce(payload["workspace"]["project_dir"], display_dir(payload))
+
+
 def _head(payload: Column, branch: Column, home: str, short: bool) -> Column:
     folder = F.coalesce(formats.abbreviated_path(display_dir(payload), home), F.lit(""))
     bare = _text(CYAN, folder, RESET)

@@ -30,8 +30,9 @@ def _as_text(field: Column) -> Column:
 
 
 def _unclosed(text: Column) -> Column:
-    """Whether more than white space follows the object."""
-    return ~F.rtrim(F.translate(text, "\t\n\r", "   ")).endswith("}")
+    """Whether more than white space follows the object. Where one object seems to follow another, a strict parse decides."""
+    two = text.rlike(r"\}\s*\{") & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNull()
+    return ~F.rtrim(F.translate(text, "\t\n\r", "   ")).endswith("}") | two
 
 
 def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:

@@ -13,7 +13,8 @@ _SUMS = ("input", "output", "cache_create", "cache_read", "cache_1h", "cache_5m"
 
 
 def in_range(frame: DataFrame, since: int | None = None, until: int | None = None, column: str = "ts") -> DataFrame:
-    """Half-open in UTC seconds; an end left out is open. The filter reaches the Parquet scan."""
+    """Half-open in UTC seconds; an end left out is open. A request's time is known after its lines are merged, so this
+    filters merged rows; Store.requests takes a range itself and reads only the days of it."""
     if since is not None:
         frame = frame.filter(F.col(column) >= since)
     return frame if until is None else frame.filter(F.col(column) < until)
@@ -32,8 +33,10 @@ def resolve(since: str | None, until: str | None, zone: str) -> tuple[int | None
 
 def rows(requests: DataFrame, sessions: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
     """Requests of a range with project_root, the folder in which their session began."""
-    root = sessions.select("session_id", F.col("project_dir").alias("session_dir"))
-    joined = in_range(requests, since, until).join(root, "session_id", "left")
+    root = sessions.select(F.col("session_id").alias("_session"), F.col("project_dir").alias("session_dir"))
+    # requests without a session match none; a key of their own spreads them
+    key = F.coalesce("session_id", F.concat(F.lit("\0"), F.col("dedupe_key")))
+    joined = in_range(requests, since, until).withColumn("_key", key).join(root, F.col("_key") == F.col("_session"), "left").drop("_key", "_session")
     return joined.withColumn("project_root", F.coalesce("session_dir", "project_dir", F.lit(UNKNOWN))).withColumn("project_dir", F.coalesce("project_dir", F.lit(UNKNOWN))).drop("session_dir")
 
 
@@ -76,7 +79,7 @@ def breakdown(ledger: DataFrame, period: str, by: str | None, zone: str, home: s
     return got.select(
         F.when(is_all, "TOTAL").otherwise(F.col("bucket")).alias("bucket"), F.when(is_all, "").otherwise(F.col("grp")).alias("grp"),
         *[c for c in got.columns if c not in ("bucket", "grp", "one", "all")],
-    )
+    ).orderBy(F.col("bucket") == "TOTAL", "bucket", "grp")
 
 
 def row_costs(ledger: DataFrame) -> DataFrame:
@@ -161,9 +164,21 @@ def write_csv(ledger: DataFrame, folder: str) -> None:
     ordered.select("line").write.mode("overwrite").text(folder)
 
 
+def json_elements(ledger: DataFrame) -> DataFrame:
+    """(line, ts, dedupe_key): elements of one JSON array, the first without a comma before it, without the brackets."""
+    got = export_rows(ledger)
+    first = got.agg(F.min(F.struct("ts", "dedupe_key")).alias("least"))  # one row
+    is_first = F.struct("ts", "dedupe_key").eqNullSafe(F.col("least"))
+    element = F.to_json(F.struct(*EXPORT), {"ignoreNullFields": "false"})
+    return got.crossJoin(F.broadcast(first)).select(F.concat(F.when(is_first, "").otherwise(","), element).alias("line"), "ts", "dedupe_key")
+
+
 def write_json(ledger: DataFrame, folder: str) -> None:
-    """Files of one JSON object a line, in order of time."""
-    export_rows(ledger).orderBy("ts", "dedupe_key").select(*EXPORT).write.mode("overwrite").json(folder)
+    """Text files that, one after the other, are one JSON array in order of time."""
+    spark = ledger.sparkSession
+    bracket = lambda text, place: spark.range(1).select(F.lit(place).alias("place"), F.lit(text).alias("line"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("dedupe_key"))
+    whole = bracket("[", 0).unionByName(json_elements(ledger).withColumn("place", F.lit(1))).unionByName(bracket("]", 2))
+    whole.orderBy("place", "ts", "dedupe_key").select("line").write.mode("overwrite").text(folder)
 
 
 def model_coverage(requests: DataFrame, cost_state: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 
 from ..functions import pricing
 
@@ -90,5 +92,8 @@ def bytes_human(n: int) -> str:
 
 
 def settings(command: str) -> str:
-    """The fragment of the host's settings that runs a status-line command."""
+    """The fragment of the host's settings that runs a status-line command, by its absolute path where it can be found."""
+    found = shutil.which(command)
+    if found:
+        command = os.path.abspath(found)
     return f'"statusLine": {{"type": "command", "command": {json.dumps(command, ensure_ascii=False)}}}'

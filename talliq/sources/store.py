@@ -3,7 +3,12 @@
 A batch is written to a folder of its own in every table it has rows for and then committed by one empty file, so that
 readers see all of it or nothing, and writing it again replaces it. Reading merges committed batches onto the last
 snapshot. compact() writes the merged state as a new snapshot and switches to it by renaming one small file; it keeps
-what folds need to go on. All paths go through Spark's file systems. One writer at a time.
+what folds need to go on. What a snapshot replaced is deleted by the compaction after it, so that readers can finish.
+
+Writers may run at once: each claims the number of its batch by a file that only one can create. Batches that overlap do no
+harm, since folds take the same line any number of times, and cursors go with the lines they stand behind. Compactions
+take turns by a lock file. A snapshot's requests lie in folders by day, so a range reads its days only, and they are merged
+already: only requests that later batches touched are folded again. All paths go through Spark's file systems.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,7 @@ from .. import schemas
 from ..operators import merge
 
 ENVIRONMENT = "TALLIQ_STORE"
+_DAY, _DAY_FILES = 86400, 8
 
 
 def default_path() -> str:
@@ -78,6 +85,47 @@ class Files:
         options.rename(options.makeQualified(temporary), options.makeQualified(self._path(name)), array)
 
 
+    def create(self, name: str) -> bool:
+        """Makes an empty file unless it is there; of several callers only one gets True."""
+        path = self._path(name)
+        self.fs.mkdirs(path.getParent())
+        if path.toUri().getScheme() in (None, "file"):  # a local file system only checks, so the kernel must decide
+            try:
+                os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            self.fs.create(path, False).close()
+        except Py4JJavaError:
+            if self.fs.exists(path):
+                return False
+            raise
+        return True
+
+
+class Folded:
+    """Numbers of batches that a snapshot has, as runs: a few however many there were."""
+
+    def __init__(self, runs: list[list[int]] | None = None):
+        self.runs = runs or []
+
+    def __contains__(self, batch: int) -> bool:
+        return any(a <= batch <= b for a, b in self.runs)
+
+    def most(self) -> int:
+        return self.runs[-1][1] if self.runs else -1
+
+    def also(self, batches: list[int]) -> Folded:
+        out: list[list[int]] = []
+        for a, b in sorted([*self.runs, *([n, n] for n in batches)]):
+            if out and a <= out[-1][1] + 1:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return Folded(out)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, (root or default_path()).rstrip("/")
@@ -86,46 +134,83 @@ class Store:
     # --- batches
 
     def manifest(self) -> dict:
-        return json.loads(self.files.read("MANIFEST") or '{"snapshot": null, "folded": []}')
+        return json.loads(self.files.read("MANIFEST") or '{"snapshot": null, "folded": null, "garbage": []}')
+
+    def folded(self) -> Folded:
+        return Folded(self.manifest()["folded"])
 
     def committed(self) -> list[int]:
         return sorted(int(n) for n in self.files.names("commits") if n.isdigit())
 
     def next_batch(self) -> int:
-        """Batches that aren't of a stream have even numbers, a stream's odd ones; see streaming.ingest."""
-        manifest = self.manifest()
-        return max([-2, *self.committed(), *manifest["folded"]]) // 2 * 2 + 2
+        """Claims a number that no other writer gets."""
+        claimed = [int(n) for n in self.files.names("claims") if n.isdigit()]
+        batch = max([*claimed, *self.committed(), self.folded().most()]) + 1
+        while not self.files.create(f"claims/{batch}"):
+            batch += 1
+        return batch
 
     def append(self, batch_id: int, tables: dict[str, DataFrame]) -> None:
         """Writes a batch whole; the same batch again replaces it, and a batch that a snapshot has is left alone."""
-        if batch_id in self.manifest()["folded"]:
+        if batch_id in self.folded():
             return
         for name, df in tables.items():
             df.select(*[F.col(c) for c in _columns(name)]).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
         self.files.write(f"commits/{batch_id}", "")
 
+    def _fresh(self, name: str, manifest: dict) -> DataFrame | None:
+        """Committed rows of a table that the snapshot doesn't have."""
+        folded, there = Folded(manifest["folded"]), set(self.files.names(name))
+        paths = [f"{self.root}/{name}/batch={b}" for b in self.committed() if b not in folded and f"batch={b}" in there]
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*paths) if paths else None
+
+    def _snapshot(self, name: str, manifest: dict, since: int | None = None, until: int | None = None) -> DataFrame | None:
+        """A snapshot's rows; of requests, those of the days from since on and before until."""
+        if manifest["snapshot"] is None:
+            return None
+        rows = self.spark.read.schema(schemas.TABLES[name] + (", day BIGINT" if name == "usage" else "")).parquet(f"{self.root}/snapshots/{manifest['snapshot']}/{name}")
+        if name == "usage":
+            if since is not None:
+                rows = rows.filter((F.col("day") >= since // _DAY) & (F.col("ts") >= since))
+            if until is not None:
+                rows = rows.filter((F.col("day") <= until // _DAY) & (F.col("ts") < until))
+        return rows.select(*_columns(name))
+
     def log(self, name: str) -> DataFrame:
         """All committed rows of a table that no snapshot has yet, and the snapshot's."""
         manifest = self.manifest()
-        folded, there = set(manifest["folded"]), set(self.files.names(name))
-        paths = [f"{self.root}/{name}/batch={b}" for b in self.committed() if b not in folded and f"batch={b}" in there]
-        if manifest["snapshot"] is not None:
-            paths.append(f"{self.root}/snapshots/{manifest['snapshot']}/{name}")
-        schema = schemas.TABLES[name]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._union(name, self._snapshot(name, manifest), self._fresh(name, manifest))
+
+    def _union(self, name: str, *parts: DataFrame | None) -> DataFrame:
+        some = [p for p in parts if p is not None]
+        if not some:
+            return self.spark.createDataFrame([], schemas.TABLES[name])
+        return some[0] if len(some) == 1 else some[0].unionByName(some[1])
 
     # --- merged tables
 
-    def requests(self) -> DataFrame:
-        return merge.requests(self.log("usage"))
+    def requests(self, since: int | None = None, until: int | None = None) -> DataFrame:
+        """Merged requests whose time is in [since, until). A snapshot's requests that no later batch touched are read as
+        they are, and only those of the range."""
+        manifest = self.manifest()
+        fresh = self._fresh("usage", manifest)
+        if fresh is None:
+            return self._union("usage", self._snapshot("usage", manifest, since, until))
+        keys, whole = fresh.select("dedupe_key").distinct(), self._snapshot("usage", manifest)
+        touched = fresh if whole is None else fresh.unionByName(whole.join(keys, "dedupe_key", "left_semi"))
+        merged = merge.requests(touched).select(*_columns("usage"))
+        if since is not None:
+            merged = merged.filter(F.col("ts") >= since)
+        if until is not None:
+            merged = merged.filter(F.col("ts") < until)
+        if whole is None:
+            return merged
+        return self._snapshot("usage", manifest, since, until).join(keys, "dedupe_key", "left_anti").select(*_columns("usage")).unionByName(merged)
 
     def sessions(self) -> DataFrame:
         """Folded from all lines; lines that a snapshot has merged are in its sessions."""
-        manifest = self.manifest()
-        folded, there = set(manifest["folded"]), set(self.files.names("usage"))
-        paths = [f"{self.root}/usage/batch={b}" for b in self.committed() if b not in folded and f"batch={b}" in there]
-        fresh = self.spark.read.schema(schemas.USAGE).parquet(*paths) if paths else self.spark.createDataFrame([], schemas.USAGE)
-        return merge.sessions(fresh, self.log("sessions"))
+        fresh = self._fresh("usage", self.manifest())
+        return merge.sessions(self.spark.createDataFrame([], schemas.USAGE) if fresh is None else fresh, self.log("sessions"))
 
     def cost_state(self) -> DataFrame:
         return merge.latest_cost(self.log("cost_state"))
@@ -145,6 +230,14 @@ class Store:
     def compact(self, *, before: int | None = None, drop_cursors: DataFrame | None = None) -> None:
         """Writes a snapshot of the merged state; before: without requests, limits and snapshots of costs older than it.
         Sessions and cursors stay, so that what was pruned doesn't come back. drop_cursors: paths to forget."""
+        if not self.files.create("COMPACTING"):
+            raise RuntimeError(f"another compaction is running; if none is, delete {self.root}/COMPACTING")
+        try:
+            self._compact(before, drop_cursors)
+        finally:
+            self.files.delete("COMPACTING")
+
+    def _compact(self, before: int | None, drop_cursors: DataFrame | None) -> None:
         manifest, batches = self.manifest(), self.committed()
         number = -1 if manifest["snapshot"] is None else manifest["snapshot"]
         target = f"{self.root}/snapshots/{number + 1}"
@@ -152,18 +245,23 @@ class Store:
         cursors = self.cursors()
         if drop_cursors is not None:
             cursors = cursors.join(drop_cursors.select("path"), "path", "left_anti")
+        requests = keep(self.requests(), "ts")
+        day = F.floor(F.col("ts") / _DAY).alias("day")
+        # a day's requests go to as many files as a shuffle has partitions, at most
+        by_day = requests.select(*_columns("usage"), day).repartition("day", F.pmod(F.hash("dedupe_key"), F.lit(_DAY_FILES)))
+        by_day.write.mode("overwrite").partitionBy("day").parquet(f"{target}/usage")
         for name, df in (
-            ("usage", keep(self.requests(), "ts")), ("sessions", self.sessions()), ("cost_state", keep(self.cost_state(), "captured_at")),
-            ("limits", keep(self.limits(), "ts")), ("cursors", cursors),
+            ("sessions", self.sessions()), ("cost_state", keep(self.cost_state(), "captured_at")), ("limits", keep(self.limits(), "ts")), ("cursors", cursors),
         ):
             df.select(*_columns(name)).write.mode("overwrite").parquet(f"{target}/{name}")
-        self.files.write("MANIFEST", json.dumps({"snapshot": number + 1, "folded": sorted({*manifest["folded"], *batches})}))
+        old = [f"{name}/batch={b}" for b in batches for name in schemas.TABLES] + ([f"snapshots/{number}"] if number >= 0 else [])
+        folded = Folded(manifest["folded"]).also(batches)
+        self.files.write("MANIFEST", json.dumps({"snapshot": number + 1, "folded": folded.runs, "garbage": old}))
         for b in batches:
             self.files.delete(f"commits/{b}")
-            for name in schemas.TABLES:
-                self.files.delete(f"{name}/batch={b}")
-        if number >= 0:
-            self.files.delete(f"snapshots/{number}")
+            self.files.delete(f"claims/{b}")
+        for name in manifest["garbage"]:
+            self.files.delete(name)
 
     def delete_cursors(self, paths: list[str]) -> None:
         """Forgets cursors of files that are gone."""

@@ -48,6 +48,14 @@ def known_cursors(store: Store, root: str) -> dict[str, dict]:
     return {r["path"]: {"byte_offset": r["byte_offset"], "file_id": r["file_id"], "head_hash": r["head_hash"]} for r in rows.join(here, "path").collect()}
 
 
+def changes(store: Store, batches: list[int]) -> int:
+    """How many lines of these batches inserted a request or made one grow; looks at the requests they touch."""
+    log = store.log("usage")
+    ours = F.col("batch_id").isin(batches)
+    touched = log.join(log.filter(ours).select("dedupe_key").distinct(), "dedupe_key", "left_semi")
+    return merge.effective(touched).filter(ours).agg(F.count_if("effective").alias("changed")).first()["changed"]
+
+
 def write_batch(store: Store, raw: DataFrame, batch_id: int, now: int, count_changes: bool = True) -> Report:
     """Parses raw lines and appends usage, costs and cursors as one batch; nothing is written without lines."""
     decoded = parse.decoded(raw).persist(StorageLevel.MEMORY_AND_DISK)
@@ -64,32 +72,39 @@ def write_batch(store: Store, raw: DataFrame, batch_id: int, now: int, count_cha
             tables["cost_state"] = parse.cost_lines(decoded, now, batch_id)
         store.append(batch_id, tables)
         if count_changes and report.usage:
-            keys = parse.usage_lines(decoded, batch_id).select("dedupe_key").distinct()
-            report.changed = merge.change_count(store.log("usage").join(keys, "dedupe_key", "left_semi"), batch_id).first()["changed"]
+            report.changed = changes(store, [batch_id])
         return report
     finally:
         decoded.unpersist()
 
 
-def drain(store: Store, root: str, *, now: int | None = None, budget: float | None = None, batch_lines: int | None = BATCH_LINES) -> Report:
+def drain(store: Store, root: str, *, now: int | None = None, budget: float | None = None, batch_lines: int | None = BATCH_LINES, count_changes: bool = True) -> Report:
     """Batches of at most so many lines of each file until nothing is new or the budget of seconds is over. Whatever was
-    committed stays, so that every call gets further."""
+    committed stays, so that every call gets further. Changes are counted once, at the end, and only when asked."""
     spark, now = store.spark, int(time.time()) if now is None else now
     register(spark)
-    deadline, total = None if budget is None else time.monotonic() + budget, Report()
+    deadline, total, batches = None if budget is None else time.monotonic() + budget, Report(), []
+
+    def ended(exhausted: bool) -> Report:
+        total.exhausted = exhausted
+        if count_changes and total.usage:
+            total.changed = changes(store, batches)
+        return total
+
     while True:
         options = {"cursors": json.dumps(known_cursors(store, root))}
         if batch_lines:
             options["maxLinesPerBatch"] = str(batch_lines)
         raw = spark.read.format("transcripts").options(**options).load(root)
-        report = write_batch(store, raw, store.next_batch(), now)
+        batch = store.next_batch()
+        report = write_batch(store, raw, batch, now, count_changes=False)
         total.add(report)
         if not report.lines:
-            total.exhausted = True
-            return total
+            store.files.delete(f"claims/{batch}")
+            return ended(True)
+        batches.append(batch)
         if deadline is not None and time.monotonic() >= deadline:
-            total.exhausted = False
-            return total
+            return ended(False)
 
 
 def backfill(store: Store, root: str | None = None, *, now: int | None = None) -> Report:
@@ -106,16 +121,21 @@ def stale_cursors(store: Store) -> list[str]:
 
 
 def stream(store: Store, root: str, checkpoint: str, *, batch_lines: int | None = BATCH_LINES, trigger: dict | None = None):
-    """A running query that ingests what is appended. A batch that is run again replaces itself, so its effect comes once."""
+    """A running query that ingests what is appended. A batch that is run again keeps the number that it has claimed, and
+    so replaces itself: its effect comes once."""
     register(store.spark)
-    name = f"streams/{abs(hash_of(checkpoint))}"
-    base = store.files.read(name)
-    if base is None:
-        base = str(store.next_batch())
-        store.files.write(name, base)
+    name = f"streams/{hash_of(checkpoint)}"
     options = {"cursors": json.dumps(known_cursors(store, root))} | ({"maxLinesPerBatch": str(batch_lines)} if batch_lines else {})
     source = store.spark.readStream.format("transcripts").options(**options).load(root)
-    write = lambda df, k: write_batch(store, df, int(base) + 2 * k + 1, int(time.time()), count_changes=False)
+
+    def write(df: DataFrame, k: int) -> None:
+        batch = store.files.read(f"{name}-{k}")
+        if batch is None:
+            batch = str(store.next_batch())
+            store.files.write(f"{name}-{k}", batch)
+        write_batch(store, df, int(batch), int(time.time()), count_changes=False)
+        store.files.delete(f"{name}-{k - 2}")
+
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 

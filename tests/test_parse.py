@@ -16,7 +16,7 @@ def decoded(spark, lines):
 @pytest.mark.parametrize(
     ("text", "status"),
     [
-        (line(), "usage"), ("", "other"), (" \t", "other"), ("{{{", "malformed"), ("[]", "malformed"), ("5", "malformed"), ('{"type":5}', "malformed"), (line() + " tail", "malformed"), ("{}", "other"),
+        (line(), "usage"), ("", "other"), (" \t", "other"), ("{{{", "malformed"), ("[]", "malformed"), ("5", "malformed"), ('{"type":5}', "malformed"), (line() + " tail", "malformed"), (line() + line(), "malformed"), (line() + " {}", "malformed"), ('{"type":"x","cwd":"}{"}', "other"), ("{}", "other"),
         (line(kind="user"), "other"), (line(usage={}), "usage"), ('{"type":"assistant","message":{"id":"x"}}', "other"), (line(key=None), "dropped"), (line(model=None), "dropped"), (line(ts="2026-03-17"), "dropped"),
         (line(ts="nonsense"), "dropped"), (line(model="<synthetic>"), "other"), (line(model="<synthetic>", ts="x"), "dropped"), (line(usage={"input_tokens": "5"}), "malformed"), (line(usage={"input_tokens": 1.5}), "malformed"),
         (line(usage={"input_tokens": None}), "usage"), (cost_state(), "cost"), ('{"type":"cost-state","modelUsage":{}}', "other"), ('{"type":"cost-state","sessionId":"s"}', "other"), (None, "malformed"), (line(session=None, cwd=None), "usage"),

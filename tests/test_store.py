@@ -147,7 +147,9 @@ def test_commands(spark, tmp_path, monkeypatch):
     got = [r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect()]
     assert got[0] == ",".join(reports.EXPORT) and "2026-03-17T08:30:00+00:00,claude-opus-5,/proj,/proj,21,77,90,410,598" in got
     run("export", "--format", "json", "--to", str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json")).count() == 5
+    parts = sorted(f for f in os.listdir(tmp_path / "json") if f.startswith("part-"))
+    array = json.loads("".join(open(tmp_path / "json" / f).read() for f in parts))
+    assert len(array) == 5 and set(array[0]) == set(reports.EXPORT) and [x["timestamp"] for x in array] == sorted(x["timestamp"] for x in array)
     assert run("install", "--exe", 'a "b"') == ['"statusLine": {"type": "command", "command": "a \\"b\\""}']
 
 
@@ -179,3 +181,52 @@ def test_duplicate_sources(spark, tmp_path):
     ingest.drain(store, str(tmp_path / "t"))
     assert [tuple(r) for r in reports.duplicate_sources(store.requests()).collect()] == [("s1", 2)]
     assert store.transcripts().count() == 2 and parse.USAGE == "usage" and time.time() > 0
+
+
+def test_concurrent_drains_lose_nothing(spark, tmp_path):
+    """Two writers with stores of their own take the same files at once, in small batches."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder, root = str(tmp_path / "t"), str(tmp_path / "s")
+    for k in range(2):
+        write(f"{folder}/{k}.jsonl", [line(f"m{k}-{i // 2}", output=i + 1, session=f"s{k}") for i in range(24)])
+    with ThreadPoolExecutor(2) as pool:
+        reports_ = list(pool.map(lambda _: ingest.drain(Store(spark, root), folder, batch_lines=7, count_changes=False), range(2)))
+    store = Store(spark, root)
+    assert all(r.exhausted for r in reports_) and sum(r.lines for r in reports_) >= 48
+    got = {r["dedupe_key"]: r["output"] for r in store.requests().collect()}
+    assert got == {f"m{k}-{j}": 2 * j + 2 for k in range(2) for j in range(12)}
+    assert [r["byte_offset"] for r in store.cursors().orderBy("path").collect()] == [os.path.getsize(f"{folder}/{k}.jsonl") for k in range(2)]
+    assert len(set(store.committed())) == len(store.committed()) and store.next_batch() != store.next_batch()
+
+
+def test_one_compaction_at_a_time(spark, tmp_path):
+    import pytest
+
+    store = Store(spark, str(tmp_path / "s"))
+    write(str(tmp_path / "t" / "a.jsonl"), [line("a")])
+    ingest.drain(store, str(tmp_path / "t"))
+    assert store.files.create("COMPACTING")
+    with pytest.raises(RuntimeError, match="another compaction"):
+        store.compact()
+    store.files.delete("COMPACTING")
+    store.compact()
+    assert store.requests().count() == 1 and store.folded().runs == [[0, 0]]
+
+
+def test_ranges_read_days_of_a_snapshot(spark, tmp_path):
+    store, path = Store(spark, str(tmp_path / "s")), str(tmp_path / "t" / "a.jsonl")
+    write(path, [line(f"m{d}", output=d, ts=f"2026-03-{d:02}T12:00:00Z") for d in range(1, 21)])
+    ingest.drain(store, path)
+    store.compact()
+    since, until = NOON // 86400 * 86400, NOON // 86400 * 86400 + 86400
+    plan = store.requests(since, until)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "Exchange" not in plan
+    assert [r["dedupe_key"] for r in store.requests(since, until).collect()] == ["m17"]
+    write(path, [line("m17", output=99, ts="2026-03-19T00:00:00Z"), line("m3", output=70, ts="2026-03-17T01:00:00Z"), line("new", ts="2026-03-17T02:00:00Z")], "a")
+    ingest.drain(store, path)
+    assert sorted((r["dedupe_key"], r["output"]) for r in store.requests(since, until).collect()) == [("m17", 99), ("new", 0)]
+    whole = {r["dedupe_key"]: r["output"] for r in store.requests().collect()}
+    assert len(whole) == 21 and whole["m3"] == 70
+    store.compact()
+    assert {r["dedupe_key"]: r["output"] for r in store.requests().collect()} == whole
