@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, formats, pricing, render
 from ..operators import merge, parse
-from . import reports, testbed
+from . import ingestion, reports, testbed
 from .testbed import ORACLE, TOTALS
 
 HOME = "/home/user"
@@ -313,3 +313,24 @@ ORACLES |= {
     for p, z in _ZONES.items()
     for by in reports.GROUPS
 }
+
+#: The status line of a payload, in SQL.
+_COLOUR = lambda p: f"CASE WHEN {p} >= 90 THEN '{render.RED}' WHEN {p} >= 70 THEN '{render.ORANGE}' WHEN {p} >= 50 THEN '{render.YELLOW}' ELSE '{render.GREY}' END"
+_LEFT = "CASE WHEN k * 60 >= 86400 THEN (k * 60 // 86400) || 'd' WHEN k * 60 >= 3600 THEN (k * 60 // 3600) || 'h' || (k * 60 % 3600 // 60) || 'm' ELSE k || 'm' END"
+_LIMIT = lambda name, pct: f"('{render.GREY}{name} ' || {_COLOUR(pct)} || ({pct}) || '%' || CASE WHEN k > 0 THEN '{render.GREY} (' || {_LEFT} || ')' ELSE '' END || '{render.RESET}')"
+_SEPARATOR = f"{render.GREY} • {render.RESET}"
+_FOLDER = f"'{render.CYAN}~/a/.b/' || k || '{render.RESET}'"
+_CHANGED = f"CASE WHEN k % 5 = 0 AND k % 3 = 0 THEN '' ELSE '({render.GREEN}+' || (k % 5) || '{render.RESET} {render.RED}-' || (k % 3) || '{render.RESET})' END"
+_COUNT = """CASE WHEN k >= 1000000 THEN CAST(round(k / 10000.0::DOUBLE) AS BIGINT) || 'M' WHEN k >= 100000 THEN printf('%.0f', k / 10000.0::DOUBLE) || 'M' WHEN k >= 10000 THEN printf('%.1f', k / 10000.0::DOUBLE) || 'M'
+  WHEN k >= 1000 THEN CAST(round(k / 10.0::DOUBLE) AS BIGINT) || 'k' WHEN k >= 100 THEN printf('%.0f', k / 10.0::DOUBLE) || 'k' ELSE printf('%.1f', k / 10.0::DOUBLE) || 'k' END"""
+_FALLBACK = f"'{render.GREY}{render.NAME}{render.RESET}'"
+ORACLES["status_lines"] = f"""WITH e AS (SELECT event_id AS k, event_id % 101 AS p, CAST(round(event_id % 101 / 10.0::DOUBLE) AS INTEGER) AS filled FROM events)
+SELECT k AS event_id, CASE WHEN k % 50 = 0 THEN {_FALLBACK} ELSE {_FOLDER} || CASE WHEN k % 3 = 0 THEN ' {render.BLUE}{render.ICON_BRANCH} {render.GREEN}main' || {_CHANGED} || '{render.RESET}' ELSE '' END || '{_SEPARATOR}'
+  || '{render.MAGENTA}{render.ICON_CONTEXT} {render.GREY}' || repeat('█', filled) || repeat('░', 10 - filled) || '{render.RESET} ' || {_COLOUR('p')} || p || '%{render.RESET}' || '{_SEPARATOR}'
+  || '{render.GREY}{render.ICON_LIMITS} {render.RESET}' || {_LIMIT('5h', 'k % 99')} || CASE WHEN k % 2 = 0 THEN ' ' || {_LIMIT('7d', 'k % 55')} ELSE '' END || '{_SEPARATOR}'
+  || '{render.TEAL}{render.ICON_MODEL} {render.ORANGE}Opus 5{render.RESET}{render.GREY} · 200k{render.RESET}' || '{_SEPARATOR}' || '{render.GREY}{render.ICON_TOKENS} today {render.RESET}' || {_COUNT} END AS line,
+  CASE WHEN k % 50 = 0 THEN {_FALLBACK} ELSE {_FOLDER} || '{_SEPARATOR}' || {_COLOUR('p')} || p || '%{render.RESET}' || CASE WHEN k > 0 THEN '{_SEPARATOR}{render.GREY}{render.ICON_TOKENS} today {render.RESET}$' || printf('%.2f', k / 100.0::DOUBLE) ELSE '' END END AS short
+FROM e"""
+
+QUERIES |= ingestion.QUERIES
+ORACLES |= ingestion.ORACLES
