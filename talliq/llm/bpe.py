@@ -184,6 +184,8 @@ def encode(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="t
                 held.add(i, text, of)
         if held.ids:
             yield held.rows((part << 32) + k, n)
+        held = None
+        common.release()
 
     def encoded(key, got):
         one, known, out = _encoder(shared.value, pattern)._encode_single_piece, {}, []
@@ -213,6 +215,8 @@ def encode(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="t
             finish(i if x else None, places[b - n : b], words)
             for i, x, n, b in zip(ids.tolist(), there.tolist(), counts.tolist(), ends.tolist(), strict=True)
         ]
+        del words, places
+        common.release()
         return pa.Table.from_pylist(out, fields)
 
     def sent(batches):

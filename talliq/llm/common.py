@@ -22,6 +22,20 @@ _WORD_BYTES = bytes(
 )
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: Python workers stay for later tasks of any stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        globals()["_libc"] = ctypes.CDLL(None)
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

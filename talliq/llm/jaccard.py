@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, trees: int, size: int) -> DataFrame:
                 digests.append(digest)
                 labels.append(known[digest])
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(counts, pa.int32()), "labels": pa.array(labels, pa.binary())})
+        common.release()
 
     return docs.mapInArrow(signed, "doc_id long, digest binary, n int, labels binary")
 
@@ -135,6 +136,7 @@ def _sets(docs: DataFrame, trees: int, size: int) -> DataFrame:
             sets = [forest.shingles(t.as_py()).tobytes() for t in batch.column("text")]
             same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == d.as_py() for x, d in zip(sets, batch.column("digest"), strict=True)])
             yield pa.record_batch({"rep": batch.column("rep"), "shingles": pa.array(sets, pa.binary())}).filter(same)
+        common.release()
 
     return docs.mapInArrow(made, "rep long, shingles binary").dropDuplicates(["rep"])
 
@@ -232,6 +234,8 @@ def _by_group(rows: DataFrame, work, schema: str) -> DataFrame:
             held = held.slice(ends[-1]).combine_chunks() if ends else held
         if held is not None and len(held):
             yield from work(held).to_batches()
+        held = None
+        common.release()
 
     return rows.repartition(*_FIELDS).sortWithinPartitions(*_FIELDS).mapInArrow(worked, schema)
 
@@ -252,7 +256,8 @@ def prefixes(classes: DataFrame, threshold: float, trees: int, recall: float) ->
     crowded = held.filter(F.col("members") > CROWD)
     deeper = crowded.withColumn("depth", F.explode(F.sequence(F.lit(SHALLOWEST), F.lit(DEEPEST)))).withColumn("key", _prefix(F.col("depth")))
     sizes = deeper.groupBy("tree", "depth", "key").agg(F.count("*").alias("size"))
-    told = deeper.join(sizes, ["tree", "depth", "key"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "depth", "size")).alias("all"))
+    sized = common.checkpointed(deeper.join(sizes, ["tree", "depth", "key"]).select("rep", "tree", "depth", "key", "n", "size"))
+    told = sized.groupBy("rep").agg(F.collect_list(F.struct("tree", "depth", "size")).alias("all"))
 
     @F.arrow_udf("binary")
     def chosen(rows: pa.Array) -> pa.Array:
@@ -267,7 +272,7 @@ def prefixes(classes: DataFrame, threshold: float, trees: int, recall: float) ->
     depths = common.checkpointed(told.select("rep", chosen("all").alias("depths")))
     rare = held.filter(F.col("members") <= CROWD).select("rep", "tree", F.lit(SHALLOWEST).alias("depth"), _prefix(SHALLOWEST).alias("key"), "n", F.lit(True).alias("asks"))
     own = F.conv(F.hex(F.substring(F.col("depths"), F.col("tree") + 1, F.lit(1))), 16, 10).cast("int")
-    common_ones = deeper.select("rep", "tree", "depth", "key", "n").join(depths, "rep").select("rep", "tree", "depth", "key", "n", (own == F.col("depth")).alias("asks"))
+    common_ones = sized.join(depths, "rep").select("rep", "tree", "depth", "key", "n", (own == F.col("depth")).alias("asks"))
     return rare.unionByName(common_ones), depths
 
 

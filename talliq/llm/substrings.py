@@ -259,6 +259,7 @@ def shards(packed: DataFrame, *, length: int = LENGTH, grams: int = GRAMS, steps
 
     def dealt(key, got, answers):
         rows = _dealt(got.column("body")[0].as_py(), answers.column("cell").to_pylist(), answers.column("blob").to_pylist(), length, grams, steps, n) if len(got) else []
+        common.release()
         return _rows(rows, key[0].as_py())
 
     anchors = packed.select("chunk", "body").mapInArrow(sent, _SEGMENTS)
@@ -272,7 +273,9 @@ def intervals(segments: DataFrame, length: int = LENGTH) -> DataFrame:
     def sorted_out(key, got):
         if key[0].as_py() < 0:
             return got.select(["chunk", "blob"])
-        return _sorted_out(got, length)
+        out = _sorted_out(got, length)
+        common.release()
+        return out
 
     # what goes without sorting needs no other chunk's rows: it is spread by chunk
     key = F.when(F.col("cell") < 0, -1 - F.col("chunk")).otherwise(F.col("cell"))
