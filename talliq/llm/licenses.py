@@ -1,15 +1,20 @@
 """License scan: places of fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a window of as many words as a template has, wherever it stands in a text of several lines: so notices
-that are wrapped over lines are found (OP3_SQL has lines only, and finds none of those). Its words and a template's words are sets; a block meets a template if it holds at least THRESHOLD of
-the template's words. Template words are ordered by how many blocks of the whole table hold them, rarest first. A block
-that meets a template of n words, of which o are needed, must hold one of its n - o + 1 first words (prefix filter), must
-hold at least o words of any template (length filter), and the found prefix word must leave o words from its place on
-(positional filter); what passes is verified exactly. For windows the filters are asked of the whole text first, and
-windows are taken where a word of the template stands, once for each text and template. The templates are a parameter, so the broadcast sides are as small
-as they are. Everything is DataFrame functions.
-
-Null text is empty: no words, no places, no labels, score 0. Rows that share a doc_id share the labels of their blocks.
+that are wrapped over lines are found (OP3_SQL has lines only, and finds none of those). Its words and a template's words
+are sets; a block meets a template if it holds at least THRESHOLD of the template's words. Words of all templates are put in
+one order by how many blocks of the whole table hold them, rarest first. A block that meets a template of n words, of which
+o are needed, must hold one of its n - o + 1 first words (prefix filter), must hold at least o words of any template (length
+filter), and from the first shared word on must have o words left in the common order, as the template has (positional
+filter: what stands before it in the order can't be shared any more); what passes is verified exactly. For windows the
+filters are asked of the whole text first, and windows are taken where a word of the template stands, once for each text
+and template. The templates are a parameter, so what is broadcast, and the count of each of their words, which the driver
+gets, are as small as they are. Everything is DataFrame functions.
+
+Null text is empty: no words, no places, no labels, score 0. Repeated rows each get a result; rows that share a doc_id share
+the labels of their blocks, and so do those without one. Very long texts and lines are scanned whole; a text's words of
+templates and their places are in memory at once. Equal containments don't matter: labels are a set, the score is the best.
+An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +23,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -78,29 +82,48 @@ def template_sets(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tup
     return out
 
 
-def _literal_table(spark, sets, templates) -> DataFrame:
-    width = lambda k: F.lit(len(common.words_of(templates[k][1].encode())))
-    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("tokens"), F.lit(need).alias("need"), width(k).alias("width")) for k, label, words, need in sets])
-    return spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
+def _literals(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)).cast("array<string>")
+
+
+def prefix_table(spark, sets, order: list[str], templates) -> DataFrame:
+    """(token, template, label, template_tokens, need, width, earlier): the words of which a block must hold one, and the
+    template's words before each in the common order."""
+    rank, rows = {t: k for k, t in enumerate(order)}, []
+    for k, label, words, need in sets:
+        words = sorted(words, key=rank.__getitem__)
+        width = len(common.words_of(templates[k][1].encode()))
+        for i in range(len(words) - need + 1):
+            rows.append(F.struct(F.lit(words[i]).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"), _literals(words).alias("template_tokens"), F.lit(need).alias("need"), F.lit(width).alias("width"), _literals(words[:i]).alias("earlier")))
+    if not rows:
+        return spark.range(0).selectExpr("'' AS token", "0 AS template", "'' AS label", "array('') AS template_tokens", "0 AS need", "0 AS width", "array('') AS earlier")
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
+def passing(blocks: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Blocks (with tokens in the common order) and the templates that prefix, length and positional filters leave to them,
+    each pair once: at its first shared word."""
+    probes = blocks.withColumn("token", F.explode("tokens")).join(F.broadcast(prefixes), "token")
+    left = F.size("tokens") - F.array_position("tokens", F.col("token")) + 1
+    return probes.filter((F.size("tokens") >= F.col("need")) & (left >= F.col("need")) & ~F.arrays_overlap("earlier", "tokens"))
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]) -> DataFrame:
     """(doc_id, tokens): for each line, the distinct words that any template has; lines without one are left out."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(lowered(F.col(text_col)), "\n", -1)).alias("line"))
     words = F.split(F.regexp_replace("line", common.GAP_PATTERN, " "), " ", -1)
-    held = F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
+    held = F.array_intersect(words, _literals(vocabulary))
     # behind a generator, so that the optimiser doesn't compute the words again for the filter
     return lines.select("doc_id", F.explode(F.array(held)).alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], prefixes: DataFrame, least: int) -> DataFrame:
+def _windows(docs: DataFrame, id_col: str, text_col: str, order: list[str], prefixes: DataFrame, least: int) -> DataFrame:
     """(doc_id, template, label, containment) of the best window of each text of several lines and template that it meets."""
     words = F.split(F.regexp_replace("text", common.GAP_PATTERN, " "), " ", -1)
     several = docs.filter(F.contains(F.col(text_col).cast("string"), F.lit("\n")))
     texts = several.select(F.col(id_col).alias("doc_id"), F.explode(F.array(lowered(F.col(text_col)))).alias("text"))
-    held = texts.withColumn("tokens", F.explode(F.array(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))))).filter(F.size("tokens") >= least)
-    found = held.withColumn("token", F.explode("tokens")).join(F.broadcast(prefixes), "token").filter(~F.arrays_overlap("earlier", "tokens"))
-    found = found.filter(F.size(F.array_intersect("template_tokens", "tokens")) >= F.col("need"))
+    held = texts.withColumn("tokens", F.explode(F.array(F.array_intersect(_literals(order), words)))).filter(F.size("tokens") >= least)
+    found = passing(held, prefixes).filter(F.size(F.array_intersect("template_tokens", "tokens")) >= F.col("need"))
     placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     spots = F.filter(placed, lambda x: F.array_contains("template_tokens", x["word"]))
     # behind a generator, so that the optimiser doesn't move the computation into the lambda below
@@ -120,24 +143,16 @@ def matched_blocks(docs: DataFrame, *, id_col="doc_id", text_col="text", templat
     sets = template_sets(templates, threshold)
     vocabulary = sorted({w for _, _, words, _ in sets for w in words})
     blocks = _blocks(docs, id_col, text_col, vocabulary)
-    frequency = blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("blocks"))
-    table = _literal_table(spark, sets, templates)
-    in_order = Window.partitionBy("template").orderBy(F.coalesce("blocks", F.lit(0)), "token")
-    ordered = (
-        table.withColumn("token", F.explode("tokens"))
-        .join(frequency, "token", "left")
-        .withColumn("place", F.row_number().over(in_order) - 1)
-        .withColumn("earlier", F.collect_list("token").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
-    )
-    size = F.size("tokens")
-    prefixes = ordered.filter((F.col("place") <= size - F.col("need")) & (size - F.col("place") >= F.col("need")))
-    prefixes = prefixes.select("token", "template", "label", F.col("tokens").alias("template_tokens"), "need", "width", "earlier")
+    counted = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    counts = {r["token"]: r["count"] for r in counted.collect()}  # a row for each word of templates, at most
+    order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
+    prefixes = prefix_table(spark, sets, order, templates)
     least = min((need for *_, need in sets), default=0)
-    probes = blocks.filter(F.size("tokens") >= least).withColumn("token", F.explode("tokens"))
-    found = probes.join(F.broadcast(prefixes), "token").filter(F.size("tokens") >= F.col("need"))
+    in_order = blocks.filter(F.size("tokens") >= least).withColumn("tokens", F.explode(F.array(F.array_intersect(_literals(order), "tokens"))))
     share = F.size(F.array_intersect("template_tokens", "tokens"))
-    lines = found.filter(share >= F.col("need")).select("doc_id", "template", "label", (share / F.size("template_tokens")).alias("containment"))
-    return lines.unionByName(_windows(docs, id_col, text_col, vocabulary, prefixes, least))
+    found = passing(in_order, prefixes).filter(share >= F.col("need"))
+    lines = found.select("doc_id", "template", "label", (share / F.size("template_tokens")).alias("containment"))
+    return lines.unionByName(_windows(docs, id_col, text_col, order, prefixes, least))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 A document's own evidence is a logistic model over its whole text: shares of symbols, capitals and repetition, and the
 words that tell the classes apart. It is fitted on at most about PER_CLASS labelled rows of each combination of labels,
-chosen by a hash of the id. Sites add evidence: labelled outcomes are counted by path and host over all labelled rows,
-a host's posterior shrinks to the global rate and a path's to its host's, with strengths that the spread between sites
-gives. Sparse sites thus say little. The document's log odds are its own plus what its path's posterior adds to the
-global rate.
+chosen by a hash of the id. Sites add evidence: labelled outcomes are counted by path and host over all labelled rows, a
+host's posterior shrinks to the global rate and a path's to its host's, by strengths that follow from the spread of hosts
+around the global rate and of paths around their hosts' posteriors. Sparse sites thus say little. The document's log odds
+are its own plus what its path's posterior adds to the global rate; a labelled document's own labels are taken out of its
+site's counts first.
 
 The host is the part of the source before its first slash (after a scheme), the path the first part behind it; a null
 source is the site of the empty name. Null text is empty. Without labels, every document has the neutral 0.5 of quality,
-0 of toxicity and is kept. Repeated labels of a document all count. keep: quality at least 0.5 and toxicity below 0.5.
+0 of toxicity and is kept. Repeated labels of a document all count, labels other than 0 and 1 don't; repeated documents and
+those that share an id or have none each get a result, with the labels of the id, those without one with none. Of equally
+telling words the first by hash are used. Very long texts count whole. An empty table gives an empty result; other columns
+are not looked at. keep: quality at least 0.5 and toxicity below 0.5.
 """
 
 from __future__ import annotations
@@ -163,32 +167,49 @@ def _logit(p: Column) -> Column:
     return F.log(safe / (1 - safe))
 
 
-def _strength(sites: DataFrame, n: str, k: str, rate: float) -> float:
-    """How many rows the prior weighs: by moments of the sites' rates around the global one."""
-    r = sites.select(F.sum(F.pow(F.col(k) - F.col(n) * rate, 2)).alias("s"), F.sum(n).alias("n"), F.sum(F.col(n) * (F.col(n) - 1)).alias("p")).first()
-    if not r["n"] or not r["p"] or rate in (0.0, 1.0):
+def _strength(sites: DataFrame, n: str, k: str, around: Column) -> float:
+    """How many rows the prior weighs: by moments of the sites' rates around what they shrink to."""
+    off, within = F.pow(F.col(k) - F.col(n) * around, 2), F.col(n) * around * (1 - around)
+    r = sites.select(F.sum(off).alias("s"), F.sum(within).alias("w"), F.sum(n).alias("n"), F.sum(F.col(n) * (F.col(n) - 1)).alias("p")).first()
+    if not r["n"] or not r["p"] or not r["w"]:
         return 1e4
-    within = rate * (1 - rate)
-    between = max(float(r["s"] - r["n"] * within) / float(r["p"]), within / 1e4)
-    return min(max(within / between - 1, 1.0), 1e4)
-
-
-def posteriors(labelled: DataFrame, targets: tuple[str, ...], source_col: str = "source") -> tuple[DataFrame, dict[str, float]]:
-    """(host, path, <target>_site for each target) by grouped aggregation, and the global rates."""
-    host, path = host_and_path(F.col(source_col))
-    outcomes = labelled.select(host.alias("host"), path.alias("path"), *[F.when(F.col(t).isin(0, 1), F.col(t).cast("int")).alias(t) for t in targets])
-    paths = common.checkpointed(outcomes.groupBy("host", "path").agg(*[f(t).alias(f"{t}_{name}") for t in targets for name, f in (("n", F.count), ("k", lambda t: F.coalesce(F.sum(t), F.lit(0))))]))
-    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(f"host_{c}") for t in targets for c in (f"{t}_n", f"{t}_k")])
-    whole = paths.agg(*[F.sum(c).alias(c) for t in targets for c in (f"{t}_n", f"{t}_k")]).first()
-    rates = {t: (whole[f"{t}_k"] + 0.5) / (whole[f"{t}_n"] + 1) if whole[f"{t}_n"] else 0.5 for t in targets}
-    joined, out = paths.join(hosts, "host"), []
-    for t in targets:
-        of_host = _strength(hosts, f"host_{t}_n", f"host_{t}_k", rates[t])
-        of_path = _strength(paths, f"{t}_n", f"{t}_k", rates[t])
-        host_post = (F.col(f"host_{t}_k") + of_host * rates[t]) / (F.col(f"host_{t}_n") + of_host)
-        out.append(((F.col(f"{t}_k") + of_path * host_post) / (F.col(f"{t}_n") + of_path)).alias(f"{t}_site"))
-        out.append(host_post.alias(f"{t}_host"))
-    return joined.select("host", "path", *out), rates
+    spread = float(r["w"]) / float(r["n"])
+    between = max(float(r["s"] - r["w"]) / float(r["p"]), spread / 1e4)
+    return min(max(spread / between - 1, 1.0), 1e4)
+
+
+def _shrunk(n: Column, k: Column, strength: float, towards: Column) -> Column:
+    return (k + strength * towards) / (n + strength)
+
+
+class Sites:
+    """Counts of labelled outcomes by host and path, global rates, and the strengths of hosts' and paths' priors."""
+
+    def __init__(self, labelled: DataFrame, targets: tuple[str, ...], source_col: str = "source"):
+        host, path = host_and_path(F.col(source_col))
+        outcomes = labelled.select(host.alias("host"), path.alias("path"), *[F.when(F.col(t).isin(0, 1), F.col(t).cast("int")).alias(t) for t in targets])
+        counted = (("n", F.count), ("k", lambda t: F.coalesce(F.sum(t), F.lit(0))))
+        paths = common.checkpointed(outcomes.groupBy("host", "path").agg(*[f(t).alias(f"{t}_{name}") for t in targets for name, f in counted]))
+        hosts = paths.groupBy("host").agg(*[F.sum(c).alias(f"host_{c}") for t in targets for c in (f"{t}_n", f"{t}_k")])
+        whole = paths.agg(*[F.sum(c).alias(c) for t in targets for c in (f"{t}_n", f"{t}_k")]).first()
+        self.targets, self.table = targets, paths.join(hosts, "host")
+        self.rates = {t: (whole[f"{t}_k"] + 0.5) / (whole[f"{t}_n"] + 1) if whole[f"{t}_n"] else 0.5 for t in targets}
+        self.of_host, self.of_path = {}, {}
+        for t in targets:
+            self.of_host[t] = _strength(hosts, f"host_{t}_n", f"host_{t}_k", F.lit(self.rates[t]))
+            self.of_path[t] = _strength(self.table, f"{t}_n", f"{t}_k", self.host_posterior(t))
+
+    def _rest(self, column: str, own: Column | None) -> Column:
+        """A count without the document's own; a site without labels has none."""
+        count = F.coalesce(F.col(column), F.lit(0))
+        return count if own is None else F.greatest(count - F.coalesce(own, F.lit(0)), F.lit(0))
+
+    def host_posterior(self, t: str, own_n: Column | None = None, own_k: Column | None = None) -> Column:
+        return _shrunk(self._rest(f"host_{t}_n", own_n), self._rest(f"host_{t}_k", own_k), self.of_host[t], F.lit(self.rates[t]))
+
+    def posterior(self, t: str, own_n: Column | None = None, own_k: Column | None = None) -> Column:
+        """A path's posterior; without labels of the path its host's, without any of the host the global rate."""
+        return _shrunk(self._rest(f"{t}_n", own_n), self._rest(f"{t}_k", own_k), self.of_path[t], self.host_posterior(t, own_n, own_k))
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", targets=("quality", "toxic")) -> DataFrame:
@@ -197,17 +218,19 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="tex
     known = labels.select(F.col(id_col).alias("doc_id"), *[F.col(t).cast("int").alias(t) for t in targets])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     models = fit(rows, known, targets)
-    sites, rates = posteriors(rows.select("doc_id", "source").join(known, "doc_id"), targets)
+    sites = Sites(rows.select("doc_id", "source").join(known, "doc_id"), targets)
     host, path = host_and_path(F.col("source"))
     own = rows.select("doc_id", host.alias("host"), path.alias("path"), evidence(models, spark, targets).alias("own"))
-    # a path without labels takes its host's posterior, a host without labels the global rate
-    sent = F.broadcast if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else (lambda df: df)
-    of_host = sites.groupBy("host").agg(*[F.first(f"{t}_host").alias(f"{t}_host") for t in targets])
-    both = own.join(sent(sites.drop(*[f"{t}_host" for t in targets])), ["host", "path"], "left").join(sent(of_host), "host", "left")
+    valid = lambda t: F.when(F.col(t).isin(0, 1), F.col(t))
+    mine = known.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[f for t in targets for f in (F.count(valid(t)).alias(f"own_{t}_n"), F.sum(valid(t)).alias(f"own_{t}_k"))])
+    sent = F.broadcast if sites.table.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else (lambda df: df)
+    host_counts = [f"host_{t}_{c}" for t in targets for c in "nk"]
+    of_host = sites.table.groupBy("host").agg(*[F.first(c).alias(c) for c in host_counts])
+    both = own.join(sent(sites.table.drop(*host_counts)), ["host", "path"], "left").join(sent(of_host), "host", "left").join(mine, "doc_id", "left")
     out = [F.col("doc_id")]
     for t in targets:
-        site = F.coalesce(f"{t}_site", f"{t}_host", F.lit(rates[t]))
-        odds = F.col(f"own.{t}") + _logit(site) - _logit(F.lit(rates[t]))
+        site = sites.posterior(t, F.col(f"own_{t}_n"), F.col(f"own_{t}_k"))
+        odds = F.col(f"own.{t}") + _logit(site) - _logit(F.lit(sites.rates[t]))
         p = 1 / (1 + F.exp(-odds)) if models and t in models else F.lit(0.5 if t == "quality" else 0.0)
         out += [p.alias(t), site.alias(f"{t}_site")]
     return both.select(*out)

@@ -412,15 +412,84 @@ def test_quality_edges(spark):
     assert quality.scored(documents(spark, []), none).count() == 0
 
 
+def brute_strength(sites):
+    """sites: (n, k, what it shrinks to)."""
+    n, pairs, within = sum(n for n, _, _ in sites), sum(n * (n - 1) for n, _, _ in sites), sum(n * p * (1 - p) for n, _, p in sites)
+    if not n or not pairs or not within:
+        return 1e4
+    between = max((sum((k - n * p) ** 2 for n, k, p in sites) - within) / pairs, within / n / 1e4)
+    return min(max(within / n / between - 1, 1.0), 1e4)
+
+
+def brute_sites(rows, labels, target):
+    """Each row's site posterior without the labels of its own id."""
+    split = lambda source: ((source or "").partition("/")[0], (source or "").partition("/")[2].partition("/")[0])
+    valid = [(i, x[target]) for i, x in labels if x[target] in (0, 1)]
+    counts, hosts = Counter(), Counter()
+    for i, y in valid:
+        for source in [r[2] for r in rows if r[0] == i and i is not None]:
+            host, path = split(source)
+            counts[host, path, "n"] += 1
+            counts[host, path, "k"] += y
+            hosts[host, "n"] += 1
+            hosts[host, "k"] += y
+    names = sorted({x[0] for x in hosts})
+    total = sum(hosts[h, "n"] for h in names)
+    rate = (sum(hosts[h, "k"] for h in names) + 0.5) / (total + 1) if total else 0.5
+    strong = brute_strength([(hosts[h, "n"], hosts[h, "k"], rate) for h in names])
+    of_host = lambda h, n=0, k=0: (max(hosts[h, "k"] - k, 0) + strong * rate) / (max(hosts[h, "n"] - n, 0) + strong)
+    paths = sorted({x[:2] for x in counts})
+    weak = brute_strength([(counts[h, p, "n"], counts[h, p, "k"], of_host(h)) for h, p in paths])
+    out = []
+    for i, _, source in rows:
+        n, k = sum(j == i for j, _ in valid if i is not None), sum(y for j, y in valid if j == i and i is not None)
+        host, path = split(source)
+        out.append((max(counts[host, path, "k"] - k, 0) + weak * of_host(host, n, k)) / (max(counts[host, path, "n"] - n, 0) + weak))
+    return out, rate
+
+
+def test_quality_query_equals_brute_force(spark, tmp_path):
+    rng, folder = random.Random(16), str(tmp_path / "sf")
+    rows, labels = [], []
+    for i in range(240):
+        host, path = rng.randrange(4), rng.randrange(3)
+        bad = rng.random() < (0.1, 0.5, 0.8, 0.4)[host] * (1 + path) / 2
+        rows.append((i, " ".join(w + ("&&" if bad else "") for w in sentence(rng, n=30).split()), rng.choice([f"h{host}/p{path}/{i}", f"h{host}/p{path}"])))
+        if i % 3:
+            labels.append((i, {"quality": int(not bad), "toxic": int(rng.random() < 0.3)}))
+    rows += [(900, "no labels here", "h9/x"), (901, "new path", "h1/new/1"), (None, "no id", "h1/p1"), (902, None, None), (903, "", ""), (5, rows[5][1], "h2/p0"), rows[7]]
+    labels += [(1, {"quality": 1, "toxic": 0}), (2, {"quality": 5, "toxic": None}), (None, {"quality": 1, "toxic": 1}), (4000, {"quality": 0, "toxic": 1})]
+    frame = spark.createDataFrame([(i, t, None, s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clashing(frame).write.parquet(f"{folder}/documents.parquet")
+    known = spark.createDataFrame([(i, x["quality"], x["toxic"]) for i, x in labels], "doc_id long, quality int, toxic int")
+    known.write.parquet(f"{folder}/labels.parquet")
+    got = sorted(quality.op4_quality(spark, folder).collect(), key=str)
+    models = quality.fit(frame, known, ("quality", "toxic"))
+    want = []
+    posts = {t: brute_sites(rows, labels, t) for t in ("quality", "toxic")}
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for k, (i, text, _) in enumerate(rows):
+        row = {"doc_id": i}
+        for t, (post, rate) in posts.items():
+            shares, held = quality.features((text or "").encode())
+            odds = float(models[t].odds(shares[None], [held])[0]) + logit(post[k]) - logit(rate)
+            row |= {t: 1 / (1 + np.exp(-odds)), f"{t}_site": post[k]}
+        want.append(row)
+    key = lambda r: (str(r["doc_id"]), round(r["quality_site"], 9), round(r["quality"], 6))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g["doc_id"] == w["doc_id"] and all(abs(g[c] - w[c]) < 1e-5 for c in w if c != "doc_id")
+        assert g["keep"] == (w["quality"] >= 0.5 and w["toxic"] < 0.5)
+
+
 def test_sparse_sites_shrink(spark):
-    rows = [(i, "t", None, f"h{i % 2}/a" if i < 200 else "new/b", 0) for i in range(201)]
+    """A path of one label stays near its host; a host of few near the global rate; paths spread around their hosts."""
+    rows = [(i, "t", None, f"h{i % 2}/a" if i < 200 else "new/b" if i < 201 else "h0/rare", 0) for i in range(202)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(i, 1 if i % 2 else int(i % 10 == 0), 0) for i in range(201)], "doc_id long, quality int, toxic int")
-    sites, rates = quality.posteriors(docs.join(labels, "doc_id"), ("quality", "toxic"))
-    post = {r["host"]: r["quality_site"] for r in sites.collect()}
-    assert post["h1"] > 0.9 > rates["quality"] > 0.3 > post["h0"] and post["h0"] < post["new"] < post["h1"]
-    assert [quality.host_and_path(F.lit(x)) is not None for x in ("a", None)] == [True, True]
-
+    labels = spark.createDataFrame([(i, 1 if i % 2 else int(i % 10 == 0), 0) for i in range(202)], "doc_id long, quality int, toxic int")
+    sites = quality.Sites(docs.join(labels, "doc_id"), ("quality", "toxic"))
+    post = {(r["host"], r["path"]): r["p"] for r in sites.table.select("host", "path", sites.posterior("quality").alias("p")).collect()}
+    assert post["h1", "a"] > 0.9 > sites.rates["quality"] > 0.3 > post["h0", "a"] and post["h0", "a"] < post["new", "b"] < post["h1", "a"]
+    assert post["h0", "a"] - 0.1 < post["h0", "rare"] < 0.5  # its one label is 1
+    # hosts differ, their paths don't: a path's prior is far stronger than a host's
+    assert sites.of_path["quality"] > 10 * sites.of_host["quality"]
 
-def test_edges_are_there():
-    assert len(EDGES) == 10

@@ -124,6 +124,80 @@ def test_random_strings_pass_and_words_fail():
     assert secrets.inferred("abcdefghijklmnopqrstuvwx") is None and secrets.inferred("12345678901234567890") is None
 
 
+def planted_secrets(rng, name, alphabet, length):
+    return "".join(rng.choices(alphabet, k=length))
+
+
+def readable(rng):
+    words = ["config", "option", "version", "Request", "handler", "user", "Model", "index", "PATH", "build", "test", "value2", "v1", "x64", "utf8", "2024", "id7", "main", "Http", "Data"]
+    out = rng.choice(words)
+    while len(out) < rng.choice([20, 24, 32, 40, 48]):
+        out += rng.choice(["_", "-", "/", "", ""]) + rng.choice(words)
+    return out
+
+
+def test_added_spans_are_precise_and_find_most(spark):
+    """Random and readable runs of every encoding and length: shares found, and share of the found that is random."""
+    rng = random.Random(41)
+    truth, texts = {}, []
+    for name, alphabet in secrets.ENCODINGS:
+        if name in ("hex", "HEX"):  # the base patterns have these from 24 digits on
+            continue
+        for length in (24, 32, 40, 64):
+            for _ in range(40):
+                truth[len(texts)] = (name, length, planted_secrets(rng, name, alphabet, length))
+                texts.append(f"see {truth[len(texts)][2]} there")
+    texts += [f"see {readable(rng)} there" for _ in range(2500)]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["q"] if s["kind"] == "random"] for r in docs.select("doc_id", secrets.found(spark, secrets.bars(docs)).alias("q")).collect()}
+    found = [i for i, q in got.items() if q]
+    right = [i for i in found if i in truth]
+    assert len(right) >= 0.9 * len(found)
+    for length, least in ((24, 0.5), (32, 0.7), (40, 0.7), (64, 0.7)):
+        mine = [i for i, t in truth.items() if t[1] == length]
+        assert sum(bool(got[i]) for i in mine) >= least * len(mine), length
+
+
+def test_p_values_of_random_runs_are_uniform():
+    rng = random.Random(8)
+    for name, alphabet, values in secrets._SETS:
+        for n in (20, 24, 40, 100):
+            ps = sorted(secrets.battery("".join(rng.choices(sorted(alphabet), k=n)), values) for _ in range(600))
+            for q in (0.05, 0.2, 0.5):
+                share = sum(p < q for p in ps) / len(ps)
+                assert abs(share - q) < 0.1, (name, n, q, share)
+
+
+def test_tokens_within_paths(spark):
+    rng = random.Random(5)
+    tokens = [planted_secrets(rng, "base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 48) + "7a" for _ in range(20)]
+    texts = [f"get /v1/user-keys/{t}/some_path now" for t in tokens] + ["/some/path-to/a_file/with-words/in/it"] * 5
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["q"]] for r in docs.select("doc_id", secrets.found(spark, secrets.bars(docs)).alias("q")).collect()}
+    assert sum(got[i] == [t] for i, t in enumerate(tokens)) >= 17 and not any(got[i] for i in range(20, 25))
+
+
+def test_secret_query_equals_brute_force(spark, tmp_path):
+    """Counts, digests and the order of spans, with the added spans from candidates and bars."""
+    rng, folder = random.Random(19), str(tmp_path / "sf")
+    pieces = ["password=hunter22", 'secret: "abc123def"', "AKIA" + "A1B2C3D4E5F6G7H8", "0123456789abcdef" * 2, "plain words", "ä token = ünot", "api_key=short"]
+    keys = [planted_secrets(rng, "base62", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", 50) for _ in range(30)]
+    texts = [*EDGES, *(" ".join(rng.choice([*pieces, *keys]) for _ in range(rng.randint(0, 8))) for _ in range(80))]
+    docs = with_clashes(documents(spark, [*enumerate(texts), (None, texts[-1]), (3, texts[3])]))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    bar, got = secrets.bars(docs), secrets.op6_secrets(spark, folder).collect()
+    assert bar and len(got) == len(texts) + 2
+    for r in got:
+        text = texts[-1] if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        base = [(s, 0, e) for s, e in plain(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, lambda m: len(m[2]) >= 6, re.I | re.A)]
+        base += [(s, 1, e) for s, e in plain("AKIA[A-Z0-9]+", text, lambda m: len(m[0]) >= 20)] + [(s, 2, e) for s, e in plain("[0-9a-f]+", text, lambda m: len(m[0]) >= 24)]
+        added = [(s, 3, e) for s, e, encoding, length, p in secrets.candidates(text) if p >= bar.get((encoding, length), 2) and not any(s < y and x < e for x, _, y in base)]
+        spell = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        assert r["base_sha256"] == hashlib.sha256(spell(base).encode()).hexdigest() and r["spans"] == spell(base + added), text
+    assert any("random" in r["spans"] for r in got)
+
+
 def test_secret_scan(spark):
     rng = random.Random(9)
     key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=48)).replace("/", "x") + "9aZ"
@@ -340,6 +414,25 @@ def test_wrapped_notices(spark, tmp_path):
     assert not any(got[len(wrapped) + i][0] for i in range(len(licenses.TEMPLATES)))
 
 
+def test_filters_leave_few_blocks_and_all_that_match(spark):
+    """The positional filter rules out blocks that prefix and length filters leave; none of all three rules out a match."""
+    templates = (("one", "a b c d e f g h i j"), ("two", "p q r s t"))
+    sets = licenses.template_sets(templates, 0.6)
+    order = list("pqrstabcdefghij")
+    prefixes = licenses.prefix_table(spark, sets, order, templates)
+    rng = random.Random(3)
+    blocks = [sorted(rng.sample(order, rng.randint(1, 15)), key=order.index) for _ in range(400)]
+    blocks.append([*"pqrst", *"efg"])  # long enough, with a word of the prefix, but only three words from it on
+    frame = spark.createDataFrame(list(enumerate(blocks)), "doc_id long, tokens array<string>")
+    got = {(r["doc_id"], r["template"]) for r in licenses.passing(frame, prefixes).collect()}
+    need = {k: (set(words), n) for k, _, words, n in sets}
+    match = {(i, k) for i, b in enumerate(blocks) for k, (words, n) in need.items() if len(words & set(b)) >= n}
+    prefix = {k: [w for w in order if w in words][: len(words) - n + 1] for k, (words, n) in need.items()}
+    loose = {(i, k) for i, b in enumerate(blocks) for k, (_, n) in need.items() if len(b) >= n and set(b) & set(prefix[k])}
+    assert match <= got < loose and (400, 0) in loose - got
+    assert licenses.passing(frame, prefixes).count() == len(got)
+
+
 def test_licenses_edges(spark, tmp_path):
     folder = str(tmp_path / "sf")
     documents(spark, [(None, "cc by"), (1, "Released under the MIT License"), (1, "Released under the MIT License")]).write.parquet(f"{folder}/documents.parquet")
