@@ -75,6 +75,16 @@ def latest_cursors(cursors: DataFrame) -> DataFrame:
     return cursors.groupBy("path").agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select("path", "s.*")
 
 
+def paths(usage: DataFrame) -> DataFrame:
+    """(id, path) of the paths of usage lines: a path's number is a hash of it, so writers need not agree on any."""
+    return usage.select("path").filter("path IS NOT NULL").distinct().select(F.xxhash64("path").alias("id"), "path")
+
+
+def used_paths(known: DataFrame, requests: DataFrame) -> DataFrame:
+    """The paths that requests still refer to."""
+    return known.join(requests.select("path"), "path", "left_semi").select("id", "path")
+
+
 LIMIT_COLUMNS = ("five_hour_pct", "five_hour_resets_at", "seven_day_pct", "seven_day_resets_at")
 
 

@@ -269,6 +269,48 @@ def payload_values(spark, sf_dir):
     return got.select(k, p.isNull().alias("bad"), render.display_dir(p).alias("shown"), render.project_dir(p).alias("project"), p["cost"]["total_lines_added"].alias("added"))
 
 
+def converted_requests(spark, sf_dir):
+    """Requests of two older stores, one with paths written out and one with numbers of them, taken over as batches."""
+    folder = workspace(spark)
+    k = F.col("k")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("k"), F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.col("ts").cast("timestamp_ntz")).alias("ts"))
+    base = events.select(
+        "k", F.concat(F.lit("m"), F.floor(k / 2)).alias("dedupe_key"), F.concat(F.lit("s"), k % 9).alias("session_id"), F.lit("/p").alias("project_dir"), F.lit("claude-opus-5").alias("model"), "ts",
+        (k % 50).alias("input"), (k * 7 % 700).alias("output"), F.lit(0).alias("cache_create"), F.lit(0).alias("cache_read"), (k % FILES).alias("number"),
+    )
+    base.filter("k % 2 = 0").drop("k").withColumn("transcript", F.concat(F.lit("/t/"), "number")).drop("number").write.parquet(f"{folder}/one/requests")
+    base.filter("k % 2 = 1").drop("k").withColumn("thinking", F.lit(3)).withColumnRenamed("number", "path_id").write.parquet(f"{folder}/two/requests")
+    spark.range(FILES).select("id", F.concat(F.lit("/t/"), "id").alias("path")).write.parquet(f"{folder}/two/paths")
+    store = Store(spark, f"{folder}/store")
+    store.convert(f"{folder}/one")
+    store.convert(f"{folder}/two")
+    store.convert(f"{folder}/two")  # the same again changes nothing
+    known = store.paths().select(F.col("id").alias("path_id"), "path")
+    return store.requests().join(known, "path").select(*_REQUEST, "thinking", "path", (F.col("path_id") == F.xxhash64("path")).alias("known"))
+
+
+def command_lines(spark, sf_dir):
+    """What the command line prints: a backfill, its sessions, and a status line from standard input before and after."""
+    import contextlib
+    import io
+
+    from .. import cli
+
+    folder = workspace(spark)
+    root = write(lines(spark, sf_dir), folder)
+    out = []
+
+    def run(*arguments, stdin=""):
+        with contextlib.redirect_stdout(io.StringIO()):
+            return cli.main(["--store", f"{folder}/store", "--zone", "UTC", *arguments], spark, stdin=io.StringIO(stdin), now=CUTOFF)
+
+    out += run("statusline", stdin='{"cwd":"/x"}') + run("statusline", stdin="nonsense")
+    out += run("backfill", "--root", root)[1:3]
+    out += run("statusline", "--short", stdin='{"cwd":"/x"}')
+    out += run("sessions", "--project", "/pä1")
+    return spark.createDataFrame(list(enumerate(out)), "place int, line string")
+
+
 #: Zones whose clocks change at different times of a day; in Santiago a midnight is missing.
 ZONES = ("UTC", "America/New_York", "Pacific/Auckland", "America/Santiago")
 
@@ -312,7 +354,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scanned_lines, overlong_lines, resumed_lines, replaced_lines, drained_requests, drain_report, budgeted_drain, stored_cursors, stored_sessions, stored_costs, stored_paths, compacted_requests,
-        ranged_requests, pruned_store, backfilled_requests, streamed_requests, concurrent_drains, recorded_limits, payload_values, resolved_dates, settings_line, json_elements, printed_reports,
+        ranged_requests, pruned_store, backfilled_requests, streamed_requests, concurrent_drains, recorded_limits, payload_values, resolved_dates, settings_line, json_elements, printed_reports, converted_requests, command_lines,
     )
 }
 
@@ -413,6 +455,25 @@ SELECT zone, day, ts FROM good UNION ALL SELECT zone, day, NULL FROM zones, (VAL
  || '","input":' || input || ',"output":' || output || ',"cache_create":' || cache_create || ',"cache_read":' || cache_read || ',"total":' || total || '}' AS line, dedupe_key FROM ledger"""),
     "printed_reports": _printed(),
 }
+ORACLES["converted_requests"] = f"""WITH e AS (SELECT event_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events)
+SELECT 'm' || (k // 2) AS dedupe_key, 's' || (arg_min(k, (k % 2, k)) % 9) AS session_id, '/p' AS project_dir, 'claude-opus-5' AS model, arg_min(ts, (k % 2, k)) AS ts, max(k % 50) AS input, max(k * 7 % 700) AS output,
+  max(CASE WHEN k % 2 = 1 THEN 3 ELSE 0 END)::BIGINT AS thinking, '/t/' || (arg_min(k, (k % 2, k)) % {FILES}) AS path, TRUE AS known FROM e GROUP BY k // 2"""
+_TODAY = f"(SELECT coalesce(sum(input + output), 0) FROM requests WHERE ts >= {CUTOFF // 86400 * 86400})"
+_KILO = f"""CASE WHEN {_TODAY} >= 1000000 THEN printf('%.1f', {_TODAY} / 1e6::DOUBLE) || 'M' WHEN {_TODAY} >= 100000 THEN CAST(round({_TODAY} / 1000.0::DOUBLE) AS BIGINT) || 'k'
+  WHEN {_TODAY} >= 10000 THEN printf('%.0f', {_TODAY} / 1000.0::DOUBLE) || 'k' ELSE printf('%.1f', {_TODAY} / 1000.0::DOUBLE) || 'k' END"""
+_PLACE = f"{render.CYAN}/x{render.RESET}{render.GREY} • {render.RESET}{render.GREY}{render.ICON_TOKENS} today {render.RESET}"
+ORACLES["command_lines"] = _WHOLE + f""", marked AS (SELECT *, row_number() OVER w = 1 OR input > max(input) OVER b OR output > max(output) OVER b AS effective FROM usage
+  WINDOW w AS (PARTITION BY dedupe_key ORDER BY seq), b AS (PARTITION BY dedupe_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sessions AS (SELECT session_id, arg_min(project_dir, seq) AS project_dir, max(ts) AS last_seen FROM usage GROUP BY session_id),
+tokens AS (SELECT session_id, CAST(sum(input + output) AS BIGINT) AS tokens FROM requests GROUP BY session_id),
+shown AS (SELECT s.session_id, coalesce(tokens, 0) AS tokens, last_seen, project_dir FROM sessions s LEFT JOIN tokens t ON s.session_id = t.session_id WHERE project_dir = '/pä1'),
+printed(section, place, name, line) AS (SELECT 0, 0, '', '{_PLACE}0.0k' UNION ALL SELECT 1, 0, '', '{render.GREY}{render.NAME}{render.RESET}'
+  UNION ALL SELECT 2, 0, '', 'Added ' || (SELECT count(*) FROM marked WHERE effective) || ' new requests (' || (SELECT count(*) FROM requests) || ' total in ledger).'
+  UNION ALL SELECT 3, 0, '', 'Skipped ' || (SELECT count(*) FROM lines WHERE kind = 'bad') || ' unparseable lines.'
+  UNION ALL SELECT 4, 0, '', '{render.CYAN}/x{render.RESET}' || CASE WHEN {_TODAY} > 0 THEN '{_PLACE.removeprefix(f"{render.CYAN}/x{render.RESET}")}' || {_KILO} ELSE '' END
+  UNION ALL SELECT 5, 0, '', CASE WHEN count(*) = 0 THEN 'No sessions recorded.' ELSE '{"session":<38} {"tokens":>12} {"last seen":>12}  project' END FROM shown
+  UNION ALL SELECT 6, -last_seen, session_id, session_id || repeat(' ', 38 - length(session_id)) || ' ' || lpad(replace(format('{{:,}}', tokens), ',', ' '), 12, ' ') || ' ' || lpad(strftime(make_timestamp(last_seen * 1000000), '%Y-%m-%d'), 12, ' ') || '  ' || project_dir FROM shown)
+SELECT CAST(row_number() OVER (ORDER BY section, place, name) - 1 AS INTEGER) AS place, line FROM printed"""
 #: A stream takes the half of each file that is there, then the rest.
 ORACLES["streamed_requests"] = (
     _LINES.rstrip()

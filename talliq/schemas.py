@@ -48,4 +48,8 @@ COST_STATE = (
 )
 LIMITS = "ts BIGINT, five_hour_pct DOUBLE, five_hour_resets_at BIGINT, seven_day_pct DOUBLE, seven_day_resets_at BIGINT, batch_id BIGINT"
 CURSORS = "path STRING, byte_offset BIGINT, file_id BIGINT, head_hash BIGINT, last_seen BIGINT, batch_id BIGINT"
-TABLES = {"usage": USAGE, "sessions": SESSIONS, "cost_state": COST_STATE, "limits": LIMITS, "cursors": CURSORS}
+#: Paths that usage came from, each with a number that follows from it.
+PATHS = "id BIGINT, path STRING"
+TABLES = {"usage": USAGE, "sessions": SESSIONS, "cost_state": COST_STATE, "limits": LIMITS, "cursors": CURSORS, "paths": PATHS}
+#: Columns of usage that older stores lack, and what stands for them.
+ADDED = {"thinking": "0", "cache_1h": "0", "cache_5m": "0", "source": "'main'", "speed": "NULL", "inference_geo": "NULL", "path": "NULL"}

@@ -13,8 +13,11 @@ already: only requests that later batches touched are folded again. All paths go
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -154,6 +157,8 @@ class Store:
         """Writes a batch whole; the same batch again replaces it, and a batch that a snapshot has is left alone."""
         if batch_id in self.folded():
             return
+        if "usage" in tables:
+            tables = tables | {"paths": merge.paths(tables["usage"])}
         for name, df in tables.items():
             df.select(*[F.col(c) for c in _columns(name)]).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
         self.files.write(f"commits/{batch_id}", "")
@@ -221,9 +226,46 @@ class Store:
     def cursors(self) -> DataFrame:
         return merge.latest_cursors(self.log("cursors"))
 
+    def paths(self) -> DataFrame:
+        """(id, path) of every path that was ever stored, each once."""
+        return self.log("paths").distinct()
+
     def transcripts(self) -> DataFrame:
-        """(id, path): paths are dictionary-encoded by Parquet; an id is made only here."""
-        return self.requests().select("path").distinct().select(F.xxhash64("path").alias("id"), "path")
+        """(id, path) of the paths that requests refer to; ids are those stored."""
+        return self.paths().join(self.requests().select("path"), "path", "left_semi").select("id", "path")
+
+    # --- other ways in
+
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> Store:
+        """A store in a folder of its own that goes when the process ends."""
+        root = tempfile.mkdtemp(prefix="talliq-store-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        return cls(spark, root)
+
+    def add(self, usage: DataFrame, batch_id: int | None = None) -> int:
+        """Appends usage rows that were made elsewhere, as one batch; its number."""
+        batch = self.next_batch() if batch_id is None else batch_id
+        self.append(batch, {"usage": usage.withColumn("batch_id", F.lit(batch).cast("long"))})
+        return batch
+
+    def convert(self, folder: str) -> int:
+        """Takes over the requests of an older store: a Parquet folder that may lack columns, and that may have numbers
+        of paths with a table of them beside it, or paths written out. Which it is, its columns tell."""
+        frame = self.spark.read.parquet(f"{folder}/requests")
+        there = set(frame.columns)
+        if "path" not in there and "path_id" in there:
+            known = self.spark.read.parquet(f"{folder}/paths").select(F.col("id").alias("path_id"), "path")
+            frame = frame.join(known, "path_id", "left").drop("path_id")
+        elif "path" not in there and "transcript" in there:
+            frame = frame.withColumnRenamed("transcript", "path")
+        for name, value in schemas.ADDED.items():
+            if name not in frame.columns:
+                frame = frame.withColumn(name, F.expr(value))
+        if "offset" not in frame.columns:
+            frame = frame.withColumn("offset", F.lit(0))
+        types = dict(part.strip().split(" ") for part in schemas.USAGE.split(","))
+        return self.add(frame.select(*[F.col(c).cast(types[c]).alias(c) for c in types if c != "batch_id"]))
 
     # --- maintenance
 
@@ -251,7 +293,7 @@ class Store:
         by_day = requests.select(*_columns("usage"), day).repartition("day", F.pmod(F.hash("dedupe_key"), F.lit(_DAY_FILES)))
         by_day.write.mode("overwrite").partitionBy("day").parquet(f"{target}/usage")
         for name, df in (
-            ("sessions", self.sessions()), ("cost_state", keep(self.cost_state(), "captured_at")), ("limits", keep(self.limits(), "ts")), ("cursors", cursors),
+            ("paths", merge.used_paths(self.paths(), requests)), ("sessions", self.sessions()), ("cost_state", keep(self.cost_state(), "captured_at")), ("limits", keep(self.limits(), "ts")), ("cursors", cursors),
         ):
             df.select(*_columns(name)).write.mode("overwrite").parquet(f"{target}/{name}")
         old = [f"{name}/batch={b}" for b in batches for name in schemas.TABLES] + ([f"snapshots/{number}"] if number >= 0 else [])

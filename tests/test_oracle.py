@@ -57,6 +57,33 @@ def test_entry_points(spark):
     assert set(ORACLES) <= set(e.oracle_sql()) and set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_costs_are_broadcast_and_filters_pushed(spark):
+@pytest.mark.parametrize("gone", [["talliq/llm", "tests/llm"], ["talliq/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_training_data_package(tmp_path, gone):
+    """The rest imports and tells its queries; a folder that holds only caches doesn't count as the package."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in gone:
+        shutil.rmtree(copy / name) if name.count(".") == 0 else os.remove(copy / name)
+    os.makedirs(copy / "talliq/llm/__pycache__")
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    got = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+    assert got.returncode == 0, got.stderr[-2000:]
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_costs_are_broadcast_and_no_python_runs(spark):
     plan = QUERIES["summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_breakdowns_are_ordered(spark):
+    rows = [(r["bucket"], r["grp"]) for r in QUERIES["rollup_week_model"](spark, DATA).collect()]
+    assert rows[-1][0] == "TOTAL" and rows[:-1] == sorted(rows[:-1]) and len(rows) > 3
