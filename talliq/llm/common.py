@@ -60,6 +60,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on any of Spark's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
     shared_folder(df.sparkSession)

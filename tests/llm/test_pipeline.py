@@ -1,9 +1,11 @@
+import hashlib
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
-from talliq.llm import common, decontamination, jaccard, langid, pii
+from talliq.llm import bpe, common, pii
 
 from .corpus import documents, sentence
 
@@ -60,6 +62,96 @@ def test_empty_tables(spark, tmp_path):
     assert pipeline.run(spark, folder).count() == 0
 
 
-def test_each_stage_uses_its_operator():
-    assert [n for n, _ in pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "pii", "byte_bpe"] and pipeline.ORACLE_SQL is None
-    assert all((common, decontamination, jaccard, langid, pii))
+def brute_language(rows, model):
+    """Rows that have a letter; the machines take no others."""
+    return [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
+
+
+def brute_near(rows):
+    """The row of the least id (bare ones last) of each group that similarity of at least 0.8 joins."""
+    hashes = common.WordHashes()
+    sets = [set(common.shingle_set(hashes(common.words_of((r["text"] or "").encode()))).tolist()) for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                parent[root(a)] = root(b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(root(k), []).append(k)
+    return [sorted((rows[k]["doc_id"] is None, rows[k]["doc_id"] or 0) for k in g)[0] for g in groups.values()], [{(rows[k]["doc_id"], rows[k]["text"]) for k in g} for g in groups.values()]
+
+
+def brute_clean(rows, items):
+    split = lambda t: [w.decode() for w in common.words_of((t or "").encode())]
+    shingles = lambda w, z: Counter(tuple(w[i : i + z]) for i in range(max(1, len(w) - z + 1)))
+
+    def leaks(text):
+        words = split(text)
+        for item in items:
+            own = split(item)
+            z = min(5, len(own))
+            want = shingles(own, z) if own else Counter()
+            for s in range(max(1, len(words) - len(own) + 1)) if words and own else ():
+                c = shingles(words[s : s + len(own)], z)
+                both = sum((c & want).values())
+                if both >= 0.8 * (sum(c.values()) + sum(want.values()) - both) - 1e-9:
+                    return True
+        return False
+
+    return [r for r in rows if not leaks(r["text"])]
+
+
+def test_each_stage_equals_brute_force(spark, tmp_path):
+    """Every stage's whole result on what its predecessor kept."""
+    rng, folder = random.Random(33), str(tmp_path / "sf")
+    items = [sentence(rng, n=n) for n in (12, 25, 40)]
+    rows = [(i, sentence(rng, lang, rng.randint(6, 90)), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 12)]
+    for k in range(30):
+        i, text, lang = rng.choice(rows)
+        words = text.split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"w{k}"
+        rows.append((100 + k, " ".join(words), lang))
+    for k in range(12):
+        item = rng.choice(items).split()
+        for _ in range(rng.randint(0, 2)):
+            item[rng.randrange(len(item))] = "odd"
+        rows.append((200 + k, f"{sentence(rng, n=rng.randint(0, 20))} {' '.join(item)} {sentence(rng, n=5)}", "en"))
+    rows += [(300 + k, f"{sentence(rng, n=8)} {x}", "en") for k, x in enumerate(("joe.doe@example.com", "+1 (774) 555-1544", "10.0.0.7 and 4111111111111111", "call 555-123-4567 now"))]
+    rows += [(400, None, "en"), (401, "1 2 3", None), (402, "", None), (None, rows[0][1], "en"), (None, "nobody has this one text here", None), (3, rows[3][1], "es"), (3, "another text under id three", "en")]
+    documents(spark, rows).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    at, key = spark.read.parquet(f"{folder}/documents.parquet"), lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    result = {}
+    for name, stage in pipeline.STAGES:
+        given = at.collect()
+        stage(spark, at, folder).write.parquet(f"{folder}/{name}")
+        at = spark.read.parquet(f"{folder}/{name}")
+        result[name] = (given, at.collect())
+    given, got = result["language_id"]
+    assert sorted(got, key=key) == sorted(brute_language(given, None), key=key)
+    given, got = result["near_duplicates"]
+    least, groups = brute_near(given)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(least)
+    assert all(sum((r["doc_id"], r["text"]) in g for r in got) >= 1 for g in groups) and len(got) == len(groups)
+    given, got = result["decontamination"]
+    assert sorted(got, key=key) == sorted(brute_clean(given, items), key=key)
+    given, got = result["pii"]
+    field = pii.trained()
+    clean = lambda t: pii._cut_out(t, [(pii.KINDS[k], b, e) for k, b, e, _ in pii.spans_of([t], field)[0]])
+    want = [r.asDict() | {"text": clean(r["text"]), "n_chars": len(clean(r["text"]))} for r in given]
+    assert sorted((r.asDict() for r in got), key=key) == sorted(want, key=key) and sum("[" in r["text"] for r in got) >= 4
+    given, got = result["byte_bpe"]
+    with open(bpe.default_ranks(), "rb") as f:
+        encode = bpe._encoder(f.read(), bpe.default_pattern()).encode_ordinary
+    want = [(r["doc_id"], len(encode(r["text"])), hashlib.sha256(" ".join(map(str, encode(r["text"]))).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()) for r in given]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    out = pipeline.run(spark, folder)
+    assert Counter(tuple(r) for r in out.select(at.columns).collect()) == Counter(want)
