@@ -7,8 +7,9 @@ The near-duplicate and decontamination stages judge rows, not ids: a row's key i
 reads, which is the same in every scan and retry. Where docs isn't a scan of files, the stage writes it to the checkpoint
 folder first.
 
-Defined cases: a document without a letter, or with null text, is rejected by the language stage. Different texts that
-share an id, and rows without an id, are documents of their own; equal rows are copies, of which one stays.
+Defined cases: a document without a letter, or with null text, is rejected by the language stage; one in a language that
+was not learned gets the nearest of those that were, and stays. Different texts that share an id, and rows without an id,
+are documents of their own; equal rows are copies, of which one stays. Very long texts go through every stage whole.
 Columns beyond those of documents are dropped by the first stage. Empty tables give empty results at every stage.
 """
 
@@ -23,15 +24,13 @@ from pyspark.sql import functions as F
 from talliq.llm import bpe, common, decontamination, jaccard, langid, pii
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A prediction of a lower score is a rejection; clean text of a known language scores far higher.
-LEAST_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told. The machines are fitted on the rows whose ids are not held out."""
     model = langid.fit(docs.filter(~langid.held_out()))
     told = docs.select(*COLUMNS, langid.predicted(model, spark).alias("told"))
-    return told.filter((F.col("told.lang") != langid.UNDETERMINED) & (F.col("told.score") >= LEAST_SCORE)).select(*COLUMNS)
+    return told.filter(F.col("told.lang") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -96,13 +95,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents. A stage's rows are deleted when the next one's are written; the last ones stay."""
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            common.delete(spark, before)
+        before = path
     return docs
 
 
