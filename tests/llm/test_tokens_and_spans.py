@@ -85,6 +85,60 @@ def test_languages_held_out(spark):
     assert all(0 <= r["q"]["score"] <= 1 for r in got)
 
 
+def brute_prediction(model, text):
+    """Family by the greatest margin; within it, votes of each pair, ties by the sum of squashed margins."""
+    x = langid.np.append(langid.features(text.encode()), 1.0)
+    squash = lambda m: 1 / (1 + langid.np.exp(-2.0 * m))
+    margins = [float(x @ w) for w in model.outer] or [0.0]
+    k = max(range(len(margins)), key=lambda j: margins[j])
+    members, score = model.members[model.families[k]], float(squash(margins[k])) if model.outer else 1.0
+    votes, sums = [0] * len(members), [0.0] * len(members)
+    for i, a in enumerate(members):
+        for j in range(i + 1, len(members)):
+            m = float(x @ model.inner[a, members[j]])
+            votes[i if m > 0 else j] += 1
+            sums[i] += squash(m)
+            sums[j] += squash(-m)
+    pick = max(range(len(members)), key=lambda j: (votes[j] + sums[j] / (len(members) + 1), -j))
+    return members[pick], score * (sums[pick] / (len(members) - 1) if len(members) > 1 else 1)
+
+
+def test_language_query_equals_brute_force(spark, tmp_path):
+    from zlib import crc32
+
+    rng, folder = random.Random(12), str(tmp_path / "sf")
+    rows = [(i, sentence(rng, lang, rng.randint(1, 50)), lang if i % 7 else None) for i, lang in enumerate(["en", "de", "fr", "es"] * 40)]
+    rows += [(1000 + i, t, "en") for i, t in enumerate(EDGES)] + [(None, rows[1][1], "de"), rows[2]]
+    docs = documents(spark, rows)
+    with_clashes(docs).write.parquet(f"{folder}/documents.parquet")
+    # the rows to learn from are those of the query: labelled, and not held out
+    learned = [r for r in rows if r[0] is not None and crc32(str(r[0]).encode()) % 4 != 2]
+    model = langid.fit(documents(spark, learned))
+    got = langid.op5_language_id(spark, folder).collect()
+    assert len(got) == len(rows)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for g, (i, text, _) in zip(sorted(got, key=key), sorted(rows, key=key), strict=True):
+        letters = any(c.isalpha() for c in text or "")
+        lang, score = brute_prediction(model, text) if letters else ("und", 0.0)
+        assert (g["doc_id"], g["held_out"], g["lang_pred"]) == (i, i is not None and crc32(str(i).encode()) % 4 == 2, lang)
+        assert abs(g["score"] - score) < 1e-4 and 0 <= g["score"] <= 1
+    held = [(g, w) for g, w in zip(sorted(got, key=key), sorted(rows, key=key), strict=True) if g["held_out"] and w[2] and len(w[1].split()) > 8]
+    assert sum(g["lang_pred"] == w[2] for g, w in held) >= 0.97 * len(held) > 20
+
+
+def test_fitting_reads_a_bounded_number_of_rows(spark):
+    rng = random.Random(2)
+    docs = documents(spark, [(i, sentence(rng, n=5), f"l{i % 10}") for i in range(600)])
+    seen = []
+    real = langid.Model
+    langid.Model = lambda langs, x: seen.append(len(x)) or real(langs, x)
+    try:
+        langid.fit(docs, most=100)
+    finally:
+        langid.Model = real
+    assert 50 <= seen[0] <= 160
+
+
 def test_language_edges(spark):
     docs = documents(spark, [(i, t, "en" if i % 2 else None) for i, t in enumerate([*EDGES, "123 !?"])])
     model = langid.fit(docs)
