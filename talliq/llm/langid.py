@@ -23,7 +23,7 @@ from . import common
 #: Labelled rows of each language used for fitting, about; the only sampling in this operator.
 PER_LANGUAGE = 400
 #: Labelled rows used for fitting in all, about: what reaches the driver is 16 kB for each, however many languages there are.
-MOST = 8000
+MOST = 3200
 DIMENSIONS = 1 << 13
 UNDETERMINED = "und"
 
@@ -67,8 +67,8 @@ def features(text: bytes) -> np.ndarray:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> np.ndarray:
-    """A linear machine with squared hinge loss by accelerated gradient descent; y is -1 or 1. The last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """A linear machine with squared hinge loss by accelerated gradient descent; y is -1 or 1. x ends with a column of ones,
+    so the last weight is the bias."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * len(y)
     rate = 1.0 / (1.0 + 2 * c * float(np.max(weight)) * 2.0)
     w = z = np.zeros(x.shape[1], np.float32)
@@ -84,6 +84,7 @@ class Model:
     """Machines for families (one against the rest) and for each pair of languages within a family."""
 
     def __init__(self, langs: np.ndarray, x: np.ndarray):
+        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         names = sorted(set(langs.tolist()))
         self.families = sorted({family_of(n) for n in names})
         self.members = {f: [n for n in names if family_of(n) == f] for f in self.families}
@@ -148,7 +149,10 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang
     got = chosen.select("id", "lang", "text").mapInArrow(counted, "id string, lang string, x binary").orderBy("id", "x").collect()
     if not got:
         return None
-    return Model(np.array([r["lang"] for r in got], object), np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32))
+    x = np.empty((len(got), DIMENSIONS), np.float32)
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(r["x"], np.float16)
+    return Model(np.array([r["lang"] for r in got], object), x)
 
 
 def predicted(model: Model | None, spark, text_col: str = "text") -> Column:
