@@ -9,10 +9,11 @@ bits in a block and one change, a window meets about 28 of 100 items of its size
 63 leaves no way to be choosier that keeps the guarantee, so what keeps the search small is that there are few windows.
 
 Windows are taken only where they can meet the threshold: of an item of n shingles, ordered by how many items have them,
-rarest first, a window that meets it has one of the first n - ceil(threshold * n) + 1. Whether a text has any such shingle
-is asked of a Bloom filter of bounded size, within the scan, so that texts without one (nearly all) are never shuffled; of
-the others the words are written once, and only hashes, places and fingerprints travel until verification. All is DataFrame
-functions. The item side is broadcast only while it has at most BROADCAST_SHINGLES shingles, which are counted.
+rarest first, a window that meets it has one of the first n - ceil(threshold * n) + 1. Which texts have any such shingle is
+found in one scan, where a Bloom filter of bounded size drops nearly all shingles before anything is joined; another filter
+of the texts found lets a second scan leave out nearly all others, so they are never shuffled. Of the texts found the words
+are written once, and only hashes, places and fingerprints travel until verification. All is DataFrame functions. The item
+side is broadcast only while it has at most BROADCAST_SHINGLES shingles, which are counted.
 
 Words are lower-cased. Null and empty texts have no window. A document shorter than an item is one window. An item of fewer
 than five words is one shingle: it is found where its words stand. Items and windows of more than LONGEST words have no
@@ -130,13 +131,14 @@ def wanted_shingles(items: DataFrame, threshold: float) -> DataFrame:
 
 
 class Bloom:
-    """A filter of shingle hashes as a constant of the plan, two bits for each."""
+    """A filter of 64-bit hashes as a constant of the plan, three bits for each. A full one passes everything, which costs
+    time but loses nothing."""
 
-    def __init__(self, wanted: DataFrame):
-        count = wanted.select("h").distinct().count()
+    def __init__(self, hashes: DataFrame, column: str):
+        count = hashes.select(column).distinct().count()
         power = min(max((count * BLOOM).bit_length(), BLOOM_LEAST), BLOOM_MOST)
         self.bits = 1 << power
-        spots = wanted.select(F.explode(F.array(*self._spots(F.col("h")))).alias("spot"))
+        spots = hashes.select(F.explode(F.array(*self._spots(F.col(column)))).alias("spot"))
         held = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits"))
         words = [0] * (self.bits // 64)
         for r in held.collect():  # as many as the filter has longs, at most
@@ -144,14 +146,12 @@ class Bloom:
         self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
 
     def _spots(self, h: Column) -> list[Column]:
-        mask = F.lit(self.bits - 1).cast("long")
-        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)]
+        return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(self.bits - 1).cast("long")) for k in (0, 21, 42)]
 
     def may_have(self, h: Column) -> Column:
-        out = None
+        out = F.lit(True)
         for spot in self._spots(h):
-            one = F.getbit(F.get(self.words, F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1
-            out = one if out is None else out & one
+            out = out & (F.getbit(F.get(self.words, F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
 
@@ -164,42 +164,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     sizes = [r["z"] for r in items.select("z").distinct().orderBy("z").collect()]  # at most five values
     few = (items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
     sent = F.broadcast if few else (lambda df: df)
-    bloom = Bloom(wanted)
-
-    # texts that may have a wanted shingle, and where
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    worded = texts.select("doc_id", _held(words=words(F.col("text"))).alias("v")).select("doc_id", F.col("v.words").alias("words"))
-    hashed = worded.select("doc_id", "words", _held(**{f"z{z}": shingles(F.col("words"), z) for z in sizes} or {"z0": F.array().cast("array<long>")}).alias("s"))
-    some = F.lit(False)
-    for z in sizes:
-        some = some | F.exists(f"s.z{z}", bloom.may_have)
-    placed_at = lambda z: lambda h, i: F.struct(F.lit(z).alias("z"), i.alias("at"), h.alias("h"))
-    hits = [F.filter(F.transform(f"s.z{z}", placed_at(z)), lambda x: bloom.may_have(x["h"])) for z in sizes]
-    kept = hashed.filter((F.size("words") > 0) & some).select("doc_id", "words", (F.concat(*hits) if hits else F.array().cast("array<struct<z:int,at:int,h:long>>")).alias("hits"))
-    kept = common.checkpointed(kept.select(F.monotonically_increasing_id().alias("row"), "*"))
-
-    placed = kept.select("row", F.explode("hits").alias("x")).select("row", "x.*")
-    anchors = placed.join(sent(wanted), ["h", "z"]).groupBy("row", "w").agg(F.collect_set("at").alias("ats"))
-    around = kept.select("row", "words").join(anchors, "row")
+    # where texts have a wanted shingle; a text is told by its id and a hash
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    worded = texts.select("doc_id", "row", _held(words=words(F.col("text"))).alias("v")).filter(F.size("v.words") > 0)
+    each = [F.struct(F.lit(z).alias("z"), shingles(F.col("v.words"), z).alias("hs")) for z in sizes] or [F.struct(F.lit(0).alias("z"), F.array().cast("array<long>").alias("hs"))]
+    placed = worded.select("doc_id", "row", F.explode(F.array(*each)).alias("x")).select("doc_id", "row", "x.z", F.posexplode("x.hs").alias("at", "h"))
+    hits = placed.filter(Bloom(wanted, "h").may_have(F.col("h"))).join(sent(wanted), ["h", "z"])
+    anchors = common.checkpointed(hits.groupBy("doc_id", "row", "w").agg(F.collect_set("at").alias("ats")))
+    found = anchors.select("doc_id", "row").distinct()
+    kept = texts.filter(Bloom(found, "row").may_have(F.col("row"))).join(found, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    kept = common.checkpointed(kept.select("doc_id", "row", words(F.col("text")).alias("words")))
+
+    around = kept.join(anchors, ["doc_id", "row"])
     n, w = F.size("words"), F.col("w")
     starts = F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p - w + F.least(w, F.lit(common.SHINGLE)), F.lit(0)), F.greatest(F.least(p, n - w), F.lit(0)))))
-    held = around.select("row", "w", _held(hashes=F.transform("words", lambda x: F.xxhash64(x)), starts=F.array_distinct(starts)).alias("v"))
+    held = around.select("doc_id", "row", "w", _held(hashes=F.transform("words", lambda x: F.xxhash64(x)), starts=F.array_distinct(starts)).alias("v"))
     spread = F.transform("v.starts", lambda s: F.struct(s.alias("first_word"), _print(F.slice("v.hashes", s + 1, w), w).alias("print")))
-    windows = held.select("row", "w", F.explode(spread).alias("window")).select("row", "w", "window.*")
+    windows = held.select("doc_id", "row", "w", F.explode(spread).alias("window")).select("doc_id", "row", "w", "window.*")
 
     changes = F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(8)]])
     listed = items.select("item", "w", "item_print", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("item_print"), k).alias("value")) for k in range(8)])).alias("b"))
     listed = listed.select("item", "w", "item_print", "b.block", "b.value", F.explode(changes).alias("change"))
     listed = listed.select("item", "w", "item_print", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
     probes = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("print"), k).alias("value")) for k in range(8)])))
-    probes = probes.select("row", "w", "first_word", "print", "b.block", "b.value")
+    probes = probes.select("doc_id", "row", "w", "first_word", "print", "b.block", "b.value")
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
     near = probes.join(sent(listed), ["w", "block", "value"]).filter((F.bit_count(differ) <= radius) & _first_block(differ))
 
     known = items.select("item", "item_id", "z", "item_shingles")
-    found = near.select("row", "w", "first_word", "item").join(kept.select("row", "doc_id", "words"), "row")
-    found = found.select("doc_id", "item", "w", "first_word", F.slice("words", F.col("first_word") + 1, F.col("w")).alias("inside")).join(sent(known), "item")
-    scored = found.select("doc_id", "item_id", "w", "first_word", _held(own=shingles(F.col("inside"), F.col("z")), other=F.col("item_shingles")).alias("v"))
+    met = near.select("doc_id", "row", "w", "first_word", "item").join(kept, ["doc_id", "row"])
+    met = met.select("doc_id", "item", "w", "first_word", F.slice("words", F.col("first_word") + 1, F.col("w")).alias("inside")).join(sent(known), "item")
+    scored = met.select("doc_id", "item_id", "w", "first_word", _held(own=shingles(F.col("inside"), F.col("z")), other=F.col("item_shingles")).alias("v"))
     scored = scored.select("doc_id", "item_id", "w", "first_word", similarity(F.col("v.own"), F.col("v.other")).alias("similarity"))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("before"), "w")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.before")).alias("first_word"), F.col("b.w").alias("n_words"))

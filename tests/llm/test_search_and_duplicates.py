@@ -242,7 +242,7 @@ def test_only_texts_with_a_rare_shingle_are_shuffled(spark):
     items = common.checkpointed(decontamination.items_of(bench, "item_id", "text"))
     wanted = decontamination.wanted_shingles(items, 0.8)
     assert wanted.count() <= 30 * (36 - 29 + 1)  # 29 of 36 shingles are needed
-    bloom = decontamination.Bloom(wanted)
+    bloom = decontamination.Bloom(wanted, "h")
     assert wanted.filter(~bloom.may_have(F.col("h"))).isEmpty()
     assert spark.range(20_000).filter(bloom.may_have(F.xxhash64("id"))).count() < 20
 
