@@ -3,7 +3,7 @@
 A block is a line, or a window of as many words as a template has, wherever it stands in a text of several lines: so notices
 that are wrapped over lines are found (OP3_SQL has lines only, and finds none of those). Its words and a template's words
 are sets; a block meets a template if it holds at least THRESHOLD of the template's words. Words of all templates are put in
-one order by how many blocks of the whole table hold them, rarest first. A block that meets a template of n words, of which
+one order by how many blocks hold them, rarest first, over all texts that hold enough of them for any template. A block that meets a template of n words, of which
 o are needed, must hold one of its n - o + 1 first words (prefix filter), must hold at least o words of any template (length
 filter), and from the first shared word on must have o words left in the common order, as the template has (positional
 filter: what stands before it in the order can't be shared any more); what passes is verified exactly. For windows the
@@ -142,17 +142,22 @@ def matched_blocks(docs: DataFrame, *, id_col="doc_id", text_col="text", templat
     spark = docs.sparkSession
     sets = template_sets(templates, threshold)
     vocabulary = sorted({w for _, _, words, _ in sets for w in words})
-    blocks = _blocks(docs, id_col, text_col, vocabulary)
+    least = min((need for *_, need in sets), default=0)
+    # no block of a text holds more words of templates than the text: few texts are looked at more than once
+    texts = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("text"))
+    words = F.split(F.regexp_replace("text", common.GAP_PATTERN, " "), " ", -1)
+    held = texts.withColumn("many", F.explode(F.array(F.size(F.array_intersect(_literals(vocabulary), words))))).filter(F.col("many") >= least)
+    docs = common.checkpointed(held.select("doc_id", "text"))
+    blocks = _blocks(docs, "doc_id", "text", vocabulary)
     counted = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count()
     counts = {r["token"]: r["count"] for r in counted.collect()}  # a row for each word of templates, at most
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     prefixes = prefix_table(spark, sets, order, templates)
-    least = min((need for *_, need in sets), default=0)
     in_order = blocks.filter(F.size("tokens") >= least).withColumn("tokens", F.explode(F.array(F.array_intersect(_literals(order), "tokens"))))
     share = F.size(F.array_intersect("template_tokens", "tokens"))
     found = passing(in_order, prefixes).filter(share >= F.col("need"))
     lines = found.select("doc_id", "template", "label", (share / F.size("template_tokens")).alias("containment"))
-    return lines.unionByName(_windows(docs, id_col, text_col, order, prefixes, least))
+    return lines.unionByName(_windows(docs, "doc_id", "text", order, prefixes, least))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
