@@ -1,9 +1,10 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The field is trained by maximum likelihood on a small labelled table written in this module, and decoded by Viterbi in
-numpy batches. Words without a digit and without @ can only be labelled O, so a text decomposes exactly into the runs of
-other words between them; only those runs are decoded, each with the shapes of its neighbours. So the field finds no names
-or places that are written in letters only. What it finds must also be possible: a card has 13 to 19 digits, parts of an
+numpy batches. A name can only begin after a word that introduces one (CUES), with a capital. All other words without a
+digit and without @ can only be labelled O, so a text decomposes exactly into the runs of words that need not be O; only
+those runs are decoded, each with the shapes of its neighbours. So the field finds no names that nothing introduces, and no
+places that are written in letters only. What it finds must also be possible: a card has 13 to 19 digits, parts of an
 ip are at most 255, a phone has 7 to 15 digits. A card may fail Luhn: the pattern drops it, but a mistyped number where a
 card's stands is personal data still, and its neighbours tell the field so. Counts of digits, lengths, dots and hyphens are features in bins, the last of them
 open; words themselves are looked at whole.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "name")
+#: Words after which a capital may begin a name.
+CUES = ("mr", "mrs", "ms", "dr", "prof", "dear", "signed", "sincerely", "herr", "frau", "señor", "señora", "monsieur", "madame", "mme", "named", "called", "name is", "name ist", "m'appelle", "me llamo")
 _LABELS = ("O", *KINDS)
 _DIMENSIONS = 1 << 12
 #: Words whose features are in memory at once.
@@ -130,6 +133,8 @@ SENTENCES = (
     "follow {_handle} there", "meet {_handle} and {_handle}", "commit {_hash} broke it", "key {_key} was rotated",
     "license version {_version}", "cc by {_version}", "token = {_hash} was set", "room {_number}", "the {_ordinal} of may",
     "order {_long} shipped on {_date}", "rows {_number} | {_number} | {_number}", "{_number} {_number} {_number} {_number}",
+    "my name is {name} and i live here", "dear {name}, thanks", "mr {name} called {phone}", "mrs. {name} wrote", "dr {name} is in room {_number}", "signed {name}", "sincerely {name}", "prof {name} left at {_time}",
+    "contact mr {name} at {email}", "herr {name} kommt", "frau {name} schreibt", "señor {name} vive", "madame {name} est", "named {name} and others", "dear {_title}, thanks", "sincerely {_title}", "signed {_title} in {_year}",
     "password={_hash} leaked", "route {_number} and {_code}", "part {_code} of {_number}", "isbn {_isbn}",
 )
 
@@ -138,6 +143,8 @@ def _slot(kind: str, r: random.Random) -> str:
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     x = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    if kind == "name":
+        return " ".join(w(1).upper() + w(r.randint(2, 8)) for _ in range(r.choice([1, 1, 2, 2, 2, 3])))
     if kind == "email":
         return f"{w(r.randint(2, 7))}{r.choice(['', '.', '_'])}{r.choice([w(4), d(2)])}@{w(r.randint(3, 8))}.{r.choice(['com', 'org', 'example.com', 'net'])}"
     if kind == "phone":
@@ -151,6 +158,7 @@ def _slot(kind: str, r: random.Random) -> str:
     return {
         "_time": f"{d(2)}:{d(2)}", "_date": r.choice([f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}"]), "_year": f"{r.choice(['19', '20'])}{d(2)}",
         "_number": r.choice([d(1), d(2), d(3), d(4), d(5), f"{d(1)},{d(3)}", f"{d(2)}.{d(1)}", f"{d(2)}%"]), "_price": f"${d(2)}.{d(2)}", "_version": r.choice([f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.{d(1)}", d(1)]),
+        "_title": r.choice(["Sir", "Madam", "All", "Team", "Customer", "Sirs", "Friends", "Colleagues", "Yours"]),
         "_handle": f"@{w(6)}", "_hash": f'"{x(40)}"' if r.random() < 0.5 else x(r.choice([16, 18, 32, 40])), "_key": "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
         "_ordinal": f"{r.randint(1, 31)}th", "_long": d(r.randint(6, 9)), "_code": f"{w(1).upper()}{d(2)}", "_isbn": f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
     }[kind]
@@ -203,8 +211,9 @@ def _features(words: list[str], k: int) -> list[int]:
     side = lambda w: "<>" if not w else "w" if not _MARK.search(w) else _shape(w.strip(_TRIM_LEFT + _TRIM_RIGHT))
     before, after = side(words[k - 1] if k else ""), side(words[k + 1] if k + 1 < len(words) else "")
     plain = words[k - 1].lower().strip(".:,=") if k and before == "w" else ""
+    title = f"t{word.lower()}" if shape[:1] == "A" and not digits else "t"
     found = (
-        "b", f"s{shape}", f"c{re.sub('[0-9+]', '', shape)}", f"n{min(digits, 20)}", f"l{min(len(word), 24)}", f"@{'@' in word}{word[:1] == '@'}",
+        title, f"s{shape}", f"c{re.sub('[0-9+]', '', shape)}", f"n{min(digits, 20)}", f"l{min(len(word), 24)}", f"@{'@' in word}{word[:1] == '@'}",
         f".{min(word.count('.'), 4)}-{min(word.count('-'), 4)}", f"p{before}", f"q{after}", f"k{plain}", f"f{word[:1] in '+('}{digits}", f"s{shape}p{before}", f"s{shape}q{after}",
     )
     return [crc32(f.encode()) % _DIMENSIONS for f in found]
@@ -214,20 +223,36 @@ _N_FEATURES = 13
 _MARKED = re.compile(r"\S+")
 
 
+def _capital(word: str) -> bool:
+    return word.lstrip(_TRIM_LEFT)[:1].isupper()
+
+
+def _introduces(words: list[str], k: int) -> bool:
+    """Whether the words before k end in a cue."""
+    last = words[k - 1].lower().strip(_TRIM_LEFT + _TRIM_RIGHT) if k else ""
+    return last in _CUES or (k > 1 and f"{words[k - 2].lower().strip(_TRIM_LEFT + _TRIM_RIGHT)} {last}" in _CUES)
+
+
 def _runs(words: list[str]) -> list[tuple[int, int]]:
+    """Runs of words with a digit or @, and of capitals after a cue."""
     out, k = [], 0
     while k < len(words):
+        j = k
         if _MARK.search(words[k]):
-            j = k
             while j < len(words) and _MARK.search(words[j]):
                 j += 1
+        elif _capital(words[k]) and _introduces(words, k):
+            while j < len(words) and _capital(words[j]) and not _MARK.search(words[j]):
+                j += 1
+        if j > k:
             out.append((k, j))
-            k = j
-        else:
-            k += 1
+        k = max(j, k + 1)
     return out
 
 
+_CUES = frozenset(CUES)
+
+
 class Field:
     """Weights of emissions by feature and label, and of transitions; the first and last step come from and go to O."""
 
@@ -325,8 +350,34 @@ def trained() -> Field:
     return Field().fit(labelled_table())
 
 
+#: A cue's last word with what may stand around it, and white space; a capital must follow.
+_CUE = re.compile(r"(?<!\S)[\"'<\[{(,;:|]*(?i:" + "|".join(sorted({re.escape(c.rpartition(" ")[2]) for c in CUES})) + r")[.,:;!?\"'>\]})|]*\s+(?=[^\sa-z0-9])")
+
+
+def _names(text: str):
+    """Runs of capitals after cues, as starts and ends."""
+    at = 0
+    for m in _CUE.finditer(text):
+        if m.end() < at:
+            continue
+        two = _word_before(text, m.start())
+        if not _introduces([two, m[0].strip()], 2):
+            continue
+        starts, ends = array("q"), array("q")
+        word = _MARKED.match(text, m.end())
+        while word and _capital(word[0]) and not _MARK.search(word[0]):
+            starts.append(word.start())
+            ends.append(word.end())
+            at = word.end()
+            space = _SPACE.match(text, at)
+            word = _MARKED.match(text, space.end()) if space else None
+        if starts:
+            yield starts, ends
+
+
 def _text_runs(text: str):
-    """Runs of words with a digit or @, as starts and ends, found from the marks without splitting the whole text."""
+    """Runs of words with a digit or @, as starts and ends, found from the marks without splitting the whole text; then
+    runs of names."""
     starts, ends, at = array("q"), array("q"), 0
     m = _MARK.search(text, 0)
     while m:
@@ -343,6 +394,10 @@ def _text_runs(text: str):
         m = _MARK.search(text, end)
     if ends:
         yield starts, ends
+    yield from _names(text)
+
+
+_SPACE = re.compile(r"\s+")
 
 
 def _word_before(text: str, at: int) -> str:
@@ -380,6 +435,8 @@ def _possible(kind: str, word: str) -> bool:
         return word.count(".") == 3 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in re.findall("[0-9]+", word)) and len(re.findall("[0-9]+", word)) == 4
     if kind == "card":
         return 13 <= len(digits) <= 19
+    if kind == "name":
+        return not digits and "@" not in word and _capital(word)
     return 7 <= len(digits) <= (15 if kind == "phone" else 34)
 
 

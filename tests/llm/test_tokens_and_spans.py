@@ -332,7 +332,7 @@ def test_pii_scan_and_redaction(spark, field):
 LONG = 1_000_000
 
 
-@pytest.mark.parametrize("unit", ["7", ".", " ", "1.", "1 ", "1-", "+1", "+", "@", "a@", "a.", "x", "-", "(", "f", "A", "AKIA", "token", "token ", "secret=", "/", "\n"])
+@pytest.mark.parametrize("unit", ["7", ".", " ", "1.", "1 ", "1-", "+1", "+", "@", "a@", "a.", "x", "-", "(", "f", "A", "AKIA", "token", "token ", "secret=", "/", "\n", "Mr ", "Mr A", "A ", "Dear "])
 def test_long_runs_take_linear_time(unit, field):
     import time
 
@@ -396,6 +396,15 @@ def test_pii_query_equals_brute_force(spark, field, tmp_path, monkeypatch):
         assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(s[0] == k for s in base) for k in range(4)]
 
 
+def test_names_are_found_where_something_introduces_them(field):
+    texts = [
+        "I met Mr. Alden Brooks yesterday.", "Dear Quinlan Marsh, thank you", "my name is Tova Lindqvist and", "Dear Sir, we write", "Walden Pond is deep", "the Mr of the house", "Frau Ingrid Sommer schreibt",
+        "signed\nPeregrin Hollow", "name is 7 and Mr 5", "Dr " * 5, "the called Number of it",
+    ]
+    got = [[t[a:b] for k, a, b in found if k == "name"] for t, found in zip(texts, pii.added_spans(texts, field), strict=True)]
+    assert got[:9] == [["Alden Brooks"], ["Quinlan Marsh"], ["Tova Lindqvist"], [], [], [], ["Ingrid Sommer"], ["Peregrin Hollow"], []]
+
+
 def test_neighbours_tell_cards_that_fail_luhn(field):
     texts = ["pay with 2123465659789240.", "rows 2123465659789240 | 7 | 9", "pay with 21234656597892401234567."]
     assert [[k for k, _, _ in found if k == "card"] for found in pii.added_spans(texts, field)][::2] == [["card"], []]
