@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -26,6 +27,8 @@ from .. import schemas
 MAX_LINE, HEAD, RANGE = 4 << 20, 4096, 128 << 20
 #: Lines and bytes of an Arrow batch.
 BATCH, BATCH_BYTES = 4096, 8 << 20
+#: Files that are looked at side by side when a scan is planned.
+LOOKERS = 16
 
 
 @dataclass(frozen=True)
@@ -177,19 +180,29 @@ def _ranges(path: str, start: int, stop: int, inode: int, head: int, size: int)
     return [FileRange(path, a, min(a + size, stop), inode, head, a == start) for a in range(start, stop, size)]
 
 
+def positions(options: _Options, cursors: dict[str, Cursor]) -> list[tuple[str, Cursor, int]]:
+    """For each file, where reading goes on and behind which whole line it may end. Files are looked at side by side, as
+    that is mostly waiting; one that can't be read doesn't hold up the others."""
+
+    def position(path: str) -> tuple[str, Cursor, int] | None:
+        try:
+            cursor, _ = resumed(path, cursors.get(path))
+            return path, cursor, whole_end(path, cursor.byte_offset, options.most, options.longest)
+        except OSError:
+            return None
+
+    with ThreadPoolExecutor(LOOKERS) as pool:
+        return [p for p in pool.map(position, discover(options.root)) if p is not None]
+
+
 class BatchReader(DataSourceReader):
     def __init__(self, options):
         self.options = _Options(options)
 
     def partitions(self):
-        o, out = self.options, []
-        for path in discover(o.root):
-            try:
-                cursor, _ = resumed(path, o.cursors.get(path))
-                stop = whole_end(path, cursor.byte_offset, o.most, o.longest)
-            except OSError:
-                continue  # a file that can't be read doesn't hold up the others
-            out += _ranges(path, cursor.byte_offset, stop, cursor.file_id, cursor.head_hash, o.range)
+        out = []
+        for path, cursor, stop in positions(self.options, self.options.cursors):
+            out += _ranges(path, cursor.byte_offset, stop, cursor.file_id, cursor.head_hash, self.options.range)
         return out or [FileRange("", 0, 0, 0, 0, True)]
 
     def read(self, partition):
@@ -207,13 +220,7 @@ class StreamReader(DataSourceStreamReader):
         return {"files": {p: asdict(c) for p, c in self.options.cursors.items()}}
 
     def latestOffset(self) -> dict:
-        o = self.options
-        for path in discover(o.root):
-            try:
-                cursor, _ = resumed(path, self.taken.get(path))
-                end = whole_end(path, cursor.byte_offset, o.most, o.longest)
-            except OSError:
-                continue
+        for path, cursor, end in positions(self.options, self.taken):
             self.taken[path] = Cursor(end, cursor.file_id, cursor.head_hash)
         return {"files": {p: asdict(c) for p, c in sorted(self.taken.items())}}
 
