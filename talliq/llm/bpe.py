@@ -224,7 +224,7 @@ def encode(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="t
             yield batch.filter(pa.compute.greater_equal(batch.column("cell"), 0))
 
     # one exchange by chunk serves both: words go on to their cells from it, and positions wait in it for the ids
-    pieces = rows.mapInArrow(split, _SPLIT).repartition("chunk")
+    pieces = rows.mapInArrow(split, _SPLIT).repartition(common.SPREAD * common.partitions(spark), "chunk")
     ids = pieces.mapInArrow(sent, _SPLIT).groupBy("cell").applyInArrow(encoded, _SPLIT)
     return pieces.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassembled, schema)
 

@@ -79,6 +79,9 @@ def text_bytes(column: str = "text"):
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 8 << 20
+#: Partitions for each of a shuffle's to which chunks are dealt: chunks are few and large, so that a partition of several
+#: would be long; small ones are put together again at run time.
+SPREAD = 4
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK) -> DataFrame:
