@@ -91,7 +91,7 @@ def abbreviated_path(path: Column, home: str) -> Column:
 
 def without_parenthesis(text: Column) -> Column:
     """Cut before the first parenthesis, and then without white space at the end."""
-    return F.when(text.contains("("), F.rtrim(F.substring_index(text, "(", 1))).otherwise(text)
+    return F.when(text.contains("("), F.regexp_replace(F.substring_index(text, "(", 1), r"(?U)\s+$", "")).otherwise(text)
 
 
 def window_size(n: Column) -> Column:

@@ -144,6 +144,15 @@ class _Options:
 
 
 def _read(part: FileRange, longest: int):
+    """Batches of a range's lines. A file that can't be read any more ends its range: its cursor stays where lines were
+    read, and the other files go on."""
+    try:
+        yield from _batches(part, longest)
+    except OSError:
+        return
+
+
+def _batches(part: FileRange, longest: int):
     start = part.start
     if not part.aligned:  # the line that reaches into this range belongs to the range before
         with open(part.path, "rb") as f:

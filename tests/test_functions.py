@@ -78,7 +78,7 @@ def test_texts(spark):
     assert [v(formats.middle_cut(F.lit(x), 5)) for x in ("abcde", "abcdef", "äöüßxy")] == ["abcde", "ab…ef", "äö…xy"]
     assert v(formats.middle_cut(F.lit("abcdefgh"), 6)) == "abc…gh"
     assert [v(formats.abbreviated_path(F.lit(x), "/home/u")) for x in ("/home/u/projects/deep/repo", "/home/u", "/var/log", "/home/u/.config/nvim", "plain", "/")] == ["~/p/d/repo", "~", "/v/log", "~/.c/nvim", "plain", "/"]
-    assert [v(formats.without_parenthesis(F.lit(x))) for x in ("Opus 5 (1M) x", "Opus 5 ", "(a)")] == ["Opus 5", "Opus 5 ", ""]
+    assert [v(formats.without_parenthesis(F.lit(x))) for x in ("Opus 5 (1M) x", "Opus 5 ", "(a)", "a\t\u2003(b)")] == ["Opus 5", "Opus 5 ", "", "a"]
     assert [v(formats.window_size(F.lit(n))) for n in (200000, 1000000, 1500000, 2000000, 999)] == ["200k", "1M", "1500k", "2M", "999"]
     assert [v(formats.short_cost(F.lit(x))) for x in (0.001, 0.5, 12.346)] == ["0.001", "0.50", "12.35"]
 

@@ -107,3 +107,12 @@ def test_git_branch(tmp_path):
     assert git.branch(str(tree)) == "main"
     write(tree / ".git", "nonsense")
     assert git.branch(str(tree)) is None
+
+
+def test_a_file_that_goes_away_ends_its_own_range_only(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.jsonl").write_text("one\ntwo\n")
+    parts = t.BatchReader({"path": str(tmp_path)}).partitions()
+    os.remove(tmp_path / "0.jsonl")
+    got = [row for part in parts for batch in t._read(part, t.MAX_LINE) for row in batch.column("line").to_pylist()]
+    assert got == ["one", "two"]
