@@ -363,14 +363,20 @@ QUERIES = {
 _LINES = f"""WITH e AS (SELECT event_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
 kinds AS (SELECT *, CASE WHEN k % 41 = 3 THEN 'bad' WHEN k % 43 = 5 THEN 'blank' WHEN k % 47 = 7 THEN 'cost' ELSE 'usage' END AS kind FROM e),
 texts AS (SELECT *, k % {FILES} AS file, CASE kind WHEN 'bad' THEN 'not json' WHEN 'blank' THEN ''
-  WHEN 'cost' THEN '{{"type":"cost-state","sessionId":"s' || (k % 9) || '","totalCostUSD":' || (k % 100) || ',"modelUsage":{{"a":{{"inputTokens":' || k || '}}}}}}'
-  ELSE '{{"type":"assistant","sessionId":"s' || (k % 9) || '","cwd":"/pä' || (k % 3) || '","timestamp":"' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'
-    || '","message":{{"id":"m' || (k // 2) || '","model":"claude-opus-5","usage":{{"input_tokens":' || (k % 50) || ',"output_tokens":' || (k * 7 % 700) || '}}}}}}' END AS line FROM kinds),
-placed AS (SELECT *, strlen(line) + 1 AS size, row_number() OVER f - 1 AS rank, CAST(sum(strlen(line) + 1) OVER f AS BIGINT) AS "end" FROM texts WINDOW f AS (PARTITION BY file ORDER BY k)),
+  WHEN 'cost' THEN '{{"type":"cost-state","sessionId":"s' || (k % 9) || '","totalCostUSD":' || (k % 100) || ',"modelUsage":{{"a":{{"inputTokens":'
+ || k || '}}}}}}'
+  ELSE '{{"type":"assistant","sessionId":"s' || (k % 9) || '","cwd":"/pä' || (k % 3) || '","timestamp":"' || strftime(make_timestamp(ts * 1000000),
+ '%Y-%m-%dT%H:%M:%S') || '+00:00'
+    || '","message":{{"id":"m' || (k // 2) || '","model":"claude-opus-5","usage":{{"input_tokens":' || (k % 50) || ',"output_tokens":'
+ || (k * 7 % 700) || '}}}}}}' END AS line FROM kinds),
+placed AS (SELECT *, strlen(line) + 1 AS size, row_number() OVER f - 1 AS rank, CAST(sum(strlen(line) + 1) OVER f AS BIGINT) AS "end" FROM texts
+ WINDOW f AS (PARTITION BY file ORDER BY k)),
 lines AS (SELECT *, "end" - size AS "offset", CASE WHEN file % 2 = 1 THEN 'inner/' ELSE '' END || file AS path FROM placed)
 """
-_USAGE = """, usage AS (SELECT *, {seq} AS seq, 'm' || (k // 2) AS dedupe_key, 's' || (k % 9) AS session_id, '/pä' || (k % 3) AS project_dir, k % 50 AS input, k * 7 % 700 AS output FROM lines WHERE kind = 'usage'),
-requests AS (SELECT dedupe_key, arg_min(session_id, seq) AS session_id, arg_min(project_dir, seq) AS project_dir, 'claude-opus-5' AS model, arg_min(ts, seq) AS ts, max(input) AS input, max(output) AS output FROM usage GROUP BY dedupe_key)
+_USAGE = """, usage AS (SELECT *, {seq} AS seq, 'm' || (k // 2) AS dedupe_key, 's' || (k % 9) AS session_id, '/pä' || (k % 3) AS project_dir, k % 50 AS input,
+ k * 7 % 700 AS output FROM lines WHERE kind = 'usage'),
+requests AS (SELECT dedupe_key, arg_min(session_id, seq) AS session_id, arg_min(project_dir, seq) AS project_dir, 'claude-opus-5' AS model,
+ arg_min(ts, seq) AS ts, max(input) AS input, max(output) AS output FROM usage GROUP BY dedupe_key)
 """
 #: Arrival: the batch, then the path, then the place in the file.
 _BATCHED = _LINES + _USAGE.format(seq=f"(rank // {BATCH}, path, rank)")
@@ -414,10 +420,13 @@ def _printed() -> str:
         plain(5, 2, "The rest never reached a transcript, such as retries and aborted turns."),
         f"SELECT 6, 0, '', {head("''", 'w_day', False)} FROM widths", f"SELECT 6, 1, day, {row('day', 'w_day', False)} FROM days, widths", f"SELECT 6, 2, '', {row("'TOTAL'", 'w_day', False)} FROM whole, widths",
     ]
-    return ORACLE + f""", whole AS (SELECT {TOTALS} FROM priced), models AS (SELECT model, {TOTALS} FROM priced GROUP BY model), projects AS (SELECT project_root, {short} AS shown, {TOTALS} FROM priced GROUP BY project_root),
+    return ORACLE + f""", whole AS (SELECT {TOTALS} FROM priced), models AS (SELECT model, {TOTALS} FROM priced GROUP BY model), projects AS (SELECT project_root,
+ {short} AS shown, {TOTALS} FROM priced GROUP BY project_root),
 days AS (SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS day, {TOTALS} FROM priced GROUP BY 1),
-widths AS (SELECT greatest(5, (SELECT max(strlen(model)) FROM models)) AS w_model, greatest(7, (SELECT max(strlen(shown)) FROM projects)) AS w_project, greatest(5, (SELECT max(strlen(day)) FROM days)) AS w_day),
-cover AS (SELECT (SELECT sum(total) FROM requests WHERE session_id IN (SELECT session_id FROM cost_state)) AS ours, sum(input + output + cache_read + cache_create) AS theirs, count(*) AS sessions FROM cost_state),
+widths AS (SELECT greatest(5, (SELECT max(strlen(model)) FROM models)) AS w_model, greatest(7, (SELECT max(strlen(shown))
+ FROM projects)) AS w_project, greatest(5, (SELECT max(strlen(day)) FROM days)) AS w_day),
+cover AS (SELECT (SELECT sum(total) FROM requests WHERE session_id IN (SELECT session_id FROM cost_state)) AS ours,
+ sum(input + output + cache_read + cache_create) AS theirs, count(*) AS sessions FROM cost_state),
 printed AS ({' UNION ALL '.join(parts)})
 SELECT CAST(row_number() OVER (ORDER BY section, place, name) - 1 AS INTEGER) AS place, line FROM printed"""
 
@@ -431,48 +440,65 @@ ORACLES = {
     "drained_requests": _BATCHED + f"SELECT {_R} FROM requests",
     "drain_report": _BATCHED + """, marked AS (SELECT *, row_number() OVER w = 1 OR input > max(input) OVER b OR output > max(output) OVER b AS effective FROM usage
   WINDOW w AS (PARTITION BY dedupe_key ORDER BY seq), b AS (PARTITION BY dedupe_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT count(*) AS lines, count(*) FILTER (WHERE kind = 'usage') AS usage, count(*) FILTER (WHERE kind = 'cost') AS cost, 0::BIGINT AS dropped, count(*) FILTER (WHERE kind = 'bad') AS malformed,
+SELECT count(*) AS lines, count(*) FILTER (WHERE kind = 'usage') AS usage, count(*) FILTER (WHERE kind = 'cost') AS cost, 0::BIGINT AS dropped,
+ count(*) FILTER (WHERE kind = 'bad') AS malformed,
   (SELECT count(*) FROM marked WHERE effective) AS changed, TRUE AS exhausted, 0::BIGINT AS again FROM lines""",
-    "budgeted_drain": _LINES + f"SELECT count(*) FILTER (WHERE rank < {BATCH}) AS \"first\", FALSE AS first_exhausted, count(*) FILTER (WHERE rank >= {BATCH}) AS rest, TRUE AS rest_exhausted, CAST(CASE WHEN max(rank) >= {BATCH} THEN 2 ELSE 1 END AS INTEGER) AS batches FROM lines",
-    "stored_cursors": _LINES + f"SELECT CAST(file AS INTEGER) AS file, CAST(sum(size) AS BIGINT) AS byte_offset, {CUTOFF}::BIGINT AS last_seen FROM lines GROUP BY file",
-    "stored_sessions": _BATCHED + "SELECT session_id, arg_min(project_dir, seq) AS project_dir, min(ts) AS first_seen, max(ts) AS last_seen FROM usage GROUP BY session_id",
-    "stored_costs": _LINES + f"SELECT 's' || (k % 9) AS session_id, CAST(arg_max(k % 100, (rank // {BATCH}, path, rank)) AS DOUBLE) AS cost_usd, arg_max(k, (rank // {BATCH}, path, rank)) AS input, {CUTOFF}::BIGINT AS captured_at FROM lines WHERE kind = 'cost' GROUP BY k % 9",
-    "stored_paths": _BATCHED + ", firsts AS (SELECT arg_min(file, seq) AS file FROM usage GROUP BY dedupe_key) SELECT DISTINCT CAST(file AS INTEGER) AS file, TRUE AS known FROM firsts",
+    "budgeted_drain": _LINES + f"""SELECT count(*) FILTER (WHERE rank < {BATCH}) AS \"first\", FALSE AS first_exhausted, count(*) FILTER (WHERE rank >= {BATCH}) AS rest,
+ TRUE AS rest_exhausted, CAST(CASE WHEN max(rank) >= {BATCH} THEN 2 ELSE 1 END AS INTEGER) AS batches FROM lines""",
+    "stored_cursors": _LINES + f"""SELECT CAST(file AS INTEGER) AS file, CAST(sum(size) AS BIGINT) AS byte_offset, {CUTOFF}::BIGINT AS last_seen FROM lines GROUP BY file""",
+    "stored_sessions": _BATCHED + """SELECT session_id, arg_min(project_dir, seq) AS project_dir, min(ts) AS first_seen, max(ts) AS last_seen FROM usage GROUP BY session_id""",
+    "stored_costs": _LINES + f"""SELECT 's' || (k % 9) AS session_id, CAST(arg_max(k % 100, (rank // {BATCH}, path, rank)) AS DOUBLE) AS cost_usd, arg_max(k, (rank // {BATCH}, path,
+ rank)) AS input, {CUTOFF}::BIGINT AS captured_at FROM lines WHERE kind = 'cost' GROUP BY k % 9""",
+    "stored_paths": _BATCHED + """, firsts AS (SELECT arg_min(file, seq) AS file FROM usage GROUP BY dedupe_key) SELECT DISTINCT CAST(file AS INTEGER) AS file, TRUE AS known
+ FROM firsts""",
     "compacted_requests": _TWO + f"SELECT {_R} FROM requests",
     "ranged_requests": _TWO + f"SELECT {_R} FROM requests WHERE ts >= {CUTOFF - 500_000} AND ts < {CUTOFF}",
-    "pruned_store": _BATCHED + f"SELECT count(*) AS n, 'requests' AS name FROM requests WHERE ts >= {CUTOFF} UNION ALL SELECT count(DISTINCT session_id), 'sessions' FROM usage UNION ALL SELECT {FILES - 1}, 'cursors' UNION ALL SELECT 0, 'read again'",
+    "pruned_store": _BATCHED + f"""SELECT count(*) AS n, 'requests' AS name FROM requests WHERE ts >= {CUTOFF} UNION ALL SELECT count(DISTINCT session_id), 'sessions' FROM usage
+ UNION ALL SELECT {FILES - 1}, 'cursors' UNION ALL SELECT 0, 'read again'""",
     "backfilled_requests": _WHOLE + f"SELECT {_R}, TRUE AS stored FROM requests",
     "concurrent_drains": _WHOLE + "SELECT dedupe_key, session_id, input, output FROM requests",
-    "recorded_limits": "SELECT CAST(ts AS BIGINT) AS ts, pct AS five_hour_pct, 1000::BIGINT AS five_hour_resets_at, CAST(NULL AS DOUBLE) AS seven_day_pct FROM (VALUES (100, 0.0::DOUBLE), (102, 10.5::DOUBLE), (104, 21.0::DOUBLE)) AS t(ts, pct)",
+    "recorded_limits": """SELECT CAST(ts AS BIGINT) AS ts, pct AS five_hour_pct, 1000::BIGINT AS five_hour_resets_at, CAST(NULL AS DOUBLE) AS seven_day_pct FROM (VALUES (100,
+ 0.0::DOUBLE), (102, 10.5::DOUBLE), (104, 21.0::DOUBLE)) AS t(ts, pct)""",
     "payload_values": """WITH e AS (SELECT event_id AS k, event_id % 11 = 0 OR event_id % 7 = 0 AS bad FROM events)
-SELECT k, bad, CASE WHEN bad THEN NULL WHEN k % 4 <> 0 AND k % 3 <> 0 THEN '/w' || k ELSE '/c' || k END AS shown, CASE WHEN bad THEN NULL WHEN k % 4 <> 0 AND k % 5 = 0 THEN '/project' WHEN k % 4 <> 0 AND k % 3 <> 0 THEN '/w' || k ELSE '/c' || k END AS project,
+SELECT k, bad, CASE WHEN bad THEN NULL WHEN k % 4 <> 0 AND k % 3 <> 0 THEN '/w' || k ELSE '/c' || k END AS shown, CASE WHEN bad THEN NULL
+ WHEN k % 4 <> 0 AND k % 5 = 0 THEN '/project' WHEN k % 4 <> 0 AND k % 3 <> 0 THEN '/w' || k ELSE '/c' || k END AS project,
   CASE WHEN NOT bad THEN k % 7 - 1 END AS added FROM e""",
     "resolved_dates": "WITH days AS (SELECT unnest(range(DATE '2026-01-01', DATE '2027-01-01', INTERVAL 1 DAY)) AS d), zones(zone) AS (VALUES " + ", ".join(f"('{z}')" for z in ZONES) + """),
 good AS (SELECT zone, strftime(d, '%Y-%m-%d') AS day, CAST(epoch(CAST(d AS TIMESTAMP) AT TIME ZONE zone) AS BIGINT) AS ts FROM days, zones)
 SELECT zone, day, ts FROM good UNION ALL SELECT zone, day, NULL FROM zones, (VALUES ('2026-02-30'), ('x'), ('2026-1-1')) AS b(day)""",
     "settings_line": """SELECT '"statusLine": {"type": "command", "command": "none \\"x\\""}' AS settings, 'some/branch' AS branch, CAST(NULL AS VARCHAR) AS other""",
-    "json_elements": _ledger_sql("""SELECT CASE WHEN row_number() OVER (ORDER BY ts, dedupe_key) = 1 THEN '' ELSE ',' END || '{"timestamp":"' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00","model":"' || model || '","project_root":"' || project_root || '","project_dir":"' || project_dir
- || '","input":' || input || ',"output":' || output || ',"cache_create":' || cache_create || ',"cache_read":' || cache_read || ',"total":' || total || '}' AS line, dedupe_key FROM ledger"""),
+    "json_elements": _ledger_sql("""SELECT CASE WHEN row_number() OVER (ORDER BY ts, dedupe_key) = 1 THEN '' ELSE ',' END || '{"timestamp":"' || strftime(make_timestamp(ts * 1000000),
+ '%Y-%m-%dT%H:%M:%S') || '+00:00","model":"' || model || '","project_root":"' || project_root || '","project_dir":"' || project_dir
+ || '","input":' || input || ',"output":' || output || ',"cache_create":' || cache_create || ',"cache_read":' || cache_read || ',"total":' || total
+ || '}' AS line, dedupe_key FROM ledger"""),
     "printed_reports": _printed(),
 }
 ORACLES["converted_requests"] = f"""WITH e AS (SELECT event_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events)
-SELECT 'm' || (k // 2) AS dedupe_key, 's' || (arg_min(k, (k % 2, k)) % 9) AS session_id, '/p' AS project_dir, 'claude-opus-5' AS model, arg_min(ts, (k % 2, k)) AS ts, max(k % 50) AS input, max(k * 7 % 700) AS output,
-  max(CASE WHEN k % 2 = 1 THEN 3 ELSE 0 END)::BIGINT AS thinking, '/t/' || (arg_min(k, (k % 2, k)) % {FILES}) AS path, TRUE AS known FROM e GROUP BY k // 2"""
+SELECT 'm' || (k // 2) AS dedupe_key, 's' || (arg_min(k, (k % 2, k)) % 9) AS session_id, '/p' AS project_dir, 'claude-opus-5' AS model, arg_min(ts,
+ (k % 2, k)) AS ts, max(k % 50) AS input, max(k * 7 % 700) AS output,
+  max(CASE WHEN k % 2 = 1 THEN 3 ELSE 0 END)::BIGINT AS thinking, '/t/' || (arg_min(k, (k % 2, k)) % {FILES}) AS path, TRUE AS known FROM e
+ GROUP BY k // 2"""
 _TODAY = f"(SELECT coalesce(sum(input + output), 0) FROM requests WHERE ts >= {CUTOFF // 86400 * 86400})"
-_KILO = f"""CASE WHEN {_TODAY} >= 1000000 THEN printf('%.1f', {_TODAY} / 1e6::DOUBLE) || 'M' WHEN {_TODAY} >= 100000 THEN CAST(round({_TODAY} / 1000.0::DOUBLE) AS BIGINT) || 'k'
+_KILO = f"""CASE WHEN {_TODAY} >= 1000000 THEN printf('%.1f', {_TODAY} / 1e6::DOUBLE) || 'M' WHEN {_TODAY} >= 100000
+ THEN CAST(round({_TODAY} / 1000.0::DOUBLE) AS BIGINT) || 'k'
   WHEN {_TODAY} >= 10000 THEN printf('%.0f', {_TODAY} / 1000.0::DOUBLE) || 'k' ELSE printf('%.1f', {_TODAY} / 1000.0::DOUBLE) || 'k' END"""
 _PLACE = f"{render.CYAN}/x{render.RESET}{render.GREY} • {render.RESET}{render.GREY}{render.ICON_TOKENS} today {render.RESET}"
 ORACLES["command_lines"] = _WHOLE + f""", marked AS (SELECT *, row_number() OVER w = 1 OR input > max(input) OVER b OR output > max(output) OVER b AS effective FROM usage
   WINDOW w AS (PARTITION BY dedupe_key ORDER BY seq), b AS (PARTITION BY dedupe_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sessions AS (SELECT session_id, arg_min(project_dir, seq) AS project_dir, max(ts) AS last_seen FROM usage GROUP BY session_id),
 tokens AS (SELECT session_id, CAST(sum(input + output) AS BIGINT) AS tokens FROM requests GROUP BY session_id),
-shown AS (SELECT s.session_id, coalesce(tokens, 0) AS tokens, last_seen, project_dir FROM sessions s LEFT JOIN tokens t ON s.session_id = t.session_id WHERE project_dir = '/pä1'),
+shown AS (SELECT s.session_id, coalesce(tokens, 0) AS tokens, last_seen, project_dir FROM sessions s LEFT
+ JOIN tokens t ON s.session_id = t.session_id WHERE project_dir = '/pä1'),
 printed(section, place, name, line) AS (SELECT 0, 0, '', '{_PLACE}0.0k' UNION ALL SELECT 1, 0, '', '{render.GREY}{render.NAME}{render.RESET}'
-  UNION ALL SELECT 2, 0, '', 'Added ' || (SELECT count(*) FROM marked WHERE effective) || ' new requests (' || (SELECT count(*) FROM requests) || ' total in ledger).'
+  UNION ALL SELECT 2, 0, '', 'Added ' || (SELECT count(*) FROM marked WHERE effective) || ' new requests (' || (SELECT count(*) FROM requests)
+ || ' total in ledger).'
   UNION ALL SELECT 3, 0, '', 'Skipped ' || (SELECT count(*) FROM lines WHERE kind = 'bad') || ' unparseable lines.'
-  UNION ALL SELECT 4, 0, '', '{render.CYAN}/x{render.RESET}' || CASE WHEN {_TODAY} > 0 THEN '{_PLACE.removeprefix(f"{render.CYAN}/x{render.RESET}")}' || {_KILO} ELSE '' END
-  UNION ALL SELECT 5, 0, '', CASE WHEN count(*) = 0 THEN 'No sessions recorded.' ELSE '{"session":<38} {"tokens":>12} {"last seen":>12}  project' END FROM shown
-  UNION ALL SELECT 6, -last_seen, session_id, session_id || repeat(' ', 38 - length(session_id)) || ' ' || lpad(replace(format('{{:,}}', tokens), ',', ' '), 12, ' ') || ' ' || lpad(strftime(make_timestamp(last_seen * 1000000), '%Y-%m-%d'), 12, ' ') || '  ' || project_dir FROM shown)
+  UNION ALL SELECT 4, 0, '', '{render.CYAN}/x{render.RESET}' || CASE WHEN {_TODAY} > 0 THEN '{_PLACE.removeprefix(f"{render.CYAN}/x{render.RESET}")}'
+ || {_KILO} ELSE '' END
+  UNION ALL SELECT 5, 0, '', CASE WHEN count(*) = 0 THEN 'No sessions recorded.' ELSE '{"session":<38} {"tokens":>12} {"last seen":>12}  project' END
+ FROM shown
+  UNION ALL SELECT 6, -last_seen, session_id, session_id || repeat(' ', 38 - length(session_id)) || ' ' || lpad(replace(format('{{:,}}', tokens),
+ ',', ' '), 12, ' ') || ' ' || lpad(strftime(make_timestamp(last_seen * 1000000), '%Y-%m-%d'), 12, ' ') || '  ' || project_dir FROM shown)
 SELECT CAST(row_number() OVER (ORDER BY section, place, name) - 1 AS INTEGER) AS place, line FROM printed"""
 #: A stream takes the half of each file that is there, then the rest.
 ORACLES["streamed_requests"] = (
