@@ -387,7 +387,6 @@ def deduplicated(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_
     from pyspark.sql.types import StructType
 
     packed = common.chunks(docs, id_col, text_col, chunk)
-    packed = packed.repartition(common.SPREAD * common.partitions(docs.sparkSession), "chunk")  # one exchange for all passes
     gone = intervals(shards(packed, length=length, **options), length)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
