@@ -279,7 +279,8 @@ def intervals(segments: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # what goes without sorting needs no other chunk's rows: it is spread by chunk
     key = F.when(F.col("cell") < 0, -1 - F.col("chunk")).otherwise(F.col("cell"))
-    return segments.select(key.alias("cell"), "chunk", "blob").groupBy("cell").applyInArrow(sorted_out, "chunk long, blob binary")
+    dealt = segments.select(key.alias("cell"), "chunk", "blob").repartition(common.SPREAD * common.partitions(segments.sparkSession), "cell")
+    return dealt.groupBy("cell").applyInArrow(sorted_out, "chunk long, blob binary")
 
 
 def _sorted_out(got: pa.Table, length: int) -> pa.Table:
