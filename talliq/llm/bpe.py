@@ -113,10 +113,13 @@ class _Chunk:
         self.places.append(numbers)
         self.size += len(text)
 
-    def rows(self, chunk: int, cells: int) -> pa.RecordBatch:
-        """Words by cell, and under -1 the rows: words are numbered anew in the order of cells."""
+    def rows(self, place: int, cells: int) -> pa.RecordBatch:
+        """Words by cell, and under -1 the rows: words are numbered anew in the order of cells. A chunk's number follows
+        from its place and what is in it, so that one that comes out differently in a retry is another chunk."""
         from zlib import crc32
 
+        import xxhash
+
         words = [w.encode() for w in self.numbers]
         cell = np.fromiter((crc32(w) % cells for w in words), np.int64, len(words))
         order = np.argsort(cell, kind="stable")
@@ -128,6 +131,7 @@ class _Chunk:
         rank[frequent] = np.arange(len(words), dtype=np.uint32)
         at[rank[order]] = np.arange(len(words), dtype=np.uint32)
         body = squeeze(there, np.array([i or 0 for i in self.ids], np.int64), np.array(list(map(len, self.places)), np.int64), at, rank[flat])
+        chunk = xxhash.xxh3_64_intdigest(body + place.to_bytes(8, "little")) >> 1
         numbers, blobs = [-1], [body]
         cuts = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])[: len(order)]
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)][: len(cuts)], strict=True):
@@ -210,6 +214,8 @@ def encode(docs: DataFrame, finish, schema: str, *, id_col="doc_id", text_col="t
         there, ids, counts, at, places = expand(got.column("body")[0].as_py())
         places = at[places]
         words = Words([b for _, b in sorted(zip(answers.column("cell").to_pylist(), answers.column("body").to_pylist(), strict=True))], _token_bytes(shared.value))
+        if len(words.ids) != len(at):
+            raise RuntimeError("rows came in another order when a task was run again; checkpoint them first")
         ends = np.cumsum(counts)
         out = [
             finish(i if x else None, places[b - n : b], words)
