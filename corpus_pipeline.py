@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from talliq.llm import bpe, common, decontamination, jaccard, langid, pii
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Keys of leaked rows, of 8 bytes each, that are broadcast at most; their count decides.
+BROADCAST_KEYS = 200_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +70,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     rows = keyed(spark, docs)
-    leaked = decontamination.leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
-    return rows.join(leaked, "row_key", "left_anti").select(*COLUMNS)
+    found = decontamination.leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col="row_key")
+    leaked = common.checkpointed(found.select(F.col("doc_id").alias("row_key")).distinct())
+    # leaks are few: their keys go to the texts while they are, and not the texts to them
+    few = leaked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(leaked) if few else leaked, "row_key", "left_anti").select(*COLUMNS)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
