@@ -81,10 +81,10 @@ def _machine(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) ->
 
 
 class Model:
-    """Machines for families (one against the rest) and for each pair of languages within a family."""
+    """Machines for families (one against the rest) and for each pair of languages within a family. Rows of x are features
+    and a one."""
 
     def __init__(self, langs: np.ndarray, x: np.ndarray):
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         names = sorted(set(langs.tolist()))
         self.families = sorted({family_of(n) for n in names})
         self.members = {f: [n for n in names if family_of(n) == f] for f in self.families}
@@ -149,10 +149,11 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang
     got = chosen.select("id", "lang", "text").mapInArrow(counted, "id string, lang string, x binary").orderBy("id", "x").collect()
     if not got:
         return None
-    x = np.empty((len(got), DIMENSIONS), np.float32)
-    for k, r in enumerate(got):
-        x[k] = np.frombuffer(r["x"], np.float16)
-    return Model(np.array([r["lang"] for r in got], object), x)
+    langs, x = np.array([r["lang"] for r in got], object), np.ones((len(got), DIMENSIONS + 1), np.float32)
+    for k in range(len(got)):
+        x[k, :-1] = np.frombuffer(got[k]["x"], np.float16)
+        got[k] = None  # a row's bytes go as they are taken over
+    return Model(langs, x)
 
 
 def predicted(model: Model | None, spark, text_col: str = "text") -> Column:
