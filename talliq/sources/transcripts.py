@@ -8,7 +8,8 @@ Spark's own file stream never looks at a file again and gives out half-written l
 each file: byte offset, inode, and a hash of the first line. A cursor holds while inode and hash are the same and the
 file isn't shorter; otherwise the file is read from its start. Lines without their end yet are left for later. A line
 beyond maxLineBytes is skipped and reported. Options: path (a folder, or one file), maxLineBytes, maxLinesPerBatch (for
-each file), cursors (JSON by path, from which reading goes on), rangeBytes.
+each file), cursors (JSON by path, from which reading goes on), rangeBytes. A task reads as many ranges as it takes to be
+worth its start.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import json
 import os
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -29,6 +30,8 @@ MAX_LINE, HEAD, RANGE = 4 << 20, 4096, 128 << 20
 BATCH, BATCH_BYTES = 4096, 8 << 20
 #: Files that are looked at side by side when a scan is planned.
 LOOKERS = 16
+#: Small ranges share tasks: tasks of such a scan, bytes of one at least and at most, and bytes that opening a file is worth.
+TASKS, TASK_LEAST, TASK_MOST, OPENING = 64, 1 << 20, 32 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -125,7 +128,7 @@ def whole_end(path: str, start: int, most: int | None, longest: int) -> int:
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     path: str
     start: int
     stop: int
@@ -134,6 +137,27 @@ class FileRange(InputPartition):
     aligned: bool
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[FileRange] = field(default_factory=list)
+
+
+def _tasks(ranges: list[FileRange]) -> list[Task]:
+    """Deals ranges to tasks in their order. What is larger than a task's share stays alone."""
+    share = min(max(sum(r.stop - r.start + OPENING for r in ranges) // TASKS, TASK_LEAST), TASK_MOST)
+    out, weight = [Task()], 0
+    for r in ranges:
+        size = r.stop - r.start + OPENING
+        if out[-1].ranges and weight + size > share:
+            out.append(Task())
+            weight = 0
+        out[-1].ranges.append(r)
+        weight += size
+    return out
+
+
 class _Options:
     def __init__(self, options):
         self.root = options.get("path", ".")
@@ -143,16 +167,26 @@ class _Options:
         self.cursors = {p: Cursor(**c) for p, c in json.loads(options.get("cursors") or "{}").items()}
 
 
-def _read(part: FileRange, longest: int):
-    """Batches of a range's lines. A file that can't be read any more ends its range: its cursor stays where lines were
-    read, and the other files go on."""
-    try:
-        yield from _batches(part, longest)
-    except OSError:
-        return
+def _read(task: Task, longest: int):
+    """Batches of the lines of a task's ranges. A file that can't be read any more ends its range: its cursor stays where
+    lines were read, and the other files go on."""
+    held: list[tuple[FileRange, tuple[int, int, bytes | None]]] = []
+    size = 0
+    for part in task.ranges:
+        try:
+            for row in _lines(part, longest):
+                held.append((part, row))
+                size += len(row[2] or b"")
+                if len(held) == BATCH or size >= BATCH_BYTES:
+                    yield _batch(held)
+                    held, size = [], 0
+        except OSError:
+            continue
+    if held:
+        yield _batch(held)
 
 
-def _batches(part: FileRange, longest: int):
+def _lines(part: FileRange, longest: int) -> Iterator[tuple[int, int, bytes | None]]:
     start = part.start
     if not part.aligned:  # the line that reaches into this range belongs to the range before
         with open(part.path, "rb") as f:
@@ -160,27 +194,18 @@ def _batches(part: FileRange, longest: int):
             while (chunk := f.readline(1 << 20)) and not chunk.endswith(b"\n"):
                 pass
             start = f.tell()
-    held: list[tuple[int, int, bytes | None]] = []
-    size = 0
-    for row in lines(part.path, start, part.stop, None, longest):
-        held.append(row)
-        size += len(row[2] or b"")
-        if len(held) == BATCH or size >= BATCH_BYTES:
-            yield _batch(part, held)
-            held, size = [], 0
-    if held:
-        yield _batch(part, held)
+    return lines(part.path, start, part.stop, None, longest)
 
 
-def _batch(part: FileRange, rows: list[tuple[int, int, bytes | None]]):
+def _batch(held: list[tuple[FileRange, tuple[int, int, bytes | None]]]):
     """Lines as an Arrow batch, which costs far less than a row each."""
     import pyarrow as pa
 
-    n = len(rows)
+    rows = [row for _, row in held]
     columns = {
-        "path": pa.array([part.path] * n, pa.string()), "offset": pa.array([r[0] for r in rows], pa.int64()), "end": pa.array([r[1] for r in rows], pa.int64()),
+        "path": pa.array([p.path for p, _ in held], pa.string()), "offset": pa.array([r[0] for r in rows], pa.int64()), "end": pa.array([r[1] for r in rows], pa.int64()),
         "line": pa.array([None if r[2] is None else r[2].decode("utf-8", "replace") for r in rows], pa.string()), "too_long": pa.array([r[2] is None for r in rows], pa.bool_()),
-        "file_id": pa.array([part.file_id] * n, pa.int64()), "head_hash": pa.array([part.head_hash] * n, pa.int64()),
+        "file_id": pa.array([p.file_id for p, _ in held], pa.int64()), "head_hash": pa.array([p.head_hash for p, _ in held], pa.int64()),
     }
     return pa.record_batch(columns)
 
@@ -212,10 +237,10 @@ class BatchReader(DataSourceReader):
         out = []
         for path, cursor, stop in positions(self.options, self.options.cursors):
             out += _ranges(path, cursor.byte_offset, stop, cursor.file_id, cursor.head_hash, self.options.range)
-        return out or [FileRange("", 0, 0, 0, 0, True)]
+        return _tasks(out)
 
     def read(self, partition):
-        return _read(partition, self.options.longest) if partition.path else iter(())
+        return _read(partition, self.options.longest)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -241,10 +266,10 @@ class StreamReader(DataSourceStreamReader):
             at = Cursor(**known) if known else Cursor()
             same = at.file_id == to.file_id and at.byte_offset <= to.byte_offset and at.head_hash in (0, to.head_hash)
             out += _ranges(path, at.byte_offset if same else 0, to.byte_offset, to.file_id, to.head_hash, self.options.range)
-        return out or [FileRange("", 0, 0, 0, 0, True)]
+        return _tasks(out)
 
     def read(self, partition):
-        return _read(partition, self.options.longest) if partition.path else iter(())
+        return _read(partition, self.options.longest)
 
     def commit(self, end: dict) -> None:
         """Nothing is kept outside the offsets."""

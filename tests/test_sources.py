@@ -116,3 +116,18 @@ def test_a_file_that_goes_away_ends_its_own_range_only(spark, tmp_path):
     os.remove(tmp_path / "0.jsonl")
     got = [row for part in parts for batch in t._read(part, t.MAX_LINE) for row in batch.column("line").to_pylist()]
     assert got == ["one", "two"]
+
+
+def test_small_ranges_and_files_share_tasks(tmp_path):
+    """A range is no task of its own: thousands of them would cost more than what they read."""
+    lines = [f"line {i} {'x' * (i % 13)}" for i in range(20_000)]
+    write(tmp_path / "a.jsonl", "".join(x + "\n" for x in lines))
+    for k in range(300):
+        write(tmp_path / f"b{k}.jsonl", f"{k}\n")
+    tasks = t.BatchReader({"path": str(tmp_path), "rangeBytes": "50"}).partitions()
+    assert len(tasks) <= 2 * t.TASKS and sum(len(x.ranges) for x in tasks) > 5000
+    assert all(r.stop - r.start <= 50 for x in tasks for r in x.ranges)
+    got = [row for x in tasks for batch in t._read(x, t.MAX_LINE) for row in batch.column("line").to_pylist()]
+    assert sorted(got) == sorted([*lines, *map(str, range(300))])
+    large = t.FileRange("p", 0, t.TASK_MOST + 1, 1, 1, True)
+    assert [len(x.ranges) for x in t._tasks([large, large])] == [1, 1]
