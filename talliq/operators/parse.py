@@ -68,7 +68,7 @@ def decoded(raw: DataFrame) -> DataFrame:
     return _once(got, "status", status)
 
 
-def usage_lines(decoded_lines: DataFrame, batch_id: int = 0) -> DataFrame:
+def usage_lines(decoded_lines: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     """One row for each line with recorded usage; missing counts are 0."""
     top, usage = F.col("j"), F.col("j")["message"]["usage"]
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -85,7 +85,7 @@ def usage_lines(decoded_lines: DataFrame, batch_id: int = 0) -> DataFrame:
     )
 
 
-def cost_lines(decoded_lines: DataFrame, captured_at: int, batch_id: int = 0) -> DataFrame:
+def cost_lines(decoded_lines: DataFrame, captured_at: int, batch_id: int | Column = 0) -> DataFrame:
     """Cost snapshots: sums over the models of a line, whose sorted names are kept."""
     top = F.col("j")
     of = lambda field: F.aggregate(F.map_values(top["modelUsage"]), F.lit(0).cast("long"), lambda n, m: n + F.coalesce(m[field], F.lit(0))).cast("long")

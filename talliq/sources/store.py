@@ -6,8 +6,9 @@ snapshot. compact() writes the merged state as a new snapshot and switches to it
 what folds need to go on. What a snapshot replaced is deleted by the compaction after it, so that readers can finish.
 
 Writers may run at once: each claims the number of its batch by a file that only one can create. Batches that overlap do no
-harm, since folds take the same line any number of times, and cursors go with the lines they stand behind. Compactions
-take turns by a lock file. A snapshot's requests lie in folders by day, so a range reads its days only, and they are merged
+harm, since folds take the same line any number of times, and cursors go with the lines they stand behind. A batch may
+have steps, which are in the number that its rows have: they fold as if each step were a batch of its own. Compactions take
+turns by a lock file. A snapshot's requests lie in folders by day, so a range reads its days only, and they are merged
 already: only requests that later batches touched are folded again. All paths go through Spark's file systems.
 """
 
@@ -21,7 +22,7 @@ import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -29,6 +30,17 @@ from ..operators import merge
 
 ENVIRONMENT = "TALLIQ_STORE"
 _DAY, _DAY_FILES = 86400, 8
+#: Bits of a step within a row's batch_id. Rows of older stores have the plain number of their batch, and come first.
+_STEP_BITS = 20
+
+
+def arrival(batch: int, step: Column | int = 0) -> Column:
+    """What a row of a batch's step has as its batch_id."""
+    return F.lit(batch << _STEP_BITS).cast("long") + step
+
+
+def batch_of(batch_id: Column) -> Column:
+    return F.shiftright(batch_id, _STEP_BITS)
 
 
 def default_path() -> str:
@@ -252,7 +264,7 @@ class Store:
     def add(self, usage: DataFrame, batch_id: int | None = None) -> int:
         """Appends usage rows that were made elsewhere, as one batch; its number."""
         batch = self.next_batch() if batch_id is None else batch_id
-        self.append(batch, {"usage": usage.withColumn("batch_id", F.lit(batch).cast("long"))})
+        self.append(batch, {"usage": usage.withColumn("batch_id", arrival(batch))})
         return batch
 
     def convert(self, folder: str) -> int:

@@ -9,7 +9,8 @@ each file: byte offset, inode, and a hash of the first line. A cursor holds whil
 file isn't shorter; otherwise the file is read from its start. Lines without their end yet are left for later. A line
 beyond maxLineBytes is skipped and reported. Options: path (a folder, or one file), maxLineBytes, maxLinesPerBatch (for
 each file), cursors (JSON by path, from which reading goes on), rangeBytes. A task reads as many ranges as it takes to be
-worth its start.
+worth its start. With maxBatches, a batch read takes so many times maxLinesPerBatch, and has a column step: which of them
+a line is in, from 0.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ MAX_LINE, HEAD, RANGE = 4 << 20, 4096, 128 << 20
 BATCH, BATCH_BYTES = 4096, 8 << 20
 #: Files that are looked at side by side when a scan is planned.
 LOOKERS = 16
+#: Bytes in which line ends are counted.
+BLOCK = 4 << 20
 #: Small ranges share tasks: tasks of such a scan, bytes of one at least and at most, and bytes that opening a file is worth.
 TASKS, TASK_LEAST, TASK_MOST, OPENING = 64, 1 << 20, 32 << 20, 1 << 14
 
@@ -110,21 +113,38 @@ def lines(path: str, start: int, stop: int | None = None, most: int | None = Non
 
 def whole_end(path: str, start: int, most: int | None, longest: int) -> int:
     """Behind the last whole line from start, or behind the last of so many."""
-    if most is None:
-        with open(path, "rb") as f:
-            at = f.seek(0, 2)
-            while at > start:
-                step = min(1 << 16, at - start)
-                f.seek(at - step)
-                k = f.read(step).rfind(b"\n")
-                if k >= 0:
-                    return at - step + k + 1
-                at -= step
-        return start
-    end = start
-    for _, end, _ in lines(path, start, None, most, longest):
-        pass
-    return end
+    if most is not None:
+        return ([start] + ends(path, start, most, 1))[-1]
+    with open(path, "rb") as f:
+        at = f.seek(0, 2)
+        while at > start:
+            step = min(1 << 16, at - start)
+            f.seek(at - step)
+            k = f.read(step).rfind(b"\n")
+            if k >= 0:
+                return at - step + k + 1
+            at -= step
+    return start
+
+
+def ends(path: str, start: int, most: int, batches: int) -> list[int]:
+    """Where each of so many batches of at most so many whole lines ends; line ends are only counted."""
+    import numpy as np
+
+    out, count, last = [], 0, start
+    with open(path, "rb") as f:
+        at = f.seek(start)
+        while len(out) < batches and (block := f.read(min(BLOCK, most * batches * OPENING))):
+            found = np.flatnonzero(np.frombuffer(block, np.uint8) == 10)
+            full = found[most - 1 - count :: most][: batches - len(out)]
+            out += (full + (at + 1)).tolist()
+            if len(found):
+                last = at + int(found[-1]) + 1
+            count = (count + len(found)) % most
+            at += len(block)
+    if len(out) < batches and last > (out[-1] if out else start):
+        out.append(last)
+    return out
 
 
 @dataclass
@@ -135,6 +155,7 @@ class FileRange:
     file_id: int
     head_hash: int
     aligned: bool
+    step: int = 0
 
 
 @dataclass
@@ -163,11 +184,12 @@ class _Options:
         self.root = options.get("path", ".")
         self.longest = int(options.get("maxLineBytes", MAX_LINE))
         self.most = int(options["maxLinesPerBatch"]) if options.get("maxLinesPerBatch") else None
+        self.batches = int(options["maxBatches"]) if options.get("maxBatches") else None
         self.range = int(options.get("rangeBytes", RANGE))
         self.cursors = {p: Cursor(**c) for p, c in json.loads(options.get("cursors") or "{}").items()}
 
 
-def _read(task: Task, longest: int):
+def _read(task: Task, longest: int, steps: bool = False):
     """Batches of the lines of a task's ranges. A file that can't be read any more ends its range: its cursor stays where
     lines were read, and the other files go on."""
     held: list[tuple[FileRange, tuple[int, int, bytes | None]]] = []
@@ -178,12 +200,12 @@ def _read(task: Task, longest: int):
                 held.append((part, row))
                 size += len(row[2] or b"")
                 if len(held) == BATCH or size >= BATCH_BYTES:
-                    yield _batch(held)
+                    yield _batch(held, steps)
                     held, size = [], 0
         except OSError:
             continue
     if held:
-        yield _batch(held)
+        yield _batch(held, steps)
 
 
 def _lines(part: FileRange, longest: int) -> Iterator[tuple[int, int, bytes | None]]:
@@ -197,7 +219,7 @@ def _lines(part: FileRange, longest: int) -> Iterator[tuple[int, int, bytes | No
     return lines(part.path, start, part.stop, None, longest)
 
 
-def _batch(held: list[tuple[FileRange, tuple[int, int, bytes | None]]]):
+def _batch(held: list[tuple[FileRange, tuple[int, int, bytes | None]]], steps: bool):
     """Lines as an Arrow batch, which costs far less than a row each."""
     import pyarrow as pa
 
@@ -207,21 +229,25 @@ def _batch(held: list[tuple[FileRange, tuple[int, int, bytes | None]]]):
         "line": pa.array([None if r[2] is None else r[2].decode("utf-8", "replace") for r in rows], pa.string()), "too_long": pa.array([r[2] is None for r in rows], pa.bool_()),
         "file_id": pa.array([p.file_id for p, _ in held], pa.int64()), "head_hash": pa.array([p.head_hash for p, _ in held], pa.int64()),
     }
+    if steps:
+        columns["step"] = pa.array([p.step for p, _ in held], pa.int64())
     return pa.record_batch(columns)
 
 
-def _ranges(path: str, start: int, stop: int, inode: int, head: int, size: int) -> list[FileRange]:
-    return [FileRange(path, a, min(a + size, stop), inode, head, a == start) for a in range(start, stop, size)]
+def _ranges(path: str, start: int, stop: int, inode: int, head: int, size: int, step: int = 0) -> list[FileRange]:
+    return [FileRange(path, a, min(a + size, stop), inode, head, a == start, step) for a in range(start, stop, size)]
 
 
-def positions(options: _Options, cursors: dict[str, Cursor]) -> list[tuple[str, Cursor, int]]:
-    """For each file, where reading goes on and behind which whole line it may end. Files are looked at side by side, as
-    that is mostly waiting; one that can't be read doesn't hold up the others."""
+def positions(options: _Options, cursors: dict[str, Cursor]) -> list[tuple[str, Cursor, list[int]]]:
+    """For each file, where reading goes on and behind which whole lines its batches end; at least one end. Files are
+    looked at side by side, as that is mostly waiting; one that can't be read doesn't hold up the others."""
 
-    def position(path: str) -> tuple[str, Cursor, int] | None:
+    def position(path: str) -> tuple[str, Cursor, list[int]] | None:
         try:
             cursor, _ = resumed(path, cursors.get(path))
-            return path, cursor, whole_end(path, cursor.byte_offset, options.most, options.longest)
+            if options.most is not None and options.batches is not None:
+                return path, cursor, ends(path, cursor.byte_offset, options.most, options.batches) or [cursor.byte_offset]
+            return path, cursor, [whole_end(path, cursor.byte_offset, options.most, options.longest)]
         except OSError:
             return None
 
@@ -235,12 +261,13 @@ class BatchReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path, cursor, stop in positions(self.options, self.options.cursors):
-            out += _ranges(path, cursor.byte_offset, stop, cursor.file_id, cursor.head_hash, self.options.range)
+        for path, cursor, stops in positions(self.options, self.options.cursors):
+            for step, (start, stop) in enumerate(zip([cursor.byte_offset, *stops], stops, strict=False)):
+                out += _ranges(path, start, stop, cursor.file_id, cursor.head_hash, self.options.range, step)
         return _tasks(out)
 
     def read(self, partition):
-        return _read(partition, self.options.longest)
+        return _read(partition, self.options.longest, self.options.batches is not None)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -248,14 +275,15 @@ class StreamReader(DataSourceStreamReader):
 
     def __init__(self, options):
         self.options = _Options(options)
+        self.options.batches = None  # a trigger's lines are one batch
         self.taken = dict(self.options.cursors)
 
     def initialOffset(self) -> dict:
         return {"files": {p: asdict(c) for p, c in self.options.cursors.items()}}
 
     def latestOffset(self) -> dict:
-        for path, cursor, end in positions(self.options, self.taken):
-            self.taken[path] = Cursor(end, cursor.file_id, cursor.head_hash)
+        for path, cursor, stops in positions(self.options, self.taken):
+            self.taken[path] = Cursor(stops[-1], cursor.file_id, cursor.head_hash)
         return {"files": {p: asdict(c) for p, c in sorted(self.taken.items())}}
 
     def partitions(self, start: dict, end: dict):
@@ -281,7 +309,7 @@ class TranscriptSource(DataSource):
         return "transcripts"
 
     def schema(self) -> str:
-        return schemas.RAW
+        return schemas.RAW + (", step BIGINT" if self.options.get("maxBatches") else "")
 
     def reader(self, schema):
         return BatchReader(self.options)

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators import merge, parse
 from ..sources import transcripts
-from ..sources.store import Store
+from ..sources.store import Store, arrival, batch_of
 
 #: Lines of a file in one batch.
 BATCH_LINES = 500
+#: Batches that are read and written at once, at most, and bytes of a file that a task then decodes.
+ROUND, RANGE = 1024, 16 << 20
 
 
 @dataclass
@@ -51,25 +53,27 @@ def known_cursors(store: Store, root: str) -> dict[str, dict]:
 def changes(store: Store, batches: list[int]) -> int:
     """How many lines of these batches inserted a request or made one grow; looks at the requests they touch."""
     log = store.log("usage")
-    ours = F.col("batch_id").isin(batches)
+    ours = batch_of(F.col("batch_id")).isin(batches)
     touched = log.join(log.filter(ours).select("dedupe_key").distinct(), "dedupe_key", "left_semi")
     return merge.effective(touched).filter(ours).agg(F.count_if("effective").alias("changed")).first()["changed"]
 
 
 def write_batch(store: Store, raw: DataFrame, batch_id: int, now: int, count_changes: bool = True) -> Report:
-    """Parses raw lines and appends usage, costs and cursors as one batch; nothing is written without lines."""
+    """Parses raw lines and appends usage, costs and cursors as one batch, whose steps raw may tell; nothing is written
+    without lines."""
     decoded = parse.decoded(raw).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = parse.counters(decoded).first()
         report = Report(**counts.asDict())
         if not report.lines:
             return report
+        number = arrival(batch_id, F.col("step") if "step" in raw.columns else 0)
         cursors = decoded.groupBy("path").agg(F.max_by(F.struct(F.col("end").alias("byte_offset"), "file_id", "head_hash"), "end").alias("c"))
-        tables = {"cursors": cursors.select("path", "c.*", F.lit(now).cast("long").alias("last_seen"), F.lit(batch_id).cast("long").alias("batch_id"))}
+        tables = {"cursors": cursors.select("path", "c.*", F.lit(now).cast("long").alias("last_seen"), arrival(batch_id).alias("batch_id"))}
         if report.usage:
-            tables["usage"] = parse.usage_lines(decoded, batch_id)
+            tables["usage"] = parse.usage_lines(decoded, number)
         if report.cost:
-            tables["cost_state"] = parse.cost_lines(decoded, now, batch_id)
+            tables["cost_state"] = parse.cost_lines(decoded, now, number)
         store.append(batch_id, tables)
         if count_changes and report.usage:
             report.changed = changes(store, [batch_id])
@@ -78,12 +82,20 @@ def write_batch(store: Store, raw: DataFrame, batch_id: int, now: int, count_cha
         decoded.unpersist()
 
 
+def _width(width: int, took: float, left: float | None) -> int:
+    """How many batches to take at once after so many that took so long: what the time that is left allows, but at most
+    twice as many, and as many as may be without a deadline."""
+    return ROUND if left is None else max(1, min(2 * width, ROUND, int(width * left / max(took, 1e-3))))
+
+
 def drain(store: Store, root: str, *, now: int | None = None, budget: float | None = None, batch_lines: int | None = BATCH_LINES, count_changes: bool = True) -> Report:
-    """Batches of at most so many lines of each file until nothing is new or the budget of seconds is over. Whatever was
-    committed stays, so that every call gets further. Changes are counted once, at the end, and only when asked."""
+    """Batches of at most so many lines of each file until nothing is new or the budget of seconds is over. Batches are
+    taken many at once, in one commit, as far as the budget allows, and fold as if they came one after the other. Whatever
+    was committed stays, so that every call gets further. Changes are counted once, at the end, and only when asked."""
     spark, now = store.spark, int(time.time()) if now is None else now
     register(spark)
     deadline, total, batches = None if budget is None else time.monotonic() + budget, Report(), []
+    width = ROUND if budget is None else 1
 
     def ended(exhausted: bool) -> Report:
         total.exhausted = exhausted
@@ -92,11 +104,11 @@ def drain(store: Store, root: str, *, now: int | None = None, budget: float | No
         return total
 
     while True:
-        options = {"cursors": json.dumps(known_cursors(store, root))}
+        options = {"cursors": json.dumps(known_cursors(store, root)), "rangeBytes": str(RANGE)}
         if batch_lines:
-            options["maxLinesPerBatch"] = str(batch_lines)
+            options |= {"maxLinesPerBatch": str(batch_lines), "maxBatches": str(width)}
         raw = spark.read.format("transcripts").options(**options).load(root)
-        batch = store.next_batch()
+        batch, start = store.next_batch(), time.monotonic()
         report = write_batch(store, raw, batch, now, count_changes=False)
         total.add(report)
         if not report.lines:
@@ -105,6 +117,7 @@ def drain(store: Store, root: str, *, now: int | None = None, budget: float | No
         batches.append(batch)
         if deadline is not None and time.monotonic() >= deadline:
             return ended(False)
+        width = _width(width, time.monotonic() - start, None if deadline is None else deadline - time.monotonic())
 
 
 def backfill(store: Store, root: str | None = None, *, now: int | None = None) -> Report:
@@ -149,7 +162,7 @@ def hash_of(text: str) -> int:
 def record_limits(store: Store, payload_frame: DataFrame, now: int) -> bool:
     """Appends the payload's limits if it has a window and differs from the last observation."""
     batch = store.next_batch()
-    seen = merge.observed_limits(payload_frame, F.lit(now), batch)
+    seen = merge.observed_limits(payload_frame, F.lit(now), arrival(batch))
     row = seen.first()
     if row is None:
         return False

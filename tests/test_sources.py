@@ -131,3 +131,18 @@ def test_small_ranges_and_files_share_tasks(tmp_path):
     assert sorted(got) == sorted([*lines, *map(str, range(300))])
     large = t.FileRange("p", 0, t.TASK_MOST + 1, 1, 1, True)
     assert [len(x.ranges) for x in t._tasks([large, large])] == [1, 1]
+
+
+def test_ends_of_batches(tmp_path, monkeypatch):
+    p = tmp_path / "a.jsonl"
+    lines = [b"x" * (i * 7 % 23) for i in range(100)]
+    p.write_bytes(b"".join(x + b"\n" for x in lines) + b"open")
+    whole = [0]
+    for x in lines:
+        whole.append(whole[-1] + len(x) + 1)
+    for block in (1, 10, 1 << 20):
+        monkeypatch.setattr(t, "BLOCK", block)
+        for most, batches, start in ((1, 5, 0), (7, 3, 0), (7, 100, 4), (100, 2, 0), (50, 2, 0), (50, 9, 1)):
+            want = [whole[min(start + most * (k + 1), 100)] for k in range(batches) if start + most * k < 100]
+            assert t.ends(str(p), whole[start], most, batches) == want
+        assert t.ends(str(p), whole[100], 5, 2) == []

@@ -230,3 +230,26 @@ def test_ranges_read_days_of_a_snapshot(spark, tmp_path):
     assert len(whole) == 21 and whole["m3"] == 70
     store.compact()
     assert {r["dedupe_key"]: r["output"] for r in store.requests().collect()} == whole
+
+
+def test_batches_are_taken_many_at_once_and_fold_one_after_the_other(spark, tmp_path):
+    """Without a deadline a drain doesn't run jobs for each few lines, and what arrives first is as if it did."""
+    folder, store = str(tmp_path / "t"), Store(spark, str(tmp_path / "s"))
+    write(f"{folder}/a.jsonl", [*[line(f"a{k}", output=1) for k in range(5)], line("x", output=1, session="late"), cost_state("s9"), *[line(f"b{k}") for k in range(20)], cost_state("s9")])
+    write(f"{folder}/b.jsonl", ["bad", line("x", output=3, session="early"), *[line(f"c{k}") for k in range(6)], line("x", output=9, session="late")])
+    report = ingest.drain(store, folder, now=NOON, batch_lines=2)
+    assert (report.lines, report.malformed, report.exhausted, store.committed()) == (37, 1, True, [0])
+    got = {r["dedupe_key"]: r for r in store.requests().collect()}
+    assert (got["x"]["session_id"], got["x"]["output"], len(got)) == ("early", 9, 32)
+    assert report.changed == 33  # the line between doesn't make x grow
+    assert sorted({ingest_step(r["batch_id"]) for r in store.log("usage").collect()}) == list(range(14)) and sorted(ingest_step(r["batch_id"]) for r in store.log("cost_state").collect()) == [3, 13]
+    assert ingest.drain(store, folder, now=NOON, batch_lines=2).lines == 0
+
+
+def ingest_step(batch_id):
+    return batch_id & (1 << 20) - 1
+
+
+def test_rounds_grow_as_the_budget_allows():
+    assert ingest._width(1, 1.0, None) == ingest.ROUND
+    assert [ingest._width(4, 1.0, left) for left in (0.1, 0.5, 1.0, 100.0)] == [1, 2, 4, 8] and ingest._width(ingest.ROUND, 0.0, 9.0) == ingest.ROUND
