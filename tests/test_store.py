@@ -2,6 +2,8 @@ import json
 import os
 import time
 
+import pytest
+
 from ledger_data import CHANGES, NOON, REQUESTS, SESSION, TOTAL, USAGE_LINES, cost_state, line, most
 from talliq import cli
 from talliq.operators import parse
@@ -253,3 +255,26 @@ def ingest_step(batch_id):
 def test_rounds_grow_as_the_budget_allows():
     assert ingest._width(1, 1.0, None) == ingest.ROUND
     assert [ingest._width(4, 1.0, left) for left in (0.1, 0.5, 1.0, 100.0)] == [1, 2, 4, 8] and ingest._width(ingest.ROUND, 0.0, 9.0) == ingest.ROUND
+
+
+def drains(monkeypatch, spark, name):
+    """How often a query on small tables and small batches reads and writes a round."""
+    from talliq.plans import ingestion
+
+    calls, written = [], ingest.write_batch
+    monkeypatch.setattr(ingestion, "BATCH", 20)
+    monkeypatch.setattr(ingest, "write_batch", lambda *a, **k: calls.append(1) or written(*a, **k))
+    assert ingestion.QUERIES[name](spark, DATA).count() > 0
+    return len(calls)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
+@pytest.mark.parametrize("name", [
+    "drained_requests", "concurrent_drains",
+])
+def test_rounds_of_queries(spark, monkeypatch, name):
+    """Files have some 250 lines, which was a round for each 20 of them, or each 40 with two writers."""
+    assert drains(monkeypatch, spark, name) <= 4
