@@ -273,7 +273,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
 @pytest.mark.parametrize("name", [
-    "drained_requests", "concurrent_drains", "drain_report", "stored_sessions", "pruned_store", "stored_costs", "stored_cursors",
+    "drained_requests", "concurrent_drains", "drain_report", "stored_sessions", "pruned_store", "stored_costs", "stored_cursors", "stored_paths",
 ])
 def test_rounds_of_queries(spark, monkeypatch, name):
     """Files have some 250 lines, which was a round for each 20 of them, or each 40 with two writers."""
