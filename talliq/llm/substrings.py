@@ -42,47 +42,55 @@ LENGTH, GRAMS, STEPS = 50, 16, 2
 CELL = 16 << 20
 #: Weight of a shard at most: the bytes of its segments, and so many more for each segment and its places.
 SHARD, EACH = 48 << 20, 52
-#: Windows of a long text that are looked at together.
-_CHUNK = 1 << 20
+#: Windows that are looked at together: what is computed of so many stays in a core's cache.
+_CHUNK = 1 << 15
 _LAST = (1 << 63) - 1
 
 
 def _gram_hashes(x: np.ndarray) -> np.ndarray:
-    w = np.ndarray(len(x) - 7, ">u8", x, strides=(1,)).astype(np.uint64)
+    w = np.ndarray(len(x) - 7, "<u8", x, strides=(1,)).astype(np.uint64)
     return common.mixed(w[: len(w) - 8] * np.uint64(0x9E3779B97F4A7C15) ^ (w[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def anchored(text: bytes, length: int = LENGTH, grams: int = GRAMS):
     """Segments of the length-byte windows of a text: (anchor hashes, first windows, numbers of windows)."""
-    n = len(text) - length + 1
+    hashes, _, first, many = _all_anchors([text], length, grams)
+    return hashes, first, many
+
+
+def _all_anchors(texts: list[bytes], length: int, grams: int):
+    """Anchors of all texts of a chunk: (hash, text number, first window, windows). Texts are looked at as one; windows that
+    reach from one to the next are left out. Where a block ends a segment may be cut in two."""
+    whole = b"".join(texts)
+    begin = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=begin[1:])
+    n, width = len(whole) - length + 1, length - grams + 1
     found: list[tuple] = []
     for a in range(0, n, _CHUNK):
         m = min(_CHUNK, n - a)
-        x = np.frombuffer(text, np.uint8, m + length - 1, a)
-        h = _gram_hashes(x)
+        h = _gram_hashes(np.frombuffer(whole, np.uint8, m + length - 1, a))
         key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
         span, least = 1, key
-        width = length - grams + 1
         while span * 2 <= width:
             least, span = np.minimum(least[: len(least) - span], least[span:]), span * 2
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        new = np.ones(m, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        i, j = np.searchsorted(begin, (a, a + m))
+        new[begin[i:j] - a] = True
+        first = np.flatnonzero(new)
+        at = (least[first] & np.uint64(0xFFFFFF)).astype(np.int64)
         # mixed again: the least of many hashes is small, and cells are shares of the hash's range
-        found.append((common.mixed(h[at[first]]) >> np.uint64(24), first + a, np.diff(np.r_[first, m])))
+        found.append((common.mixed(h[at]) >> np.uint64(24), first + a, np.append(first[1:], m) + a))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _all_anchors(texts: list[bytes], length: int, grams: int):
-    """Anchors of all texts of a chunk: (hash, text number, first window, windows)."""
-    parts = [anchored(t, length, grams) for t in texts]
-    if not parts:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
-    return np.concatenate([p[0] for p in parts]), which, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int32)
+    hashes, first, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    which = np.searchsorted(begin, first, "right") - 1
+    many = np.minimum(ends, begin[which + 1] - length + 1) - first
+    on = np.flatnonzero(many > 0)
+    which, first = which[on], first[on]
+    return hashes[on], which.astype(np.int32), first - begin[which], many[on].astype(np.int32)
 
 
 def _cell_cuts(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -172,52 +180,64 @@ def _dealt(body: bytes, cells: list[int], answers: list[bytes], length: int, gra
     ids, texts = common.unpacked(body)
     ids = _ids(ids)
     hashes, which, first, many = _all_anchors(texts, length, grams)
-    own, where = np.unique(hashes, return_inverse=True)
-    cuts, shared, hot, parts = _cell_cuts(own, n), np.zeros(len(own), bool), np.zeros(len(own), bool), np.ones(len(own), np.int64)
-    cell_of = np.zeros(len(own), np.int64)
+    own_hashes, where = np.unique(hashes, return_inverse=True)
+    anchors = len(own_hashes)
+    cuts, shared, hot, parts = _cell_cuts(own_hashes, n), np.zeros(anchors, bool), np.zeros(anchors, bool), np.ones(anchors, np.int64)
+    cell_of = np.zeros(anchors, np.int64)
     for cell, blob in zip(cells, answers, strict=True):
         a, b = cuts[cell], cuts[cell + 1]
         bits, crowded, split = expand(blob)
         shared[a:b], hot[a:b] = np.unpackbits(bits, count=b - a), np.unpackbits(crowded, count=b - a)
         parts[a:b], cell_of[a:b] = split[0], cell
     on = np.flatnonzero(shared[where])
-    content: dict[bytes, list[int]] = {}
-    for k, w, a, m in zip(on.tolist(), which[on].tolist(), first[on].tolist(), many[on].tolist(), strict=True):
-        segment = texts[w][a : a + m + length - 1]
-        held = content.get(segment)
-        if held is None:
-            content[segment] = [k]
-        else:
-            held.append(k)
-    owner = ids[which]
-    cells_out: dict[int, list[tuple[bytes, int, np.ndarray, np.ndarray]]] = {}
-    gone: list[int] = []
-    for segment, places in content.items():
-        least = int(owner[places[0]]) if len(places) == 1 else int(owner[places].min())
-        if len(places) > 1:
-            gone += [k for k in places if owner[k] > least]
-            places = [k for k in places if owner[k] == least]
-        at = where[places[0]]
-        if parts[at] == 1:
-            cells_out.setdefault(int(cell_of[at]), []).append((segment, least, which[places], first[places]))
-            continue
-        for key, a, b in _split(segment, int(own[at]) if not hot[at] else None, int(parts[at]), length, grams, steps):
-            shard = _shard(int(cell_of[at]), key)
-            cells_out.setdefault(shard, []).append((segment[a : b - 1 + length], least, which[places], first[places] + a))
-    rows = [(cell, _packed(held)) for cell, held in cells_out.items()]
-    if gone:
-        places = np.array(gone, np.int64)
-        rows.append((-1, squeeze(*_merged(which[places].astype(np.int64), first[places], first[places] + many[places] + length - 1))))
+    if not len(on):
+        return []
+    where, which, first, many = where[on], which[on], first[on], many[on]
+    number: dict[bytes, int] = {}  # distinct segments
+    known = number.setdefault
+    code = np.array([known(texts[w][a:e], len(number)) for w, a, e in zip(which.tolist(), first.tolist(), (first + many + (length - 1)).tolist(), strict=True)], np.int64)
+    segments, owner = list(number), ids[which]
+    order = np.argsort(code, kind="stable")
+    new = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+    least, at = np.minimum.reduceat(owner[order], new), where[order[new]]
+    over = owner > least[code]
+    kept = order[~over[order]]  # the places of each segment that stay, one segment after the other
+    counts = np.bincount(code[kept], minlength=len(segments))
+    begin = np.cumsum(counts) - counts
+    which, cell = which.astype(np.int32), cell_of[at]
+    sizes = np.fromiter(map(len, segments), np.int32, len(segments))
+    whole = ~hot[at] | (parts[at] == 1)  # segments that aren't dealt by what stands around their anchor
+    shard = cell.copy()
+    many_parts = np.flatnonzero(whole & (parts[at] > 1))
+    part = (own_hashes[at[many_parts]] % parts[at[many_parts]].astype(np.uint64)).astype(np.int64)
+    pairs, back = np.unique(np.stack([cell[many_parts], part]), axis=1, return_inverse=True)
+    shard[many_parts] = np.array([_shard(c, k) for c, k in pairs.T.tolist()], np.int64)[back.reshape(-1)]
+    plain = np.flatnonzero(whole)
+    plain = plain[np.argsort(shard[plain], kind="stable")]
+    rows = []
+    for own in np.split(plain, np.flatnonzero(np.diff(shard[plain])) + 1) if len(plain) else ():
+        c = counts[own]
+        places = kept[np.repeat(begin[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        data = np.frombuffer(b"".join([segments[k] for k in own.tolist()]), np.uint8)
+        rows.append((int(shard[own[0]]), squeeze(data, sizes[own], least[own], c.astype(np.int32), which[places], first[places])))
+    split: dict[int, list[tuple[bytes, int, np.ndarray, np.ndarray]]] = {}
+    for k in np.flatnonzero(~whole).tolist():
+        places = kept[begin[k] : begin[k] + counts[k]]
+        for key, a, b in _split(segments[k], int(parts[at[k]]), length, grams, steps):
+            split.setdefault(_shard(int(cell[k]), key), []).append((segments[k][a : b - 1 + length], int(least[k]), which[places], first[places] + a))
+    rows += [(key, _packed(held)) for key, held in split.items()]
+    gone = np.flatnonzero(over)
+    if len(gone):
+        rows.append((-1, squeeze(*_merged(which[gone].astype(np.int64), first[gone], first[gone] + many[gone] + length - 1))))
     return rows
 
 
-def _split(segment: bytes, anchor: int | None, parts: int, length: int, grams: int, steps: int) -> list[tuple[int, int, int]]:
-    """Shards of a segment's windows, (shard, first, behind the last): by the anchor, or by what stands around it."""
+def _split(segment: bytes, parts: int, length: int, grams: int, steps: int) -> list[tuple[int, int, int]]:
+    """Shards of the windows of a segment whose anchor is too frequent alone, (shard, first, behind the last): by what stands
+    around the anchor."""
     import xxhash
 
     many = len(segment) - length + 1
-    if anchor is not None:
-        return [(anchor % parts, 0, many)]
     hashes = _gram_hashes(np.frombuffer(segment, np.uint8)) >> np.uint64(24)
     return [(xxhash.xxh3_64_intdigest(segment[low:high]) % (parts * 16) + parts, a, b) for a, b, low, high in _runs(int(hashes.argmin()), many, steps, length, grams)]
 
@@ -284,24 +304,16 @@ def _sorted_out(got: pa.Table, length: int) -> pa.Table:
     """Intervals by chunk from the segments of a shard."""
     chunks = got.column("chunk").to_pylist()
     number: dict[bytes, int] = {}
-    least: list[int] = []
+    known = number.setdefault
     numbers, parts = [], []  # of a chunk's entries: numbers of their segments, ids, counts of places, places
     for blob in got.column("blob"):
         data, sizes, ids, counts, which, first = expand(blob.as_py())
-        raw, at, own = data.tobytes(), 0, []
-        for size, i in zip(sizes.tolist(), ids.tolist(), strict=True):
-            segment = raw[at : at + size]
-            at += size
-            k = number.setdefault(segment, len(least))
-            if k == len(least):
-                least.append(i)
-            elif i < least[k]:
-                least[k] = i
-            own.append(k)
-        numbers.append(np.array(own, np.int64))
+        raw, ends = data.tobytes(), np.cumsum(sizes)
+        numbers.append(np.array([known(raw[a:e], len(number)) for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64))
         parts.append((ids, counts, which, first))
     sizes = np.fromiter(map(len, number), np.int64, len(number))
-    owner = np.array(least, np.int64)
+    owner = np.full(len(number), _LAST)
+    np.minimum.at(owner, np.concatenate(numbers), np.concatenate([p[0] for p in parts]))
     segment, starts, ends = _removed_windows(list(number), sizes, owner, length)
     begin = np.searchsorted(segment, np.arange(len(owner) + 1))
     out_chunks, blobs = [], []

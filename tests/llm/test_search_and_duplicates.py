@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,6 +368,26 @@ def test_a_hot_anchor_is_spread_over_bounded_shards(spark, tmp_path):
     assert Counter(tuple(r) for r in got.collect()) == brute_substrings(docs)
 
 
+def test_segments_of_a_split_cell_are_dealt_together(monkeypatch):
+    """Only anchors that are too frequent alone are looked at one by one; all others go to their part of the cell at once."""
+    rng = random.Random(5)
+    passages = [sentence(rng, n=40).encode() for _ in range(60)]
+    body = bytes(common._chunk(0, list(range(80)), [b" ".join(rng.sample(passages, 5)) for _ in range(80)]).column("body")[0].as_py())
+    monkeypatch.setattr(substrings, "_split", lambda *a: pytest.fail("a segment was dealt alone"))
+    sent = substrings._sent(body, 50, 16, 2)
+    answers = [substrings._told([blob], shard, 136)[0] for (_, blob), shard in zip(sent, (1 << 30, 60_000), strict=True)]
+    rows = substrings._dealt(body, [c for c, _ in sent], answers, 50, 16, 2, 2)
+    assert len({r[0] for r in rows}) == len(rows) > 4 and sum(0 <= r[0] < 2 for r in rows) == 1  # the second cell is split
+
+    def found(rows):
+        tables = [substrings._sorted_out(pa.table({"chunk": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())}), 50) for c, blob in rows if c >= 0]
+        parts = [common.expand(blob) for c, blob in rows if c < 0] + [common.expand(b) for got in tables for b in got.column("blob").to_pylist()]
+        return [x.tolist() for x in substrings._merged(*[np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)])]
+
+    whole = substrings._dealt(body, [c for c, _ in sent], [substrings._told([blob], 1 << 30, 136)[0] for _, blob in sent], 50, 16, 2, 2)
+    assert found(rows) == found(whole) and len(found(rows)[0]) > 50
+
+
 def test_anchors_depend_on_content_only(monkeypatch):
     rng = random.Random(2)
     shared = sentence(rng, n=30).encode()
