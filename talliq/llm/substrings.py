@@ -7,7 +7,8 @@ order in which they come. First every chunk sends the hashes of its anchors, and
 that own them, and learns which anchors other documents have too. Then the segments of shared anchors go to the shard of
 their anchor, each distinct segment of a chunk once, with the smallest id that has it. A shard sorts the suffixes of its
 distinct segments by external induced sorting (suffixes.py); strings that common prefixes join get the smallest id among
-them. A segment whose anchor no other distinct segment has can match nothing but its copies and is left out of the sorting.
+them. A segment can match nothing but its copies and is left out of the sorting if no other distinct segment has its anchor
+with half of what a window has besides, either before it or behind it.
 What must go returns to the chunk as intervals. So frequent passages and copies cost one entry for each chunk, and nothing
 is dropped or sampled.
 
@@ -336,12 +337,32 @@ def _sorted_out(got: pa.Table, length: int) -> pa.Table:
     return pa.table({"chunk": pa.array(out_chunks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _anchors_of(data: np.ndarray, begin: np.ndarray, grams: int) -> np.ndarray:
-    """The anchor's hash of each segment: the least of its grams."""
+def _several(keys: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Which of the keys that are there come more than once."""
+    out = np.zeros(len(keys), bool)
+    _, where, counts = np.unique(keys[there], return_inverse=True, return_counts=True)
+    out[there] = counts[where] > 1
+    return out
+
+
+def _meeting(data: np.ndarray, begin: np.ndarray, length: int, grams: int) -> np.ndarray:
+    """Which distinct segments may have a window that another one has too. A window has half of its bytes beside the anchor,
+    at least, on one side of it; so those that meet share the anchor with so many bytes before it or behind it."""
     hashes = _gram_hashes(np.r_[data, np.zeros(grams, np.uint8)])[: len(data)]
+    first, last = begin[:-1], begin[1:]
+    key = hashes & np.uint64(0xFFFFFFFFFF000000)
     for k in range(1, grams):  # grams that reach beyond their segment
-        hashes[begin[1:] - k] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    return np.minimum.reduceat(hashes, begin[:-1])
+        key[last - k] = np.uint64(0xFFFFFFFFFF000000)
+    key |= (np.arange(len(data)) - np.repeat(first, last - first)).astype(np.uint64)
+    at = (np.minimum.reduceat(key, first) & np.uint64(0xFFFFFF)).astype(np.int64) + first
+    half = -(-(length - grams) // 2)
+    near, out = min(half, grams), np.zeros(len(first), bool)
+    for there, far, close in ((at - half >= first, -half, -near), (at + half + grams <= last, half, near)):
+        i = at[there]
+        keys = np.zeros(len(at), np.uint64)
+        keys[there] = common.mixed(hashes[i] + common.mixed(hashes[i + far] + common.mixed(hashes[i + close])))
+        out |= _several(keys, there)
+    return out
 
 
 def _removed_windows(segments: list[bytes], sizes: np.ndarray, owner: np.ndarray, length: int, grams: int = GRAMS):
@@ -349,9 +370,7 @@ def _removed_windows(segments: list[bytes], sizes: np.ndarray, owner: np.ndarray
     none = np.zeros(0, np.int64)
     if len(segments) < 2:
         return none, none, none
-    anchors = _anchors_of(np.frombuffer(b"".join(segments), np.uint8), np.r_[0, np.cumsum(sizes)], grams)
-    _, where, counts = np.unique(anchors, return_inverse=True, return_counts=True)
-    on = np.flatnonzero(counts[where] > 1)
+    on = np.flatnonzero(_meeting(np.frombuffer(b"".join(segments), np.uint8), np.r_[0, np.cumsum(sizes)], length, grams))
     if not len(on):
         return none, none, none
     owner = owner[on]

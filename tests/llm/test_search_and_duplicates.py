@@ -368,6 +368,24 @@ def test_a_hot_anchor_is_spread_over_bounded_shards(spark, tmp_path):
     assert Counter(tuple(r) for r in got.collect()) == brute_substrings(docs)
 
 
+def test_segments_that_share_only_an_anchor_are_not_sorted(monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)).encode()
+    gram = min((word(16) for _ in range(20_000)), key=lambda g: int(substrings._gram_hashes(np.frombuffer(g, np.uint8))[0]))
+    beside, ahead = word(34), word(34)
+    loose = [word(34) + gram + word(34) for _ in range(50)]
+    meeting = [beside + gram + word(34), beside + gram + word(34), word(34) + gram + ahead, word(34) + gram + ahead, beside[17:] + gram + ahead[:17], beside[16:] + gram + ahead[:17]]
+    seen, sort = [], substrings.sorted_suffixes
+    monkeypatch.setattr(substrings, "sorted_suffixes", lambda text, length: seen.append(text) or sort(text, length))
+    got = []
+    for segments in (meeting, loose + meeting):
+        which, a, e = substrings._removed_windows(segments, np.array([len(x) for x in segments]), np.arange(len(segments)), 50)
+        got.append({(segments[k], x, y) for k, x, y in zip(which.tolist(), a.tolist(), e.tolist(), strict=True)})
+    assert seen == [b"".join(meeting)] * 2 and got[0] == got[1]
+    assert got[0] == {(meeting[1], 0, 50), (meeting[3], 34, 84), (meeting[5], 1, 51)}
+    assert substrings._removed_windows(loose, np.array([len(x) for x in loose]), np.arange(50), 50)[0].size == 0
+
+
 def test_segments_of_a_split_cell_are_dealt_together(monkeypatch):
     """Only anchors that are too frequent alone are looked at one by one; all others go to their part of the cell at once."""
     rng = random.Random(5)
