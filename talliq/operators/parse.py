@@ -11,6 +11,8 @@ from ..functions import buckets
 #: What a line is: usage, cost, a billed line that can't be recorded, one that can't be read, or none of these.
 USAGE, COST, DROPPED, MALFORMED, OTHER = "usage", "cost", "dropped", "malformed", "other"
 _SPACE = "^[ \\t\\n\\r\\f]*$"
+#: Texts that may be the text of another type, so that the type must be looked at, which is slow.
+_MAYBE_OTHER = r"^[\[{]|^[-+0-9.eE]+$|^(true|false|NaN|[-+]?Infinity)$"
 
 
 def _field(root: Column, path: str) -> Column:
@@ -25,6 +27,11 @@ def _wrong_text(root: Column, path: str) -> Column:
     return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
 
 
+def _wrong_known(text: Column, root: Column, path: str) -> Column:
+    """As _wrong_text, with the field's text known."""
+    return F.coalesce(text.rlike(_MAYBE_OTHER), F.lit(False)) & _wrong_text(root, path)
+
+
 def _as_text(field: Column) -> Column:
     return F.variant_get(field, "$", "string")
 
@@ -32,7 +39,7 @@ def _as_text(field: Column) -> Column:
 def _unclosed(text: Column) -> Column:
     """Whether more than white space follows the object. Where one object seems to follow another, a strict parse decides."""
     two = text.rlike(r"\}\s*\{") & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNull()
-    return ~F.rtrim(F.translate(text, "\t\n\r", "   ")).endswith("}") | two
+    return ~(text.endswith("}") | F.rtrim(F.translate(text, "\t\n\r", "   ")).endswith("}")) | two
 
 
 def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
@@ -42,19 +49,19 @@ def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def decoded(raw: DataFrame) -> DataFrame:
-    """Adds j, the decoded line, and status. Blank lines are none of the kinds and not malformed."""
+    """Adds j, the decoded line, t, its text fields, ts and status. Blank lines are none of the kinds and not malformed."""
     j = F.from_json("line", schemas.LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    got = _once(raw, "j", j)
-    top = F.col("j")
-    wrong = _wrong_text(top, schemas.LINE_TEXTS[0])
-    for path in schemas.LINE_TEXTS[1:]:
-        wrong = wrong | _wrong_text(top, path)
+    top, t, ts = F.col("j"), F.col("t"), F.col("ts")
+    got = _once(_once(raw, "j", j), "t", F.struct(*[_as_text(_field(top, path)).alias(_name(path)) for path in schemas.LINE_TEXTS]))
+    got = _once(got, "ts", buckets.parse_rfc3339(t["timestamp"]))
+    wrong = F.lit(False)
+    for path in schemas.LINE_TEXTS:
+        wrong = wrong | _wrong_known(t[_name(path)], top, path)
     blank = F.col("line").rlike(_SPACE)
     bad = top.isNull() | top["_corrupt"].isNotNull() | wrong | _unclosed(F.col("line"))
-    kind, message = _as_text(top["type"]), top["message"]
-    billed = (kind == "assistant") & message["usage"].isNotNull()
-    known = _as_text(message["id"]).isNotNull() & _as_text(message["model"]).isNotNull() & buckets.parse_rfc3339(_as_text(top["timestamp"])).isNotNull()
-    cost = (kind == "cost-state") & _as_text(top["sessionId"]).isNotNull() & top["modelUsage"].isNotNull()
+    billed = (t["type"] == "assistant") & top["message"]["usage"].isNotNull()
+    known = t["id"].isNotNull() & t["model"].isNotNull() & ts.isNotNull()
+    cost = (t["type"] == "cost-state") & t["sessionId"].isNotNull() & top["modelUsage"].isNotNull()
     status = (
         F.when(F.col("too_long"), MALFORMED)
         .when(F.col("line").isNull() | blank, OTHER)
@@ -62,40 +69,62 @@ def decoded(raw: DataFrame) -> DataFrame:
         .when(F.coalesce(cost, F.lit(False)), COST)
         .when(~F.coalesce(billed, F.lit(False)), OTHER)
         .when(~known, DROPPED)
-        .when(_as_text(message["model"]).startswith("<"), OTHER)  # placeholders, not calls
+        .when(t["model"].startswith("<"), OTHER)  # placeholders, not calls
         .otherwise(USAGE)
     )
     return _once(got, "status", status)
 
 
-def usage_lines(decoded_lines: DataFrame, batch_id: int | Column = 0) -> DataFrame:
-    """One row for each line with recorded usage; missing counts are 0."""
-    top, usage = F.col("j"), F.col("j")["message"]["usage"]
+def _name(path: str) -> str:
+    return path.rpartition(".")[2]
+
+
+def _usage() -> list[Column]:
+    """What is recorded of a decoded line with usage."""
+    top, t, usage = F.col("j"), F.col("t"), F.col("j")["message"]["usage"]
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return decoded_lines.filter(F.col("status") == USAGE).select(
-        F.lit(batch_id).cast("long").alias("batch_id"), "path", "offset",
-        _as_text(top["message"]["id"]).alias("dedupe_key"), _as_text(top["sessionId"]).alias("session_id"), _as_text(top["cwd"]).alias("project_dir"),
-        _as_text(top["message"]["model"]).alias("model"), buckets.parse_rfc3339(_as_text(top["timestamp"])).alias("ts"),
+    return [
+        t["id"].alias("dedupe_key"), t["sessionId"].alias("session_id"), t["cwd"].alias("project_dir"), t["model"].alias("model"), F.col("ts"),
         count(usage["input_tokens"]).alias("input"), count(usage["output_tokens"]).alias("output"),
         count(usage["cache_creation_input_tokens"]).alias("cache_create"), count(usage["cache_read_input_tokens"]).alias("cache_read"),
         count(usage["output_tokens_details"]["thinking_tokens"]).alias("thinking"),
         count(usage["cache_creation"]["ephemeral_1h_input_tokens"]).alias("cache_1h"), count(usage["cache_creation"]["ephemeral_5m_input_tokens"]).alias("cache_5m"),
         F.when(F.coalesce(top["isSidechain"], F.lit(False)), "subagent").otherwise("main").alias("source"),
-        _as_text(usage["speed"]).alias("speed"), _as_text(usage["inference_geo"]).alias("inference_geo"),
-    )
+        t["speed"].alias("speed"), t["inference_geo"].alias("inference_geo"),
+    ]
 
 
-def cost_lines(decoded_lines: DataFrame, captured_at: int, batch_id: int | Column = 0) -> DataFrame:
-    """Cost snapshots: sums over the models of a line, whose sorted names are kept."""
+def _cost() -> list[Column]:
+    """What is recorded of a decoded line with costs: sums over its models, whose sorted names are kept."""
     top = F.col("j")
     of = lambda field: F.aggregate(F.map_values(top["modelUsage"]), F.lit(0).cast("long"), lambda n, m: n + F.coalesce(m[field], F.lit(0))).cast("long")
-    return decoded_lines.filter(F.col("status") == COST).select(
-        _as_text(top["sessionId"]).alias("session_id"), F.coalesce(top["totalCostUSD"], F.lit(0.0)).alias("cost_usd"),
+    return [
+        F.coalesce(top["totalCostUSD"], F.lit(0.0)).alias("cost_usd"),
         of("inputTokens").alias("input"), of("outputTokens").alias("output"), of("thinkingTokens").alias("thinking"),
         of("cacheReadInputTokens").alias("cache_read"), of("cacheCreationInputTokens").alias("cache_create"),
-        F.array_join(F.array_sort(F.map_keys(top["modelUsage"])), ",").alias("models"), F.lit(captured_at).cast("long").alias("captured_at"),
-        F.lit(batch_id).cast("long").alias("batch_id"), "path", "offset",
-    )
+        F.array_join(F.array_sort(F.map_keys(top["modelUsage"])), ",").alias("models"),
+    ]
+
+
+def recorded(decoded_lines: DataFrame) -> DataFrame:
+    """Decoded lines as what is recorded of them, without their text, so that they can be kept while several tables are made:
+    usage_lines and cost_lines take them too."""
+    rest = [c for c in decoded_lines.columns if c not in ("line", "too_long", "j", "t", "ts")]
+    return decoded_lines.select(*rest, *_usage(), F.when(F.col("status") == COST, F.struct(*_cost())).alias("cost"))
+
+
+def usage_lines(decoded_lines: DataFrame, batch_id: int | Column = 0) -> DataFrame:
+    """One row for each line with recorded usage; missing counts are 0."""
+    own = schemas.names(schemas.USAGE)[3:] if "cost" in decoded_lines.columns else _usage()
+    return decoded_lines.filter(F.col("status") == USAGE).select(F.lit(batch_id).cast("long").alias("batch_id"), "path", "offset", *own)
+
+
+def cost_lines(decoded_lines: DataFrame, captured_at: int, batch_id: int | Column = 0) -> DataFrame:
+    """Cost snapshots: sums over the models of a line, whose sorted names are kept."""
+    own = ["session_id", "cost.*"] if "cost" in decoded_lines.columns else [F.col("t")["sessionId"].alias("session_id"), *_cost()]
+    return decoded_lines.filter(F.col("status") == COST).select(
+        *own, F.lit(captured_at).cast("long").alias("captured_at"), F.lit(batch_id).cast("long").alias("batch_id"), "path", "offset"
+    )
 
 
 def counters(decoded_lines: DataFrame) -> DataFrame:

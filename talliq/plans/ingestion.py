@@ -26,6 +26,8 @@ from . import reports, text
 
 #: Files that the events are dealt to, lines of a batch, and the longest line where long ones are to be skipped.
 FILES, BATCH, LONGEST = 4, 800, 215
+#: Tasks that write these files.
+SPREAD = 24
 #: A cutoff within the events' month, in UTC seconds.
 CUTOFF = 1_706_000_000
 
@@ -57,13 +59,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write(rows: DataFrame, folder: str) -> str:
-    """Writes (k, file, line) as one file for each file number."""
-    spread = rows.repartition(FILES, "file").sortWithinPartitions("file", "k")
+    """Writes (k, file, line) as one file for each file number: ranges of lines side by side, which are then joined."""
+    spread = rows.repartitionByRange(SPREAD, "file", "k").sortWithinPartitions("file", "k")
     spread.select("file", "line").write.partitionBy("file").text(f"{folder}/parts")
     os.makedirs(f"{folder}/t/inner")
-    for part in glob.glob(f"{folder}/parts/file=*/part-*"):
-        number = int(os.path.basename(os.path.dirname(part)).partition("=")[2])
-        os.rename(part, f"{folder}/t/{'inner/' if number % 2 else ''}{number}.jsonl")
+    for parts in glob.glob(f"{folder}/parts/file=*"):
+        number = int(os.path.basename(parts).partition("=")[2])
+        first, *more = sorted(glob.glob(f"{parts}/part-*"))
+        with open(first, "ab") as out:
+            for part in more:
+                with open(part, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 22)
+                os.remove(part)
+        os.rename(first, f"{folder}/t/{'inner/' if number % 2 else ''}{number}.jsonl")
     shutil.rmtree(f"{folder}/parts")
     return f"{folder}/t"
 

@@ -53,3 +53,8 @@ PATHS = "id BIGINT, path STRING"
 TABLES = {"usage": USAGE, "sessions": SESSIONS, "cost_state": COST_STATE, "limits": LIMITS, "cursors": CURSORS, "paths": PATHS}
 #: Columns of usage that older stores lack, and what stands for them.
 ADDED = {"thinking": "0", "cache_1h": "0", "cache_5m": "0", "source": "'main'", "speed": "NULL", "inference_geo": "NULL", "path": "NULL"}
+
+
+def names(schema: str) -> list[str]:
+    """Columns of a table."""
+    return [part.strip().split(" ")[0] for part in schema.split(",")]

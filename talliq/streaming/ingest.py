@@ -51,17 +51,19 @@ def known_cursors(store: Store, root: str) -> dict[str, dict]:
 
 
 def changes(store: Store, batches: list[int]) -> int:
-    """How many lines of these batches inserted a request or made one grow; looks at the requests they touch."""
+    """How many lines of these batches inserted a request or made one grow; looks at the requests they touch, which are
+    all where nothing else is stored."""
+    alone = store.manifest()["snapshot"] is None and set(store.committed()) <= set(batches)
     log = store.log("usage")
     ours = batch_of(F.col("batch_id")).isin(batches)
-    touched = log.join(log.filter(ours).select("dedupe_key").distinct(), "dedupe_key", "left_semi")
+    touched = log if alone else log.join(log.filter(ours).select("dedupe_key").distinct(), "dedupe_key", "left_semi")
     return merge.effective(touched).filter(ours).agg(F.count_if("effective").alias("changed")).first()["changed"]
 
 
 def write_batch(store: Store, raw: DataFrame, batch_id: int, now: int, count_changes: bool = True) -> Report:
     """Parses raw lines and appends usage, costs and cursors as one batch, whose steps raw may tell; nothing is written
     without lines."""
-    decoded = parse.decoded(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = parse.recorded(parse.decoded(raw)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = parse.counters(decoded).first()
         report = Report(**counts.asDict())

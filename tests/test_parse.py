@@ -64,3 +64,18 @@ def test_lines_are_decoded_once(spark):
     frame = decoded(spark, SESSION)
     for df in (parse.usage_lines(frame), parse.cost_lines(frame, 1), parse.counters(frame), parse.payloads(spark.createDataFrame([("{}",)], "json string"))):
         assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+
+@pytest.mark.parametrize("field", ["session", "cwd", "key", "model"])
+def test_types_of_texts(spark, field):
+    texts, others = ["5", "-1.5e3", "true", "NaN", "{x", "[", "0a-1", "Infinity", ""], [5, -1.5, 1e300, True, False, {}, {"a": "b"}, [], ["x"]]
+    got = [r["status"] for r in decoded(spark, [line(**{field: x}) for x in texts + others]).orderBy("offset").collect()]
+    assert got == ["usage"] * len(texts) + ["malformed"] * len(others)
+
+
+def test_what_is_kept_of_lines_has_no_text_and_says_the_same(spark):
+    frame = decoded(spark, [*SESSION, cost_state("s2", **{"a": {"inputTokens": 2}}), "bad", "", line(key=None)])
+    kept = parse.recorded(frame)
+    assert not {"line", "j", "t"} & set(kept.columns)
+    for make in (parse.usage_lines, lambda f: parse.cost_lines(f, 9, 3), parse.counters):
+        assert make(kept).schema.names == make(frame).schema.names and sorted(map(str, make(kept).collect())) == sorted(map(str, make(frame).collect()))

@@ -278,3 +278,18 @@ DATA = "/root/testdata/sf0.001"
 def test_rounds_of_queries(spark, monkeypatch, name):
     """Files have some 250 lines, which was a round for each 20 of them, or each 40 with two writers."""
     assert drains(monkeypatch, spark, name) <= 4
+
+
+def test_changes_look_for_other_lines_only_where_there_are_some(spark, tmp_path, monkeypatch):
+    from talliq.operators import merge
+
+    plans, effective = [], merge.effective
+    monkeypatch.setattr(merge, "effective", lambda lines: plans.append(lines._jdf.queryExecution().optimizedPlan().toString()) or effective(lines))
+    store, path = Store(spark, str(tmp_path / "s")), str(tmp_path / "t" / "a.jsonl")
+    write(path, [line("a", output=1), line("a", output=3), line("b", output=5)])
+    assert ingest.drain(store, path).changed == 3 and "LeftSemi" not in plans.pop()
+    write(path, [line("a", output=2), line("b", output=6), line("c", output=1)], "a")
+    assert ingest.drain(store, path).changed == 2 and "LeftSemi" in plans.pop()
+    store.compact()
+    write(path, [line("c", output=2), line("c", output=2)], "a")
+    assert ingest.drain(store, path).changed == 1 and "LeftSemi" in plans.pop()
