@@ -131,8 +131,9 @@ def wanted_shingles(items: DataFrame, threshold: float) -> DataFrame:
 
 
 class Bloom:
-    """A filter of 64-bit hashes as a constant of the plan, three bits for each. A full one passes everything, which costs
-    time but loses nothing."""
+    """A filter of 64-bit hashes, three bits for each. Its words are one row that a subquery brings: as a constant they would
+    stand in every text and copy of the plan, which the driver keeps. A full one passes everything, which costs time but
+    loses nothing."""
 
     def __init__(self, hashes: DataFrame, column: str):
         count = hashes.select(column).distinct().count()
@@ -140,10 +141,10 @@ class Bloom:
         self.bits = 1 << power
         spots = hashes.select(F.explode(F.array(*self._spots(F.col(column)))).alias("spot"))
         held = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits"))
-        words = [0] * (self.bits // 64)
-        for r in held.collect():  # as many as the filter has longs, at most
-            words[r["word"]] = r["bits"]
-        self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
+        blank = hashes.sparkSession.range(self.bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        each = held.unionByName(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        # as many rows as the filter has longs, at most 2^16
+        self.words = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")).scalar()
 
     def _spots(self, h: Column) -> list[Column]:
         return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(self.bits - 1).cast("long")) for k in (0, 21, 42)]
@@ -160,9 +161,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"eight blocks with one change guarantee radii up to {RADIUS}")
     items = common.checkpointed(items_of(benchmark, item_col, item_text_col))
-    wanted = common.checkpointed(wanted_shingles(items, threshold))
     sizes = [r["z"] for r in items.select("z").distinct().orderBy("z").collect()]  # at most five values
     few = (items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
+    wanted = wanted_shingles(items, threshold)
+    wanted = common.checkpointed(wanted.coalesce(1) if few else wanted)  # a few rows a file would make as many files and tasks
     sent = F.broadcast if few else (lambda df: df)
     # where texts have a wanted shingle; a text is told by its id and a hash
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")

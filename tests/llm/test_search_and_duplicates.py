@@ -248,6 +248,16 @@ def test_only_texts_with_a_rare_shingle_are_shuffled(spark):
     assert spark.range(20_000).filter(bloom.may_have(F.xxhash64("id"))).count() < 20
 
 
+def test_filters_are_not_in_the_text_of_plans(spark):
+    hashes = common.checkpointed(spark.range(8000).select(F.xxhash64("id").alias("h")))
+    bloom = decontamination.Bloom(hashes, "h")
+    assert bloom.bits == 1 << 21
+    found = spark.range(10_000).filter(bloom.may_have(F.xxhash64("id")))
+    assert 8000 <= found.count() < 8010 and found.filter("id < 8000").count() == 8000
+    for plan in (found._jdf.queryExecution().toString(), found._jdf.queryExecution().executedPlan().toString()):
+        assert len(plan) < 50_000
+
+
 def test_similarity_counts_repeats(spark):
     rng = random.Random(3)
     rows = [([rng.randrange(-4, 4) for _ in range(rng.randint(1, 30))], [rng.randrange(-4, 4) for _ in range(rng.randint(1, 30))]) for _ in range(200)]
