@@ -153,7 +153,10 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang
     for k in range(len(got)):
         x[k, :-1] = np.frombuffer(got[k]["x"], np.float16)
         got[k] = None  # a row's bytes go as they are taken over
-    return Model(langs, x)
+    model = Model(langs, x)
+    del got, x
+    common.release()  # of the rows' bytes, which the allocator would keep for as long as the driver lives
+    return model
 
 
 def predicted(model: Model | None, spark, text_col: str = "text") -> Column:

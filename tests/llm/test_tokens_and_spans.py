@@ -502,3 +502,10 @@ def test_licenses_edges(spark, tmp_path):
     got = [(r["doc_id"], r["labels"]) for r in licenses.op3_licenses(spark, folder).collect()]
     assert sorted(got, key=str) == [(1, "mit"), (1, "mit"), (None, "cc-by")]
     assert licenses.matched_blocks(documents(spark, [])).count() == 0
+
+
+def test_fitting_gives_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(langid.common, "release", lambda: given.append(1))
+    docs = spark.createDataFrame([(k, "ein Haus am See" if k % 2 else "a house by the lake", "de" if k % 2 else "en") for k in range(8)], "doc_id long, text string, lang string")
+    assert langid.fit(docs) is not None and given
